@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from milaan.catalogue import facts
 from milaan.functions import text
+from milaan.functions.similarity import bind
 
 
 def without_lead_ins(c: Column) -> Column:
@@ -20,7 +21,10 @@ def without_lead_ins(c: Column) -> Column:
 
 def spelled_out(c: Column) -> Column:
     """Join a word that was spelled letter by letter, with blanks or dashes."""
-    s = text.strip(c)
+    return bind(text.strip(c), _joined)
+
+
+def _joined(s: Column) -> Column:
     letters = F.regexp_extract_all(s, F.lit(r"(?U)\b([A-Za-z])\b"), 1)
     whole_words = F.regexp_count(s, F.lit(r"[A-Za-z]{2,}"))
     dashed = F.regexp_extract(s, r"(?iU)\b([a-z](?:-[a-z]){2,})\b", 1)
@@ -33,8 +37,10 @@ def spelled_out(c: Column) -> Column:
 
 def block_letters(value: Column, field_key: Column) -> Column:
     """The value as it goes on the form, by the kind of field."""
-    v = text.strip(value)
+    return bind(text.strip(value), lambda v: _in_block_letters(v, field_key))
+
 
+def _in_block_letters(v: Column, field_key: Column) -> Column:
     def about(*parts: str) -> Column:
         return text.any_of([F.contains(field_key, F.lit(p)) for p in parts])
 

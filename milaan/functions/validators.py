@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from milaan.functions import text
+from milaan.functions.similarity import bind
 
 
 def _result(ok: bool, message) -> Column:
@@ -152,8 +153,10 @@ def apply(validator: Column, v: Column, form_key: Column, date: Column, today: C
 
 def spoken_problem(field_key: Column, value: Column) -> Column:
     """The looser rules for spoken answers: an error text, or NULL when the answer is good enough."""
-    v = text.strip(F.coalesce(value, F.lit("")))
+    return bind(text.strip(F.coalesce(value, F.lit(""))), lambda v: _spoken_problem(field_key, v))
 
+
+def _spoken_problem(field_key: Column, v: Column) -> Column:
     def about(*parts: str) -> Column:
         return text.any_of([F.contains(field_key, F.lit(p)) for p in parts])
 

@@ -70,7 +70,7 @@ def judged(pairs: DataFrame) -> DataFrame:
 
 
 # ID numbers of different document types are never compared with each other.
-_COMPARABLE = (F.col("field") != "id_number") | (F.col("doc_a") == F.col("doc_b"))
+_COMPARABLE = "field <> 'id_number' OR doc_a = doc_b"
 
 COMPARISON_COLUMNS = [
     "case_id", "field", "doc_a", "doc_b", "value_a", "value_b", "status", "detail", "n_pairs", "ord_a", "ord_b",
@@ -79,7 +79,7 @@ COMPARISON_COLUMNS = [
 
 def cross_doc_pairs(docs: DataFrame) -> DataFrame:
     """The comparisons of every case: all readable value pairs per field, with verdict and multiplicity."""
-    pairs = within_case_pairs(readable_groups(docs), _COMPARABLE)
+    pairs = within_case_pairs(readable_groups(docs), F.expr(_COMPARABLE))
     return judged(pairs).select(*COMPARISON_COLUMNS)
 
 
@@ -117,7 +117,7 @@ def majority_vote(docs: DataFrame) -> DataFrame:
     """
     groups = readable_groups(docs)
     verdicts = judged(within_case_pairs(groups))
-    critical = verdicts.where((F.col("status") == "CRITICAL") & _COMPARABLE)
+    critical = verdicts.where(F.col("status") == "CRITICAL").where(_COMPARABLE)
     agree = verdicts.where(F.col("status").isin("MATCH", "VARIANT") & (F.col("ord_a") != F.col("ord_b")))
     ballots = F.inline(
         F.array(

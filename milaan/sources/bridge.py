@@ -151,9 +151,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def documents_wide(spark: SparkSession, sf_dir: str, keep_nation: bool = False) -> DataFrame:
     """One row per document with a column per field."""
+    return documents_of(read_table(spark, sf_dir, "customer"), keep_nation)
+
+
+def documents_of(customers: DataFrame, keep_nation: bool = False) -> DataFrame:
     base = (
-        read_table(spark, sf_dir, "customer")
-        .select("c_custkey", "c_nationkey", F.explode(F.array(*[F.lit(o) for o in DOC_ORDS])).alias("ord"))
+        customers.select("c_custkey", "c_nationkey", F.explode(F.array(*[F.lit(o) for o in DOC_ORDS])).alias("ord"))
         .where(F.expr(DOC_EXISTS))
     )
     columns = [F.expr(sql).alias(name) for name, sql in DOC_COLUMNS.items()]
@@ -175,12 +178,32 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One form per case: case_id, service_id, answers (may hold keys the service does not ask for)."""
+    return read_table(spark, sf_dir, "customer").select(*_form_columns())
+
+
+def _form_columns():
     keys = "array(" + ", ".join(f"'{k}'" for k in ANSWER_KEYS) + ")"
     entries = f"map_from_entries(transform({keys}, k -> struct(k, {for_spark(ANSWER_VALUE)})))"
     answers = F.map_filter(F.expr(entries), lambda _, v: v.isNotNull())
-    return read_table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("case_id"), F.expr(SERVICE_OF_CASE).alias("service_id"), answers.alias("answers")
-    )
+    return F.col("c_custkey").alias("case_id"), F.expr(SERVICE_OF_CASE).alias("service_id"), answers.alias("answers")
+
+
+def case_requests(customers: DataFrame) -> DataFrame:
+    """Complete cases as single rows (form and document array), the way they arrive on a stream.  No shuffle."""
+    def document(ord_: int):
+        def at(sql: str) -> str:
+            return sql.replace("ord ", f"{ord_} ")
+
+        values = {f: F.expr(at(DOC_COLUMNS[f])) for f in DOC_FIELDS}
+        pairs = F.map_from_arrays(F.array(*[F.lit(f) for f in values]), F.array(*values.values()))
+        doc = F.struct(
+            F.expr(at(DOC_COLUMNS["doc_type"])).alias("doc_type"), F.expr(at(DOC_COLUMNS["source_file"])).alias("source_file"),
+            F.map_filter(pairs, lambda _, v: v.isNotNull()).alias("fields"),
+        )
+        return F.when(F.expr(at(DOC_EXISTS)), doc)
+
+    documents_ = F.array_compact(F.array(*[document(o) for o in DOC_ORDS]))
+    return customers.select(*_form_columns(), documents_.alias("documents"))
 
 
 def scanned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,10 +237,13 @@ SERVICE_OF_CONV = sql_case("conv_id", SERVICE_IDS)
 
 def desk_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spoken turns: conv_id, service_id, turn, transcript (several per user turn of the conversation)."""
+    return spoken_turns(read_table(spark, sf_dir, "conversations"))
+
+
+def spoken_turns(conversations: DataFrame) -> DataFrame:
     spoken = F.explode(F.sequence(F.lit(0), F.lit(SPOKEN_PER_TURN - 1))).alias("s")
     return (
-        read_table(spark, sf_dir, "conversations")
-        .where("role = 'user'")
+        conversations.where("role = 'user'")
         .select("conv_id", "turn", "text", spoken)
         .select(
             "conv_id",
@@ -245,9 +271,9 @@ def patches(events: DataFrame) -> DataFrame:
     """Case updates: case_id (one case per user), ts, patch_id and the columns set (NULL = left alone)."""
     columns = [F.expr(sql).alias(name) for name, sql in PATCH_COLUMNS.items()]
     return events.select(
-        F.col("user_id").alias("case_id"), "ts", F.col("event_id").alias("patch_id"), *columns
+        F.col("user_id").alias("case_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("patch_id"), *columns
     )
 
 
 def known_cases(events: DataFrame) -> DataFrame:
-    return events.where(CASE_EXISTS).groupBy(F.col("user_id").alias("case_id")).agg(F.min("ts").alias("created_at"))
+    return events.where(CASE_EXISTS).groupBy(F.col("user_id").alias("case_id")).agg(F.min(F.col("ts").cast("timestamp")).alias("created_at"))

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from milaan.operators import cases, dialogue
@@ -88,23 +89,23 @@ def quarantine_stream(scans: DataFrame, path: str) -> tuple[DataFrame, DataFrame
     return good, scans.sparkSession.read.parquet(f"{path}/failed")
 
 
-def _follow(_key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Walk the turns of one conversation from the remembered count."""
-    now = state.get[0] if state.exists else 0
-    # Turns of one micro-batch may come in several chunks; they are put in order before the walk.
-    turns = pd.concat(list(batches)).sort_values("turn")
-    before = []
-    for moves in turns["moves"]:
-        before.append(now)
-        now = int(moves[now])
-    state.update((now,))
-    yield turns.assign(before=before)
-
-
 def form_fill_stream(turns: DataFrame, path: str) -> DataFrame:
     """Form dialogue on a stream: the state per conversation is one small number, the rest is plain columns."""
+
+    def follow(_key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """Walk the turns of one conversation from the remembered count."""
+        now = state.get[0] if state.exists else 0
+        # Turns of one micro-batch may come in several chunks; they are put in order before the walk.
+        turns = pd.concat(list(batches)).sort_values("turn")
+        before = []
+        for moves in turns["moves"]:
+            before.append(now)
+            now = int(moves[now])
+        state.update((now,))
+        yield turns.assign(before=before)
+
     moved = dialogue.with_moves(turns)
-    schema = moved.schema.add("before", "int")
-    run = moved.groupBy("conv_id").applyInPandasWithState(_follow, schema, "now int", "append", GroupStateTimeout.NoTimeout)
+    schema = T.StructType([*moved.schema.fields, T.StructField("before", T.IntegerType())])
+    run = moved.groupBy("conv_id").applyInPandasWithState(follow, schema, "now int", "append", GroupStateTimeout.NoTimeout)
     return run_to_end(dialogue.outcomes(run), path).drop("batch_id")
 
