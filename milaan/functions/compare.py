@@ -6,6 +6,8 @@ steps run only for the pairs the cheap rules leave open.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -116,6 +118,12 @@ def verdict(field: Column, a: Column, b: Column, std_a: Column, std_b: Column) -
     )
 
 
+@cache
+def pair_verdict() -> Column:
+    """:func:`verdict` over the columns field, value_a/b and std_a/b, built once per process."""
+    return verdict(*[F.col(c) for c in ("field", "value_a", "value_b", "std_a", "std_b")])
+
+
 # --- views: the desk view and the matrix view have rules of their own ---------------------------------------------------
 
 

@@ -12,7 +12,7 @@ for it.  Every value gets one *standard form* string whose meaning depends on it
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,12 +23,13 @@ UNCERTAIN = "UNCERTAIN"
 NAME_FIELDS = ("full_name", "father_name")
 
 SPACE = r"(?U)\s+"
-EDGES = r"(?U)^\s+|\s+$"
+# Everything that counts as white space at the ends of a value.
+BLANKS = "".join(chr(x) for x in [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288])
 
 
 def strip(c: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(c, EDGES, "")
+    return F.trim(c, F.lit(BLANKS))
 
 
 def squeeze(c: Column) -> Column:
@@ -64,13 +65,16 @@ def canonical_spelling() -> dict[str, str]:
     return out
 
 
-def _text_array(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+def literal_map(mapping: dict[str, str | int]) -> Column:
+    """A constant map; written as one SQL text because building it entry by entry is slow from Python."""
+    def quoted(x) -> str:
+        return "'" + x.replace("'", "\\'") + "'" if isinstance(x, str) else str(x)
+
+    return F.expr("map(" + ", ".join(f"{quoted(k)}, {quoted(v)}" for k, v in mapping.items()) + ")")
 
 
 def _lookup(mapping: dict[str, str], w: Column) -> Column:
-    pairs = [F.lit(x) for kv in mapping.items() for x in kv]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), w), w)
+    return F.coalesce(F.try_element_at(literal_map(mapping), w), w)
 
 
 def name_tokens(c: Column) -> Column:
@@ -129,6 +133,12 @@ def standard_form(field: Column, value: Column) -> Column:
     )
 
 
+@cache
+def standard_form_of(field: str, value: str) -> Column:
+    """:func:`standard_form` over two named columns, built once per process."""
+    return standard_form(F.col(field), F.col(value))
+
+
 # --- standard forms of the matrix and desk views ---------------------------------------------------------------------
 
 

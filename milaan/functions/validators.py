@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -151,6 +153,12 @@ def apply(validator: Column, v: Column, form_key: Column, date: Column, today: C
     return out
 
 
+@cache
+def rule_check() -> Column:
+    """:func:`apply` over the columns validator, value, form_key, date and today, built once per process."""
+    return apply(*[F.col(c) for c in ("validator", "value", "form_key", "date", "today")])
+
+
 def spoken_problem(field_key: Column, value: Column) -> Column:
     """The looser rules for spoken answers: an error text, or NULL when the answer is good enough."""
     return bind(text.strip(F.coalesce(value, F.lit(""))), lambda v: _spoken_problem(field_key, v))

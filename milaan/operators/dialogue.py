@@ -10,6 +10,8 @@ cut over many tasks, and no group holds more than one block.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,11 +31,15 @@ def required_fields(spark) -> DataFrame:
 
 
 def with_moves(turns: DataFrame) -> DataFrame:
-    """Add ``required``, ``intent`` and ``moves`` to turns (conv_id, service_id, turn, transcript).  No shuffle."""
-    turns = turns.join(required_fields(turns.sparkSession), "service_id").withColumn(
-        "intent", spoken.intent(F.col("transcript"))
-    )
+    """Add ``required``, ``intent``, ``heard`` and ``moves`` to turns (conv_id, service_id, turn, transcript).  No shuffle."""
+    turns = turns.join(required_fields(turns.sparkSession), "service_id")
     heard = spoken.spelled_out(spoken.without_lead_ins(F.coalesce("transcript", F.lit(""))))
+    turns = turns.withColumns({"intent": spoken.intent(F.col("transcript")), "heard": heard})
+    return turns.withColumn("moves", _moves())
+
+
+@cache
+def _moves() -> Column:
     count = F.size("required")
 
     def after(k: Column) -> Column:
@@ -41,12 +47,11 @@ def with_moves(turns: DataFrame) -> DataFrame:
         accepted = validators.spoken_problem(key, spoken.block_letters(F.col("heard"), key)).isNull()
         return (
             F.when(F.col("intent") == "clear", F.greatest(F.lit(0), k - 1))
-            .when(F.col("intent") != "answer", k)
-            .when(k >= count, k)
+            .when((F.col("intent") != "answer") | (k >= count), k)
             .otherwise(F.when(accepted, k + 1).otherwise(k))
         )
 
-    return turns.withColumn("heard", heard).withColumn("moves", F.transform(F.sequence(F.lit(0), count), after))
+    return F.transform(F.sequence(F.lit(0), count), after)
 
 
 def counts_before(turns: DataFrame, order: str = "turn", levels: int = LEVELS, entry: DataFrame | None = None) -> DataFrame:

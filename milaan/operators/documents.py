@@ -16,8 +16,7 @@ def field_ord(field: Column) -> Column:
 
 
 def doc_priority(doc_type: Column) -> Column:
-    pairs = [F.lit(x) for kv in facts.DOC_PRIORITY.items() for x in kv]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), doc_type), F.lit(facts.OTHER_PRIORITY))
+    return F.coalesce(F.try_element_at(text.literal_map(facts.DOC_PRIORITY), doc_type), F.lit(facts.OTHER_PRIORITY))
 
 
 def drop_form_docs(docs: DataFrame) -> DataFrame:

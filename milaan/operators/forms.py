@@ -48,11 +48,10 @@ def answers_with_rules(forms: DataFrame) -> DataFrame:
 
 def validate_answers(forms: DataFrame, today: Column) -> DataFrame:
     """Outcome of every rule: required, skipped (optional and blank), or the format check of the answer."""
-    rules = answers_with_rules(forms).withColumn(
-        "date", F.when(F.col("validator") == "dob", text.day_first_date(F.col("value")))
-    )
+    date = F.when(F.col("validator") == "dob", text.day_first_date(F.col("value")))
+    rules = answers_with_rules(forms).withColumns({"date": date, "today": today})
     blank = F.col("value") == ""
-    check = F.when(~blank, validators.apply(F.col("validator"), F.col("value"), F.col("form_key"), F.col("date"), today))
+    check = F.when(~blank, validators.rule_check())
     outcome = (
         F.when(blank & F.col("optional"), "skipped")
         .when(blank, "missing")
@@ -63,7 +62,7 @@ def validate_answers(forms: DataFrame, today: Column) -> DataFrame:
     told = F.when(blank & ~F.col("optional"), "Required field is empty").otherwise(F.col("message"))
     # The check comes out of a generator, so later filters on the outcome do not evaluate it a second time.
     checked = rules.select("*", F.inline(F.array(check)))
-    return checked.withColumns({"outcome": outcome, "message": told}).drop("ok", "date")
+    return checked.withColumns({"outcome": outcome, "message": told}).drop("ok", "date", "today")
 
 
 def validator_scorecard(validated: DataFrame) -> DataFrame:
@@ -84,11 +83,11 @@ def _candidates(forms: DataFrame, docs: DataFrame) -> DataFrame:
     compared = form_rows(forms).where("compare_to IS NOT NULL")
     compared = compared.withColumn(
         "form_std",
-        F.when(text.readable(F.col("form_value")), text.standard_form(F.col("compare_to"), F.col("form_value"))),
+        F.when(text.readable(F.col("form_value")), text.standard_form_of("compare_to", "form_value")),
     )
     long_docs = unpivot_fields(docs)
     nulled = long_docs.withColumn("value", F.when(text.readable(F.col("value")), F.col("value")))
-    groups = standardized(value_groups(nulled)).withColumnRenamed("field", "compare_to")
+    groups = value_groups(standardized(nulled)).withColumnRenamed("field", "compare_to")
     return compared.join(groups, ["case_id", "compare_to"], "left")
 
 
@@ -169,12 +168,11 @@ def best_form_checks(forms: DataFrame, docs: DataFrame) -> DataFrame:
     ).otherwise("")
     doc, told = F.col("best.doc_type"), F.col("best.detail")
     usual = {field: ", ".join(facts.items(docs_)) for field, docs_ in facts.rows(facts.USUALLY_ON)}
-    usual_pairs = [F.lit(x) for kv in usual.items() for x in kv]
     hint = F.concat(
         F.lit("None of the uploaded documents have a readable '"), F.col("compare_to"),
         F.lit("'. Skipped (field absent): "), F.when(F.size("ignored") > 0, names).otherwise("—"), F.lit(". "),
         F.coalesce(
-            F.concat(F.lit("Usually found on: "), F.try_element_at(F.create_map(*usual_pairs), F.col("compare_to")), F.lit(".")),
+            F.concat(F.lit("Usually found on: "), F.try_element_at(text.literal_map(usual), F.col("compare_to")), F.lit(".")),
             F.lit(""),
         ),
     )

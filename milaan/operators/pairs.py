@@ -12,7 +12,7 @@ Pairs within a case come from an equi-join that is spread by document position:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from milaan.functions import compare, text
@@ -22,19 +22,22 @@ BLOCK = 256
 
 
 def value_groups(long_docs: DataFrame) -> DataFrame:
-    """Distinct values per (case, field, document type): how many documents, and the first position."""
-    return long_docs.groupBy("case_id", "field", "doc_type", "value").agg(
-        F.count(F.lit(1)).alias("n_docs"), F.min("doc_ord").alias("first_ord")
-    )
+    """Distinct values per (case, field, document type): how many documents, and the first position.
+
+    A ``std`` column goes along as a key: it is then worked out once per source row, before the shuffle both sides of the
+    self-join read.
+    """
+    keys = [c for c in ("case_id", "field", "doc_type", "value", "std") if c in long_docs.columns]
+    return long_docs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_ord").alias("first_ord"))
 
 
-def standardized(groups: DataFrame) -> DataFrame:
-    return groups.withColumn("std", text.standard_form(F.col("field"), F.col("value")))
+def standardized(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("std", text.standard_form_of("field", "value"))
 
 
 def readable_groups(docs: DataFrame) -> DataFrame:
     """Standardised value groups of the readable identity values of ``docs``."""
-    return standardized(value_groups(readable_only(unpivot_fields(docs))))
+    return value_groups(standardized(readable_only(unpivot_fields(docs))))
 
 
 def _side(groups: DataFrame, side: str) -> DataFrame:
@@ -44,15 +47,16 @@ def _side(groups: DataFrame, side: str) -> DataFrame:
     )
 
 
-def within_case_pairs(groups: DataFrame, condition: Column | None = None) -> DataFrame:
+def within_case_pairs(groups: DataFrame, condition: Column | None = None, with_self: bool = False) -> DataFrame:
     """Pairs of value groups of one (case, field), earlier position first, with ``n_pairs`` document pairs each.
 
-    A group with several documents also pairs with itself.
+    A group with several documents also pairs with itself; ``with_self`` keeps that row for single documents too (with
+    ``n_pairs`` 0).
     """
     left = _side(groups, "a").withColumn("block", F.expr(f"ord_a div {BLOCK}"))
     right = _side(groups, "b").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"ord_b div {BLOCK}"))))
     same = F.col("ord_a") == F.col("ord_b")
-    ordered = (F.col("ord_a") < F.col("ord_b")) | (same & (F.col("n_a") > 1))
+    ordered = (F.col("ord_a") < F.col("ord_b")) | (same if with_self else same & (F.col("n_a") > 1))
     joined = left.join(right, ["case_id", "field", "block"]).where(ordered if condition is None else ordered & condition)
     twice = F.col("n_a") * (F.col("n_a") - 1)
     return joined.withColumn(
@@ -65,8 +69,7 @@ def judged(pairs: DataFrame) -> DataFrame:
 
     The verdict comes out of a generator, so later filters on the status do not evaluate it a second time.
     """
-    v = compare.verdict(*[F.col(c) for c in ("field", "value_a", "value_b", "std_a", "std_b")])
-    return pairs.select("*", F.inline(F.array(v)))
+    return pairs.select("*", F.inline(F.array(compare.pair_verdict())))
 
 
 # ID numbers of different document types are never compared with each other.
@@ -85,7 +88,7 @@ def cross_doc_pairs(docs: DataFrame) -> DataFrame:
 
 def classify_pairs(pairs: DataFrame) -> DataFrame:
     """Verdict on any table with field, value_a, value_b (extra columns pass through)."""
-    both = [text.standard_form(F.col("field"), F.col(f"value_{s}")).alias(f"std_{s}") for s in "ab"]
+    both = [text.standard_form_of("field", f"value_{s}").alias(f"std_{s}") for s in "ab"]
     return judged(pairs.select("*", *both)).drop("std_a", "std_b")
 
 
@@ -109,37 +112,47 @@ def verdict_by_field(comparisons: DataFrame) -> DataFrame:
 # --- who is wrong: votes and blocker counts ----------------------------------------------------------------------------
 
 
-def majority_vote(docs: DataFrame) -> DataFrame:
+def judged_pairs(docs: DataFrame) -> DataFrame:
+    """Every pair of readable values with its verdict: comparisons (see :func:`comparisons_of`) and what voting needs."""
+    return judged(within_case_pairs(readable_groups(docs), with_self=True))
+
+
+def comparisons_of(verdicts: DataFrame) -> DataFrame:
+    return verdicts.where(_COMPARABLE).where("n_pairs > 0").select(*COMPARISON_COLUMNS)
+
+
+VOTE_COLUMNS = ["case_id", "field", "doc_a", "doc_b", "n_pairs", "ord_a", "ord_b"]
+
+
+def majority_vote(verdicts: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Each CRITICAL comparison with the number of documents that agree with either side.
 
-    Every readable value of the case votes, whatever its document type.  Votes are counted once per value group and
-    joined to the critical pairs, so nothing is compared a second time per critical pair.
+    ``verdicts`` comes from :func:`judged_pairs`.  Every readable value of the case votes, whatever its document type.
+    One pass: a pair in agreement sends a ballot to both sides, a critical pair asks both sides for their tally, and a
+    window per value adds up.  Nothing is compared a second time.
     """
-    groups = readable_groups(docs)
-    verdicts = judged(within_case_pairs(groups))
-    critical = verdicts.where(F.col("status") == "CRITICAL").where(_COMPARABLE)
-    agree = verdicts.where(F.col("status").isin("MATCH", "VARIANT") & (F.col("ord_a") != F.col("ord_b")))
-    ballots = F.inline(
-        F.array(
-            F.struct(F.col("ord_a").alias("ord"), F.col("n_b").alias("votes")),
-            F.struct(F.col("ord_b").alias("ord"), F.col("n_a").alias("votes")),
-        )
-    )
-    # A group votes for itself unless nothing of its value is left after standardisation.
-    own_votes = groups.where("std <> ''").select(
-        "case_id", "field", F.col("first_ord").alias("ord"), F.col("n_docs").alias("votes")
+    columns = columns or VOTE_COLUMNS
+    agree = F.col("status").isin("MATCH", "VARIANT")
+    critical = (F.col("status") == "CRITICAL") & F.expr(_COMPARABLE)
+
+    def ballot(ord_: str, votes: Column, side: Column) -> Column:
+        return F.struct(F.col(ord_).alias("ord"), votes.alias("votes"), side.alias("side"))
+
+    nobody = F.lit(None).cast("int")
+    none, n_a, n_b = F.lit(0).cast("long"), F.col("n_a"), F.col("n_b")
+    ballots = (
+        F.when(critical, F.array(ballot("ord_a", none, F.lit(0)), ballot("ord_b", none, F.lit(1))))
+        .when(F.col("ord_a") == F.col("ord_b"), F.array(ballot("ord_a", n_a, nobody)))
+        .otherwise(F.array(ballot("ord_a", n_b, nobody), ballot("ord_b", n_a, nobody)))
     )
-    votes = (
-        agree.select("case_id", "field", ballots)
-        .unionByName(own_votes)
-        .groupBy("case_id", "field", "ord")
-        .agg(F.sum("votes").alias("votes"))
+    payload = [c for c in columns if c not in ("case_id", "field")]
+    asked = [F.when(critical, F.col(c)).alias(c) for c in payload]
+    rows = verdicts.where(agree | critical).select("case_id", "field", *asked, F.inline(ballots))
+    one_value = Window.partitionBy("case_id", "field", "ord")
+    tallied = rows.withColumn("tally", F.sum("votes").over(one_value)).where("side IS NOT NULL")
+    return tallied.groupBy(*columns).agg(
+        *[F.max(F.when(F.col("side") == n, F.col("tally"))).alias(f"votes_{s}") for n, s in enumerate("ab")]
     )
-    for side in "ab":
-        named = votes.select("case_id", "field", F.col("ord").alias(f"ord_{side}"), F.col("votes").alias(f"votes_{side}"))
-        critical = critical.join(named, ["case_id", "field", f"ord_{side}"], "left")
-    critical = critical.withColumns({f"votes_{s}": F.coalesce(f"votes_{s}", F.lit(0)).cast("long") for s in "ab"})
-    return critical.select(*COMPARISON_COLUMNS, "votes_a", "votes_b")
 
 
 def charged_documents(voted: DataFrame) -> DataFrame:

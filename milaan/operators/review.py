@@ -13,8 +13,8 @@ PACK_DOCS = 1000
 
 
 def _label(field: Column) -> Column:
-    pairs = [F.lit(x) for r in facts.rows(facts.IDENTITY_FIELDS) for x in (r[0], r[1])]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), field), field)
+    labels = dict(facts.rows(facts.IDENTITY_FIELDS))
+    return F.coalesce(F.try_element_at(text.literal_map(labels), field), field)
 
 
 def flag_board(issues: DataFrame, checks: DataFrame, comparisons: DataFrame) -> DataFrame:
@@ -157,11 +157,11 @@ def audit_rows(
 
 def matrix_audit_rows(cells: DataFrame) -> DataFrame:
     """Field findings of the matrix report: every cell that is a blocker, a variant or uncertain (ID numbers left out)."""
-    labels = [F.lit(x) for r in facts.rows(facts.MATRIX_FIELDS) for x in r]
+    labels = dict(facts.rows(facts.MATRIX_FIELDS))
     return cells.where(F.col("status").isin("blocker", "variant", "uncertain") & (F.col("field") != "id_number")).select(
         "case_id", "field", "doc_ord", "status",
         F.concat(
-            F.try_element_at(F.create_map(*labels), F.col("field")), F.lit(" — "), F.col("doc_type"), F.lit(": "), F.col("value")
+            F.try_element_at(text.literal_map(labels), F.col("field")), F.lit(" — "), F.col("doc_type"), F.lit(": "), F.col("value")
         ).alias("line"),
     )
 

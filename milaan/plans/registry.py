@@ -36,8 +36,8 @@ def query(function: Query) -> Query:
     return function
 
 
-def verification(spark: SparkSession, sf_dir: str) -> Verification:
-    return Verification(bridge.forms(spark, sf_dir), bridge.documents(spark, sf_dir), today())
+def verification(spark: SparkSession, sf_dir: str, keep: bool = False) -> Verification:
+    return Verification(bridge.forms(spark, sf_dir), bridge.documents(spark, sf_dir), today(), keep)
 
 
 def id_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +137,7 @@ def ocr_json_to_text(spark, sf_dir):
 @query
 def write_result_pack(spark, sf_dir):
     path = writers.scratch_path(spark, "packs")
-    writers.write_result_packs(verification(spark, sf_dir).packs, path)
+    writers.write_result_packs(verification(spark, sf_dir, keep=True).packs, path)
     back = spark.read.schema("case_id long, part long, pack string, n_documents int, service_id string").json(path)
     ddl = (
         "service string, portal struct<name:string,url:string>, accuracy struct<score:double,grade:string>, answers map<string,string>, "
@@ -154,7 +154,7 @@ def write_result_pack(spark, sf_dir):
 
 @query
 def audit_rows(spark, sf_dir):
-    return verification(spark, sf_dir).audit.select("case_id", "section", F.array_join(F.col("place").cast("array<string>"), ".").alias("place"), "line")
+    return verification(spark, sf_dir, keep=True).audit.select("case_id", "section", F.array_join(F.col("place").cast("array<string>"), ".").alias("place"), "line")
 
 
 @query
@@ -410,7 +410,8 @@ def matrix_vs_reference(spark, sf_dir):
 
 @query
 def majority_vote(spark, sf_dir):
-    return verification(spark, sf_dir).voted.select("case_id", "field", "doc_a", "doc_b", "value_a", "value_b", "n_pairs", "votes_a", "votes_b")
+    columns = ["case_id", "field", "doc_a", "doc_b", "value_a", "value_b", "n_pairs", "ord_a", "ord_b"]
+    return pairs.majority_vote(verification(spark, sf_dir).pair_verdicts, columns).drop("ord_a", "ord_b")
 
 
 @query
@@ -694,7 +695,7 @@ def findings_order(spark, sf_dir):
 
 @query
 def flag_board(spark, sf_dir):
-    v = verification(spark, sf_dir)
+    v = verification(spark, sf_dir, keep=True)
     return review.flag_board(v.issues, v.checks, v.comparisons)
 
 
@@ -822,4 +823,4 @@ def verdict_columns(rows: DataFrame) -> DataFrame:
 @query
 def verify(spark, sf_dir):
     """The flagship: one verdict row per case."""
-    return verdict_columns(verification(spark, sf_dir).verdicts)
+    return verdict_columns(verification(spark, sf_dir, keep=True).verdicts)

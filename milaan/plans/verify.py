@@ -15,8 +15,8 @@ from milaan.sources.writers import materialized
 class Verification:
     """Lazily built tables over one set of forms and documents.
 
-    ``keep`` writes the two tables everything else reads more than once (comparisons and form checks) to the shared
-    folder; without it they are recomputed by each table that needs them, which suits single-table queries.
+    ``keep`` writes the tables others read more than once (pair verdicts, form checks, scores) to the shared folder;
+    without it they are recomputed by each table that needs them, which suits single-table queries.
     """
 
     answers: DataFrame
@@ -34,9 +34,15 @@ class Verification:
             self._tables[name] = materialized(table, name) if keep and self.keep else table
         return self._tables[name]
 
+    @property
+    def pair_verdicts(self) -> DataFrame:
+        return self._once("pair_verdicts", lambda: pairs.judged_pairs(self.docs), keep=True)
+
     @property
     def comparisons(self) -> DataFrame:
-        return self._once("comparisons", lambda: pairs.cross_doc_pairs(self.docs), keep=True)
+        if self.keep:
+            return self._once("comparisons", lambda: pairs.comparisons_of(self.pair_verdicts))
+        return self._once("comparisons", lambda: pairs.cross_doc_pairs(self.docs))
 
     @property
     def checks(self) -> DataFrame:
@@ -48,7 +54,7 @@ class Verification:
 
     @property
     def voted(self) -> DataFrame:
-        return self._once("voted", lambda: pairs.majority_vote(self.docs))
+        return self._once("voted", lambda: pairs.majority_vote(self.pair_verdicts))
 
     @property
     def blocker_counts(self) -> DataFrame:

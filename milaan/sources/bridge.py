@@ -149,14 +149,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(table: DataFrame, key: str) -> DataFrame:
+    """Give a table of few files to all cores: one row here becomes dozens.  A table of many files is left alone."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores, key) if len(table.inputFiles()) < cores else table
+
+
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spread(read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
+
+
 def documents_wide(spark: SparkSession, sf_dir: str, keep_nation: bool = False) -> DataFrame:
     """One row per document with a column per field."""
-    return documents_of(read_table(spark, sf_dir, "customer"), keep_nation)
+    return documents_of(customers(spark, sf_dir), keep_nation)
 
 
-def documents_of(customers: DataFrame, keep_nation: bool = False) -> DataFrame:
+def documents_of(customer_rows: DataFrame, keep_nation: bool = False) -> DataFrame:
     base = (
-        customers.select("c_custkey", "c_nationkey", F.explode(F.array(*[F.lit(o) for o in DOC_ORDS])).alias("ord"))
+        customer_rows.select("c_custkey", "c_nationkey", F.explode(F.array(*[F.lit(o) for o in DOC_ORDS])).alias("ord"))
         .where(F.expr(DOC_EXISTS))
     )
     columns = [F.expr(sql).alias(name) for name, sql in DOC_COLUMNS.items()]
@@ -178,7 +188,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One form per case: case_id, service_id, answers (may hold keys the service does not ask for)."""
-    return read_table(spark, sf_dir, "customer").select(*_form_columns())
+    return customers(spark, sf_dir).select(*_form_columns())
 
 
 def _form_columns():
@@ -188,8 +198,9 @@ def _form_columns():
     return F.col("c_custkey").alias("case_id"), F.expr(SERVICE_OF_CASE).alias("service_id"), answers.alias("answers")
 
 
-def case_requests(customers: DataFrame) -> DataFrame:
+def case_requests(customer_rows: DataFrame) -> DataFrame:
     """Complete cases as single rows (form and document array), the way they arrive on a stream.  No shuffle."""
+
     def document(ord_: int):
         def at(sql: str) -> str:
             return sql.replace("ord ", f"{ord_} ")
@@ -203,7 +214,7 @@ def case_requests(customers: DataFrame) -> DataFrame:
         return F.when(F.expr(at(DOC_EXISTS)), doc)
 
     documents_ = F.array_compact(F.array(*[document(o) for o in DOC_ORDS]))
-    return customers.select(*_form_columns(), documents_.alias("documents"))
+    return customer_rows.select(*_form_columns(), documents_.alias("documents"))
 
 
 def scanned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,7 +248,7 @@ SERVICE_OF_CONV = sql_case("conv_id", SERVICE_IDS)
 
 def desk_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spoken turns: conv_id, service_id, turn, transcript (several per user turn of the conversation)."""
-    return spoken_turns(read_table(spark, sf_dir, "conversations"))
+    return spoken_turns(_spread(read_table(spark, sf_dir, "conversations"), "conv_id"))
 
 
 def spoken_turns(conversations: DataFrame) -> DataFrame:
