@@ -197,10 +197,10 @@ _SELECTS: dict[str, str] = {
             SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents) GROUP BY doc_id)""",
     "ocr_json_to_text": "SELECT conv_id, turn, text || chr(10) || role AS ocr_text FROM conversations",
     "write_result_pack": """SELECT s.case_id, s.service_id, s.service_id AS service, v.portal_name AS portal, round(s.score, 6) AS score, s.grade,
-        a.value AS full_name, coalesce(i.n, 0) AS n_flags, d.n_documents, d.first_id FROM scores s JOIN services v USING (service_id)
+        a.value AS full_name, coalesce(i.n, 0) AS n_flags, coalesce(d.n_documents, 0) AS n_documents, d.first_id FROM scores s JOIN services v USING (service_id)
         LEFT JOIN answers a ON a.case_id = s.case_id AND a.form_key = 'full_name'
         LEFT JOIN (SELECT case_id, count(*) AS n FROM issues WHERE severity <> 'OK' GROUP BY ALL) i ON i.case_id = s.case_id
-        JOIN (SELECT case_id, count(*) AS n_documents, arg_min(id_number, doc_ord) AS first_id FROM id_docs GROUP BY ALL) d ON d.case_id = s.case_id""",
+        LEFT JOIN (SELECT case_id, count(*) AS n_documents, arg_min(id_number, doc_ord) AS first_id FROM id_docs GROUP BY ALL) d ON d.case_id = s.case_id""",
     "audit_rows": f"SELECT case_id, section, place, {_LATIN.format('line')} AS line FROM ({_LINES})",
     "matrix_audit_rows": "SELECT case_id, field, doc_ord, status, CASE field "
     + " ".join(f"WHEN '{r[0]}' THEN {c.q(r[1])}" for r in facts.rows(facts.MATRIX_FIELDS))

@@ -78,17 +78,20 @@ def validator_scorecard(validated: DataFrame) -> DataFrame:
 # --- answers against documents -------------------------------------------------------------------------------------------
 
 
+def _compared_rows(forms: DataFrame) -> DataFrame:
+    return form_rows(forms).where("compare_to IS NOT NULL")
+
+
 def _candidates(forms: DataFrame, docs: DataFrame) -> DataFrame:
-    """Every compared form field with every value group of its document field; unreadable values come as NULL."""
-    compared = form_rows(forms).where("compare_to IS NOT NULL")
-    compared = compared.withColumn(
-        "form_std",
-        F.when(text.readable(F.col("form_value")), text.standard_form_of("compare_to", "form_value")),
-    )
-    long_docs = unpivot_fields(docs)
-    nulled = long_docs.withColumn("value", F.when(text.readable(F.col("value")), F.col("value")))
+    """Every compared form field with every value group of its document field; unreadable values come as NULL.
+
+    An inner join, so that either side of a hot case can be split; :func:`best_form_checks` brings the fields without
+    documents back by a union.
+    """
+    form_std = F.when(text.readable(F.col("form_value")), text.standard_form_of("compare_to", "form_value"))
+    nulled = unpivot_fields(docs).withColumn("value", F.when(text.readable(F.col("value")), F.col("value")))
     groups = value_groups(standardized(nulled)).withColumnRenamed("field", "compare_to")
-    return compared.join(groups, ["case_id", "compare_to"], "left")
+    return _compared_rows(forms).withColumn("form_std", form_std).join(groups.hint("merge"), ["case_id", "compare_to"])
 
 
 def _preference(name: str = "doc_type") -> list[Column]:
@@ -155,7 +158,8 @@ def best_form_checks(forms: DataFrame, docs: DataFrame) -> DataFrame:
     ignored = F.struct(*order, F.col("doc_type"), F.col("n_docs"))
     keys = ["case_id", "service_id", "form_key", "field_ord", "label", "compare_to", "high_stakes", "form_value"]
     unread = F.col("value").isNull() & F.col("doc_type").isNotNull()
-    grouped = _judged_candidates(forms, docs).groupBy(*keys).agg(
+    met = _judged_candidates(forms, docs).unionByName(_compared_rows(forms), allowMissingColumns=True)
+    grouped = met.groupBy(*keys).agg(
         F.min(F.when(F.col("value").isNotNull(), key)).alias("best"),
         F.sort_array(F.collect_list(F.when(unread, ignored))).alias("ignored"),
     )

@@ -57,7 +57,8 @@ def within_case_pairs(groups: DataFrame, condition: Column | None = None, with_s
     right = _side(groups, "b").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"ord_b div {BLOCK}"))))
     same = F.col("ord_a") == F.col("ord_b")
     ordered = (F.col("ord_a") < F.col("ord_b")) | (same if with_self else same & (F.col("n_a") > 1))
-    joined = left.join(right, ["case_id", "field", "block"]).where(ordered if condition is None else ordered & condition)
+    # Both sides grow with the data and size estimates miss the unpivot, so a broadcast is ruled out.
+    joined = left.join(right.hint("merge"), ["case_id", "field", "block"]).where(ordered if condition is None else ordered & condition)
     twice = F.col("n_a") * (F.col("n_a") - 1)
     return joined.withColumn(
         "n_pairs", F.when(same, F.shiftright(twice, 1)).otherwise(F.col("n_a") * F.col("n_b"))

@@ -144,7 +144,8 @@ def audit_rows(
             F.col("doc_b"), F.lit(" '"), F.col("value_a"), F.lit("' vs '"), F.col("value_b"), F.lit("' - "), F.col("detail"),
         ).alias("line"),
     )
-    clear = forms.select("case_id").join(findings(comparisons).select("case_id"), "case_id", "left_anti").select(
+    told = findings(comparisons).select("case_id").distinct()
+    clear = forms.select("case_id").join(told, "case_id", "left_anti").select(
         "case_id", F.lit(5).alias("section"), F.array(F.lit(0)).cast("array<long>").alias("place"),
         F.lit("All compared fields match across all documents.").alias("line"),
     )

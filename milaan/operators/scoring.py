@@ -69,7 +69,7 @@ def missing_required_docs(forms: DataFrame, docs: DataFrame) -> DataFrame:
     return (
         forms.select(*CASE)
         .join(needed, "service_id")
-        .join(docs.select("case_id", "doc_type"), ["case_id", "doc_type"], "left_anti")
+        .join(docs.select("case_id", "doc_type").distinct(), ["case_id", "doc_type"], "left_anti")
         .select(*CASE, "doc_type", "ord")
     )
 

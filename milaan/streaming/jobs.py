@@ -6,17 +6,15 @@ replay, so a restarted query does not duplicate rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from milaan.operators import cases, dialogue
 from milaan.plans.verify import Verification
 from milaan.sources.readers import split_failures
+from milaan.sources.writers import materialized
 
 
 def read_stream(spark: SparkSession, folder: str, table: str, files_per_batch: int = 1) -> DataFrame:
@@ -90,22 +88,25 @@ def quarantine_stream(scans: DataFrame, path: str) -> tuple[DataFrame, DataFrame
 
 
 def form_fill_stream(turns: DataFrame, path: str) -> DataFrame:
-    """Form dialogue on a stream: the state per conversation is one small number, the rest is plain columns."""
-
-    def follow(_key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        """Walk the turns of one conversation from the remembered count."""
-        now = state.get[0] if state.exists else 0
-        # Turns of one micro-batch may come in several chunks; they are put in order before the walk.
-        turns = pd.concat(list(batches)).sort_values("turn")
-        before = []
-        for moves in turns["moves"]:
-            before.append(now)
-            now = int(moves[now])
-        state.update((now,))
-        yield turns.assign(before=before)
-
-    moved = dialogue.with_moves(turns)
-    schema = T.StructType([*moved.schema.fields, T.StructField("before", T.IntegerType())])
-    run = moved.groupBy("conv_id").applyInPandasWithState(follow, schema, "now int", "append", GroupStateTimeout.NoTimeout)
-    return run_to_end(dialogue.outcomes(run), path).drop("batch_id")
+    """Form dialogue on a stream: every batch continues the conversations where the batches before left them.
 
+    The state per conversation is the count of filled fields.  A batch runs the same block-wise fold as the batch job
+    (so a conversation with most of the turns is still cut over many tasks) from the newest count of its conversations,
+    and writes the counts it changed under its own number; a replayed batch reads only earlier numbers.
+    """
+    spark = turns.sparkSession
+    counts = "conv_id long, before int"
+
+    def fold(batch: DataFrame, batch_id: int) -> None:
+        moved = dialogue.with_moves(batch)
+        entry = None
+        if batch_id > 0:
+            earlier = spark.read.schema(f"{counts}, batch_id long").parquet(f"{path}/counts").where(F.col("batch_id") < batch_id)
+            mine = earlier.join(batch.select("conv_id").distinct(), "conv_id", "left_semi")
+            entry = mine.groupBy("conv_id").agg(F.max_by("before", "batch_id").alias("before"))
+        run = materialized(dialogue.counts_before(moved, entry=entry), "turns")
+        dialogue.outcomes(run).write.mode("overwrite").parquet(f"{path}/out/batch_id={batch_id}")
+        last = run.groupBy("conv_id").agg(F.max_by(F.get("moves", F.col("before")), "turn").cast("int").alias("before"))
+        last.write.mode("overwrite").parquet(f"{path}/counts/batch_id={batch_id}")
+
+    return run_to_end(turns, path, each=fold).drop("batch_id")

@@ -115,3 +115,22 @@ def test_no_join_without_keys(spark):
     for name in ("cross_doc_pairs", "majority_vote", "best_form_check", "case_score", "remediation_route", "scheme_match", "prefill_form"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan, name
+
+
+def test_dialogue_stream_continues_over_batches(spark):
+    """Turns that arrive in several files give the same outcomes as all turns at once."""
+    import tempfile
+
+    from milaan.streaming import jobs
+
+    folder = tempfile.mkdtemp(prefix="run-")
+    said = ["Sanika Chavan", "Santosh Chavan", "wrong", "Ravi Chavan", "15/08/2001", "Flat 12, CIDCO, Aurangabad", "done"]
+    ddl = "conv_id long, service_id string, turn long, transcript string"
+    rows = [(c, "rto_dl_update", t, said[t]) for c in (1, 2) for t in range(len(said)) if c == 1 or t < 4]
+    for start in (0, 3, 5):
+        part = [r for r in rows if start <= r[2] < {0: 3, 3: 5, 5: 99}[start]]
+        spark.createDataFrame(part, ddl).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    got = {tuple(r) for r in jobs.form_fill_stream(stream, f"{folder}/job").collect()}
+    want = {tuple(r) for r in dialogue.turn_outcomes(spark.createDataFrame(rows, ddl)).collect()}
+    assert got == want and len(got) == len(rows)
