@@ -41,11 +41,6 @@ def readable(c: Column) -> Column:
     return F.coalesce(~F.upper(strip(c)).isin(UNCERTAIN, "N/A", "NA", ""), F.lit(False))
 
 
-def shown(c: Column) -> Column:
-    """A value for output, with the sentinel back in place."""
-    return F.coalesce(c, F.lit(UNCERTAIN))
-
-
 def clean(c: Column) -> Column:
     """Lower case; everything but letters, digits, underscore and white space becomes a blank (marks included)."""
     return strip(F.regexp_replace(F.lower(c), r"(?U)[^\p{L}\p{N}_\s]", " "))

@@ -24,11 +24,11 @@ def drop_form_docs(docs: DataFrame) -> DataFrame:
     return docs.where(~F.coalesce(F.col("doc_type"), F.lit("")).isin(*facts.FORM_DOC_TYPES))
 
 
-def unpivot_fields(docs: DataFrame, fields: list[str] | None = None) -> DataFrame:
-    """One row per (document, identity field); a field the record lacks reads UNCERTAIN."""
+def unpivot_fields(docs: DataFrame, fields: list[str] | None = None, absent: str = text.UNCERTAIN) -> DataFrame:
+    """One row per (document, identity field); a field the record lacks reads ``absent``."""
     names = F.array(*[F.lit(f) for f in (fields or FIELD_ORDER)])
     return docs.select("case_id", "doc_ord", "doc_type", F.explode(names).alias("field"), "fields").select(
-        "case_id", "doc_ord", "doc_type", "field", text.shown(F.try_element_at("fields", F.col("field"))).alias("value")
+        "case_id", "doc_ord", "doc_type", "field", F.coalesce(F.try_element_at("fields", F.col("field")), F.lit(absent)).alias("value")
     )
 
 

@@ -48,11 +48,11 @@ def form_checks_desk(forms: DataFrame, docs: DataFrame) -> DataFrame:
     """
     rank = {"MATCH": 4, "VARIANT": 3, "UNCERTAIN": 2, "CRITICAL": 1}
     compared = form_rows(forms).where("compare_to IS NOT NULL")
-    groups = value_groups(unpivot_fields(docs)).withColumnRenamed("field", "compare_to")
+    groups = value_groups(unpivot_fields(docs, absent="")).withColumnRenamed("field", "compare_to")
     count = docs.groupBy("case_id").agg(F.count(F.lit(1)).alias("case_docs"))
-    met = compared.join(groups.hint("merge"), ["case_id", "compare_to"], "left").join(count, "case_id", "left")
+    met = compared.join(groups.hint("merge"), ["case_id", "compare_to"]).join(count, "case_id")
     status = compare.desk_view_status(F.col("compare_to"), F.col("form_value"), F.col("value"))
-    considered = F.col("value").isNotNull() & (~compare.desk_view_missing(F.col("value")) | (F.col("case_docs") == 1))
+    considered = ~compare.desk_view_missing(F.col("value")) | (F.col("case_docs") == 1)
     preferred = F.coalesce(F.col("compare_doc") == F.col("doc_type"), F.lit(False))
     visit = F.struct(F.when(preferred, 0).otherwise(1).alias("late"), F.col("first_ord").alias("ord"))
     agrees = F.col("status").isin("MATCH", "VARIANT")
@@ -62,11 +62,12 @@ def form_checks_desk(forms: DataFrame, docs: DataFrame) -> DataFrame:
     key = F.struct(F.when(agrees, 0).otherwise(1), F.when(agrees, 0).otherwise(score), visit, "doc_type", "value", "status")
     return (
         met.withColumn("status", F.when(considered, status))
+        .unionByName(compared, allowMissingColumns=True)
         .groupBy("case_id", "service_id", "form_key", "field_ord", "label", "high_stakes", "form_value")
         .agg(F.min(F.when(F.col("status").isNotNull(), key)).alias("b"))
         .select(
             "case_id", "service_id", "form_key", "field_ord", "label", "high_stakes", "form_value",
-            F.col("b.doc_type").alias("doc_type"), F.col("b.value").alias("doc_value"),
+            F.col("b.doc_type").alias("doc_type"), F.nullif("b.value", F.lit("")).alias("doc_value"),
             F.coalesce("b.status", F.lit("UNCERTAIN")).alias("status"),
         )
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime plan choices: coalesce small shuffles, split skewed join partitions even when that costs one more exchange.
 # A row of this work costs far more time than bytes, so partitions are kept smaller than Spark's defaults.
@@ -25,6 +25,25 @@ def tuned(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# Source bytes one shuffle task should stand for, and the sizes Spark reports when it does not know.
+BYTES_PER_TASK = 64 << 20
+UNKNOWN_SIZE = 1 << 60
+
+
+def size_shuffles(*tables: DataFrame) -> None:
+    """Start shuffles with enough partitions for the size of the inputs; AQE merges the ones that turn out small.
+
+    Never fewer than ``spark.sql.shuffle.partitions``; inputs of unknown size count as nothing.
+    """
+    spark = tables[0].sparkSession
+    sizes = [int(str(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for t in tables]
+    total = sum(size for size in sizes if size < UNKNOWN_SIZE)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set(
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(min(max(least, total // BYTES_PER_TASK), 1_000_000))
+    )
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.  The cluster names it; a local session without one gets its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

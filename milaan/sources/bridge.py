@@ -154,9 +154,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _spread(table: DataFrame, key: str) -> DataFrame:
-    """Give a table of few files to all cores: one row here becomes dozens.  A table of many files is left alone."""
+    """Give a table of few splits to all cores: one row here becomes dozens.  A table of many splits is left alone."""
     cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores, key) if len(table.inputFiles()) < cores else table
+    return table.repartition(cores, key) if table.rdd.getNumPartitions() < cores else table
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -134,3 +134,18 @@ def test_dialogue_stream_continues_over_batches(spark):
     got = {tuple(r) for r in jobs.form_fill_stream(stream, f"{folder}/job").collect()}
     want = {tuple(r) for r in dialogue.turn_outcomes(spark.createDataFrame(rows, ddl)).collect()}
     assert got == want and len(got) == len(rows)
+
+
+def test_shuffles_follow_the_input_size(spark, monkeypatch):
+    from milaan import session
+
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    table = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    session.size_shuffles(table)
+    assert spark.conf.get(key) == spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(session, "BYTES_PER_TASK", 1024)
+    session.size_shuffles(table)
+    assert int(spark.conf.get(key)) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.undo()
+    session.size_shuffles(spark.createDataFrame([(1,)], "a int"))
+    assert spark.conf.get(key) == spark.conf.get("spark.sql.shuffle.partitions")
