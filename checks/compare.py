@@ -51,6 +51,15 @@ def rows_of(columns: list[str], rows) -> list[tuple]:
     return sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
 
 
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
+def type_notes(frame, description) -> list[str]:
+    """Columns whose type differs between the two engines (values are compared as numbers either way)."""
+    sql = {d[0]: str(d[1]) for d in description}
+    return [f"{n}: {t}/{sql.get(n)}" for n, t in frame.dtypes if TYPES.get(t) != sql.get(n)]
+
+
 def differences(spark: SparkSession, con, name: str, sf_dir: str) -> tuple[str | None, float, int]:
     started = time.time()
     frame = QUERIES[name](spark, sf_dir)
@@ -60,6 +69,9 @@ def differences(spark: SparkSession, con, name: str, sf_dir: str) -> tuple[str |
         return None, spent, len(got)
     cursor = con.execute(ORACLE_SQL[name])
     want_columns = [d[0] for d in cursor.description]
+    notes = type_notes(frame, cursor.description)
+    if notes:
+        print(f"     {name} types {notes}", flush=True)
     want = cursor.fetchall()
     if sorted(got_columns) != sorted(want_columns):
         return f"columns {sorted(set(got_columns) ^ set(want_columns))}", spent, len(got)

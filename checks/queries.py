@@ -186,7 +186,7 @@ _SELECTS: dict[str, str] = {
         JOIN (SELECT service_id AS s2, count(*) AS fields, count(*) FILTER (high_stakes) AS high_stakes, count(compare_to) AS compared FROM form_fields GROUP BY ALL) f ON s2 = s.service_id
         JOIN (SELECT service_id AS s3, count(*) AS rules, count(validator) AS validators FROM field_rules GROUP BY ALL) r ON s3 = s.service_id
         JOIN (SELECT service_id AS s4, count(*) FILTER (kind = 'required') AS required_docs, count(*) AS docs FROM service_docs GROUP BY ALL) d ON s4 = s.service_id
-        JOIN (SELECT service_id AS s5, round(w_format + w_docs + w_match + w_complete + w_eligible, 6) AS weight_sum FROM weights) w ON s5 = s.service_id""",
+        JOIN (SELECT service_id AS s5, round(w_format + w_docs + w_match + w_complete + w_eligible, 6)::DOUBLE AS weight_sum FROM weights) w ON s5 = s.service_id""",
     "load_cases": """SELECT c_custkey::VARCHAR AS case_id, 'u' || (c_custkey % 20) AS user_id, (c_custkey % 5)::INT AS step,
         CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS full_name, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey::VARCHAR END AS age,
         CASE WHEN c_custkey % 4 = 0 THEN 0 ELSE 1 END::BIGINT AS n_docs, CASE WHEN c_custkey % 4 <> 0 THEN '14/06/1992' END AS dob,
@@ -298,7 +298,7 @@ _SELECTS: dict[str, str] = {
     "field_issues": "SELECT case_id, service_id, form_key, severity, message FROM issues",
     "rejection_risks": "SELECT case_id, service_id, (row_number() OVER (PARTITION BY case_id ORDER BY ord) - 1)::INT AS ord, risk FROM risks",
     "approved_fields": "SELECT case_id, service_id, form_key, value FROM approved",
-    "doc_ocr_pct": "SELECT * FROM ocr_pct",
+    "doc_ocr_pct": "SELECT case_id, doc_ord, doc_type, ocr_readable::INT AS ocr_readable, ocr_expected::INT AS ocr_expected, ocr_pct FROM ocr_pct",
     "doc_verify_pct": "SELECT * FROM verify_pct",
     "doc_overall_pct": "SELECT case_id, doc_ord, doc_type, ocr_pct, verify_pct, overall_pct FROM accuracy",
     "case_overall_pct": "SELECT case_id, floor(avg(overall_pct) + 0.5)::INT AS accuracy_pct FROM accuracy GROUP BY ALL",
