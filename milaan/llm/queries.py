@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from milaan.llm.op01_mix import ORACLE as MIX_SQL
 from milaan.llm.op01_mix import op1_mix
+from milaan.llm.op10_decontaminate import ORACLE as DECONTAMINATE_SQL
+from milaan.llm.op10_decontaminate import op10_decontaminate
 
-QUERIES = {"op1_mix": op1_mix}
-ORACLE_SQL = {"op1_mix": MIX_SQL}
+QUERIES = {"op1_mix": op1_mix, "op10_decontaminate": op10_decontaminate}
+ORACLE_SQL = {"op1_mix": MIX_SQL, "op10_decontaminate": DECONTAMINATE_SQL}
