@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,17 +16,21 @@ SMALL_ROWS = 100_000
 SLICE_BYTES = 4 << 20
 # Rows per Arrow batch: long texts must not add up to more than an executor holds.
 BATCH_ROWS = 1000
+HOME = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the rows (and so the bytes) of the batches that Python workers get."""
+def prepare(spark: SparkSession) -> None:
+    """Bound the rows (and so the bytes) of the batches that Python workers get, and let them find this package."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if HOME not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (known, HOME) if x)
 
 
 def small(frame: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:

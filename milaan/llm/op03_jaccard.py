@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from milaan.llm.common import small_batches, table, text_slices
+from milaan.llm.common import prepare, table, text_slices
 from milaan.llm.components import components
 from milaan.llm.textvec import Words, mixed, shingles, words
 from milaan.sources.writers import materialized
@@ -267,7 +267,7 @@ def _tiles(rows: DataFrame, group: str, blocks) -> DataFrame:
 
 def described(docs: DataFrame) -> DataFrame:
     """(doc_id, print, set, n, lanes) of every row, written once."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("print"), "text")
     return materialized(slim.mapInArrow(_describe, "doc_id long, print string, set binary, n long, lanes binary"), "described")
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from milaan.llm.common import small_batches, table, text_slices
+from milaan.llm.common import prepare, table, text_slices
 
 BUCKETS = 1 << 14
 SMOOTH = 0.5
@@ -131,7 +131,7 @@ def _predict(model):
 def identify(docs: DataFrame) -> DataFrame:
     """The documents with held_out, lang_pred and score."""
     spark = docs.sparkSession
-    small_batches(spark)
+    prepare(spark)
     docs = docs.drop(*[c for c in docs.columns if c in ("held_out", "lang_pred", "score")])
     model = spark.sparkContext.broadcast(fit(docs))
     out = docs.drop("lang").withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)})

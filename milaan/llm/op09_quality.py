@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from milaan.llm.common import SMALL_ROWS, small_batches, table, text_slices
+from milaan.llm.common import SMALL_ROWS, prepare, table, text_slices
 from milaan.llm.textvec import BASE, Words, mixed, words_and_signs
 
 DIM = 1 << 18
@@ -120,7 +120,7 @@ def _scores(weights):
 def quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """The documents with held_out, score and predicted."""
     spark = docs.sparkSession
-    small_batches(spark)
+    prepare(spark)
     docs = docs.drop(*[c for c in docs.columns if c in ("held_out", "score", "predicted")])
     weights = spark.sparkContext.broadcast(fit(docs, labels, train_rows))
     out = docs.withColumn("score", F.lit(0.0))

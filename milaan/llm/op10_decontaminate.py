@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from milaan.llm.common import small_batches, table, text_slices
+from milaan.llm.common import prepare, table, text_slices
 from milaan.llm.textvec import Lookup, Words, shingles, whole, words
 from milaan.sources.writers import materialized
 
@@ -175,7 +175,7 @@ def _covered(spans: list[int]) -> int:
 
 def decontaminate(docs: DataFrame, items: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """The documents with n_words, n_hit, n_items, items_sha256 and contaminated."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     made = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     docs = docs.drop(*[c for c in docs.columns if c in made])
     found = materialized(windows(items), "windows")
