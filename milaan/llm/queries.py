@@ -5,10 +5,13 @@ from __future__ import annotations
 from milaan.llm.op01_mix import ORACLE as MIX_SQL
 from milaan.llm.op01_mix import op1_mix
 from milaan.llm.op03_jaccard import op3_jaccard
+from milaan.llm.op05_secrets import op5_secrets
+from milaan.llm.op07_warc import ORACLE as WARC_SQL
+from milaan.llm.op07_warc import op7_warc
 from milaan.llm.op08_language import op8_language
 from milaan.llm.op09_quality import op9_quality
 from milaan.llm.op10_decontaminate import ORACLE as DECONTAMINATE_SQL
 from milaan.llm.op10_decontaminate import op10_decontaminate
 
-QUERIES = {"op1_mix": op1_mix, "op3_jaccard": op3_jaccard, "op8_language": op8_language, "op9_quality": op9_quality, "op10_decontaminate": op10_decontaminate}
-ORACLE_SQL = {"op1_mix": MIX_SQL, "op10_decontaminate": DECONTAMINATE_SQL}
+QUERIES = {"op1_mix": op1_mix, "op3_jaccard": op3_jaccard, "op5_secrets": op5_secrets, "op7_warc": op7_warc, "op8_language": op8_language, "op9_quality": op9_quality, "op10_decontaminate": op10_decontaminate}
+ORACLE_SQL = {"op1_mix": MIX_SQL, "op7_warc": WARC_SQL, "op10_decontaminate": DECONTAMINATE_SQL}
