@@ -1,0 +1,301 @@
+"""PII: detected entities get keyed surrogates of their own type, gender, script and format.
+
+Detected are e-mail addresses, phone numbers, payment cards (Luhn), IPv4 addresses, IBANs (mod 97), US social security numbers,
+and persons: a given name of the lists below before a capitalised surname.  An entity is its normal form (lower case, digits only,
+and so on); however it is written, it is one entity.  Its surrogate is drawn from a keyed hash of kind, normal form and attempt:
+digits for digits, letters for letters of the same script, checksums that hold, a given name of the same gender and script,
+a feminine surname for a feminine one.  It is written in the format and case that the text used.
+
+All distinct entities of the corpus are one table.  Surrogates are checked against each other and against every real entity of
+their kind; the least entity keeps a contested surrogate, the others draw again, until none is left.  So two entities never share
+a surrogate, no surrogate is somebody's real value, and an entity has one surrogate in all documents.  Given names are mapped by a
+keyed permutation of their own list, which is one to one.  Only documents with entities are shuffled.
+
+Defined results: null and empty texts stay as they are; repeated rows get equal texts; overlapping finds count once, the first and
+longest wins; extra columns are kept.  Result columns replace input columns of the same name.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from hashlib import blake2b
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from milaan.llm.common import prepare, table, text_slices
+from milaan.llm.textvec import Lookup, words
+from milaan.sources.writers import materialized
+
+KEY = "surrogates-1"
+ROUNDS = 64
+KINDS = ("email", "iban", "card", "ssn", "phone", "ip", "person")
+
+# Common given names by script and gender, and what surnames are made of.
+GIVEN = {
+    ("latin", "f"): "Mary Patricia Jennifer Elizabeth Barbara Susan Jessica Margaret Katherine Helen Dorothy Amanda Melissa Deborah Stephanie Rebecca Laura Kimberly Angela Nicole Charlotte Victoria Gabriela Francesca".split(),
+    ("latin", "m"): "James Robert John Michael William David Richard Joseph Thomas Charles Christopher Daniel Matthew Anthony Steven Andrew Joshua Kenneth Kevin Brian George Timothy Alexander Wolfgang".split(),
+    ("cyrillic", "f"): "Анна Мария Елена Ольга Наталья Татьяна Екатерина Светлана Ирина Людмила".split(),
+    ("cyrillic", "m"): "Александр Сергей Дмитрий Андрей Алексей Иван Михаил Николай Владимир Павел".split(),
+}
+ALPHABETS = {
+    "digit": "0123456789", "latin": "abcdefghijklmnopqrstuvwxyz", "accented": "àáâãäåçèéêëìíîïñòóôõöùúûüý",
+    "cyrillic": "абвгдежзийклмнопрстуфхцчшщыэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω",
+}
+VOWELS = {"latin": "aeiou", "cyrillic": "аеиоу"}
+CONSONANTS = {"latin": "bdfgklmnprstvz", "cyrillic": "бвгдзклмнпрст"}
+
+CLASS_OF = {c: k for k, chars in ALPHABETS.items() for c in chars}
+NAME_OF = {n.lower(): (group, i) for group, names in GIVEN.items() for i, n in enumerate(names)}
+
+ISSUERS = "23456"  # what card numbers begin with
+
+EMAIL = re.compile(r"[\w.%+-]*[\w%+-]@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+CARD = re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])")
+SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
+PHONE = re.compile(r"(?<![\w.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\w-])")
+IP = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)")
+PERSON = re.compile(r"\b(" + "|".join(sorted((n for v in GIVEN.values() for n in v), key=len, reverse=True)) + r") ([^\W\d_][^\W\d_]+(?:[-'’][^\W\d_]+)?)\b")
+
+
+def luhn(digits: str) -> int:
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        n = int(c) * (1 + i % 2)
+        total += n - 9 * (n > 9)
+    return total % 10
+
+
+def mod97(iban: str) -> int:
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def _digits(s: str) -> str:
+    return "".join(c for c in s if c.isdigit())
+
+
+def entities(text: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, kind, normal form), none overlapping."""
+    found = [(m.start(), m.end(), "email", m[0].lower()) for m in EMAIL.finditer(text)]
+    found += [(m.start(), m.end(), "iban", m[0].replace(" ", "")) for m in IBAN.finditer(text) if 15 <= len(m[0].replace(" ", "")) <= 34 and mod97(m[0].replace(" ", "")) == 1]
+    found += [(m.start(), m.end(), "card", _digits(m[0])) for m in CARD.finditer(text) if m[0][0] in ISSUERS and luhn(_digits(m[0])) == 0]
+    found += [(m.start(), m.end(), "ssn", _digits(m[0])) for m in SSN.finditer(text)]
+    found += [(m.start(), m.end(), "phone", "+" * (m[0][0] == "+") + _digits(m[0])) for m in PHONE.finditer(text) if 7 <= len(_digits(m[0])) <= 15]
+    found += [(m.start(), m.end(), "ip", m[0]) for m in IP.finditer(text)]
+    for m in PERSON.finditer(text):
+        if m[2][0].isupper():
+            found.append((m.start(), m.end(), "person", f"{m[1]} {m[2]}".lower()))
+    out: list[tuple[int, int, str, str]] = []
+    for x in sorted(found, key=lambda x: (x[0], -x[1], KINDS.index(x[2]))):
+        if not out or x[0] >= out[-1][1]:
+            out.append(x)
+    return out
+
+
+class Draw:
+    """Numbers from a keyed hash; the same for the same words."""
+
+    def __init__(self, key: str, *words: str):
+        self.key, self.seed, self.n = key.encode()[:64], "\0".join(words).encode(), 0
+
+    def below(self, n: int) -> int:
+        self.n += 1
+        return int.from_bytes(blake2b(self.seed + b"\0%d" % self.n, key=self.key, digest_size=8).digest(), "big") % n
+
+    def of(self, chars: str) -> str:
+        return chars[self.below(len(chars))]
+
+
+def given_name(name: str, key: str = KEY) -> str:
+    """The name that a keyed permutation of its own list (gender and script) puts there; never itself."""
+    group, i = NAME_OF[name.lower()]
+    names = GIVEN[group]
+    draw, order = Draw(key, "given", *group), list(range(len(names)))
+    for k in range(len(order) - 1, 0, -1):  # one cycle through all, so nothing stays in place
+        j = draw.below(k)
+        order[k], order[j] = order[j], order[k]
+    return names[order[i]]
+
+
+def _like(draw: Draw, text: str) -> str:
+    """Letters for letters of the same script, digits for digits, the rest as it is."""
+    return "".join(draw.of(ALPHABETS[CLASS_OF[c]]) if c in CLASS_OF else c for c in text)
+
+
+def _surname(draw: Draw, name: str) -> str:
+    script = "cyrillic" if CLASS_OF.get(name[0]) == "cyrillic" else "latin"
+    ends = next((e for e in ("ова", "ева", "ина", "ская", "ов", "ев", "ин", "ский", "ová", "ova", "son", "ski", "ska", "ez") if name.endswith(e) and len(name) > len(e) + 1), "")
+    size = max(4, min(9, len(name) - len(ends) + 1))
+    stem = "".join(draw.of(CONSONANTS[script]) if i % 2 == 0 else draw.of(VOWELS[script]) for i in range(size))
+    return stem + ends
+
+
+def surrogate(kind: str, norm: str, attempt: int, key: str = KEY) -> str:
+    """A normal form of the same kind and shape, never the same one."""
+    while True:
+        draw = Draw(key, kind, norm, str(attempt))
+        if kind == "email":
+            local, _, domain = norm.partition("@")
+            # The last two labels are of a domain that is reserved for examples, so no surrogate reaches anybody.
+            out = f"{_like(draw, local)}@" + ".".join([*(_like(draw, x) for x in domain.split(".")[:-2]), "example", ("com", "net", "org")[draw.below(3)]])
+        elif kind == "ip":
+            out = ".".join(str(1 + draw.below(254)) for _ in range(4))
+        elif kind == "card":
+            body = norm[0] + _like(draw, norm[1:-1])
+            out = body + next(c for c in "0123456789" if luhn(body + c) == 0)
+        elif kind == "iban":
+            body = norm[:2] + "00" + "".join(draw.of("ABCDEFGHIJKLMNOPQRSTUVWXYZ") if c.isalpha() else draw.of("0123456789") for c in norm[4:])
+            out = f"{body[:2]}{98 - mod97(body):02d}{body[4:]}"
+        elif kind == "phone":
+            own = norm.lstrip("+")
+            code = max(0, len(own) - 10) if norm[0] == "+" else 0
+            out = "+" * (norm[0] == "+") + own[:code] + _like(draw, own[code:])
+        elif kind == "person":
+            first, _, last = norm.partition(" ")
+            out = f"{given_name(first, key).lower()} {_surname(draw, last)}"
+        else:
+            out = _like(draw, norm)
+        if out != norm:
+            return out
+        attempt += 1 << 20
+
+
+def written(kind: str, shown: str, made: str) -> str:
+    """The surrogate in the format and case of what the text shows."""
+    if kind in ("card", "ssn", "phone"):
+        digits = iter(_digits(made))
+        return "".join(next(digits) if c.isdigit() else c for c in shown)
+    if kind == "iban":
+        chars = iter(made)
+        return "".join(c if c == " " else next(chars) for c in shown)
+    if kind == "person":
+        first, _, last = made.partition(" ")
+        own_first, _, own_last = shown.partition(" ")
+        cased = lambda own, new: new.upper() if own.isupper() else new[:1].upper() + new[1:]
+        return f"{cased(own_first, first)} {cased(own_last, last)}"
+    return made.upper() if shown.isupper() else made
+
+
+_GIVEN_KEYS: list[Lookup] = []
+
+
+def _given_words() -> Lookup:
+    """The hashes of the given names as the word splitter makes them (it lower-cases A-Z only)."""
+    if not _GIVEN_KEYS:
+        raw = " ".join(n for v in GIVEN.values() for n in v).encode()
+        _GIVEN_KEYS.append(Lookup(words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).hash))
+    return _GIVEN_KEYS[0]
+
+
+def _suspects(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Rows that can hold an entity: an at sign, four digits or an IP's dots among digits, or a given name."""
+    at = [np.flatnonzero(raw == 64)]
+    digit = (raw >= 48) & (raw <= 57)
+    many = np.concatenate(([0], np.cumsum(digit)))
+    out = many[offsets[1:]] - many[offsets[:-1]] >= 4
+    w = words(raw, offsets)
+    name, _ = _given_words().where(w.hash)
+    rows = np.searchsorted(offsets, np.concatenate([*at, w.start[name]]), "right") - 1
+    out[rows] = True
+    return np.flatnonzero(out)
+
+
+def _found(raw: np.ndarray, offsets: np.ndarray) -> dict[int, tuple[str, list]]:
+    out = {}
+    for row in _suspects(raw, offsets).tolist():
+        text = raw[offsets[row] : offsets[row + 1]].tobytes().decode("utf-8", "replace")
+        own = entities(text)
+        if own:
+            out[row] = (text, own)
+    return out
+
+
+def _with(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with entities, and the distinct entities of each."""
+    for rows, raw, offsets, _ in text_slices(batches):
+        found = _found(raw, offsets)
+        if found:
+            kept = rows.take(pa.array(sorted(found)))
+            cols = {f.name: kept.column(i) for i, f in enumerate(kept.schema) if f.name != "__ents"}
+            own = [sorted({f"{k}\0{n}" for _, _, k, n in found[r][1]}) for r in sorted(found)]
+            yield pa.RecordBatch.from_pydict(cols | {"__ents": pa.array(own, pa.list_(pa.string()))})
+
+
+def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows, raw, offsets, _ in text_slices(batches):
+        keep = np.ones(rows.num_rows, bool)
+        keep[list(_found(raw, offsets))] = False
+        yield rows.filter(pa.array(keep))
+
+
+def _drawn(key: str):
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ent, attempt = b.column("ent").to_pylist(), b.column("attempt").to_pylist()
+            made = [f"{e.partition(chr(0))[0]}\0{surrogate(*e.split(chr(0), 1), a, key)}" for e, a in zip(ent, attempt, strict=True)]
+            yield pa.RecordBatch.from_pydict({"ent": b.column("ent"), "attempt": b.column("attempt"), "made": pa.array(made, pa.string())})
+
+    return drawn
+
+
+def surrogates(ents: DataFrame, key: str = KEY) -> DataFrame:
+    """(ent) distinct -> (ent, made): one to one, and nothing made is an entity itself."""
+    taken = ents.select(F.col("ent").alias("made"), F.lit("").alias("by"))  # real values: nobody may get them
+    pending = ents.withColumn("attempt", F.lit(0).cast("int"))
+    done = None
+    for attempt in range(ROUNDS):
+        tried = materialized(pending.mapInArrow(_drawn(key), "ent string, attempt int, made string"), "tried")
+        claims = taken.unionByName(tried.select("made", F.col("ent").alias("by")))
+        # The empty name sorts first, so values that are taken beat every claim.
+        winners = claims.groupBy("made").agg(F.min("by").alias("ent"))
+        good = tried.join(winners, ["made", "ent"], "left_semi").select("ent", "made")
+        done = materialized(good if done is None else done.unionByName(good), "surrogates")
+        bad = tried.join(done, "ent", "left_anti").select("ent", F.lit(attempt + 1).cast("int").alias("attempt"))
+        pending = materialized(bad, "pending")
+        if not pending.take(1):
+            return done
+        taken = taken.unionByName(good.select("made", F.lit("").alias("by")))
+    raise ValueError(f"no free surrogate after {ROUNDS} draws")
+
+
+def _replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts, counts = [], {f"n_{k}": [] for k in KINDS}
+        maps = b.column(b.schema.get_field_index("__map")).to_pylist()
+        for text, pairs in zip(b.column(b.schema.get_field_index("text")).to_pylist(), maps, strict=True):
+            made = {p["ent"]: p["made"].split("\0", 1)[1] for p in pairs}
+            out, upto, seen = [], 0, dict.fromkeys(KINDS, 0)
+            for start, end, kind, norm in entities(text):
+                out += [text[upto:start], written(kind, text[start:end], made[f"{kind}\0{norm}"])]
+                upto = end
+                seen[kind] += 1
+            texts.append("".join([*out, text[upto:]]))
+            for k in KINDS:
+                counts[f"n_{k}"].append(seen[k])
+        cols = {f.name: b.column(i) for i, f in enumerate(b.schema) if f.name not in ("__map", "text", *counts)}
+        yield pa.RecordBatch.from_pydict(cols | {"text": pa.array(texts, pa.string())} | {k: pa.array(v, pa.int64()) for k, v in counts.items()})
+
+
+def pseudonymized(docs: DataFrame, key: str = KEY) -> DataFrame:
+    """The documents with surrogates in their texts, and the number of entities of each kind."""
+    prepare(docs.sparkSession)
+    counts = [f"n_{k}" for k in KINDS]
+    docs = docs.drop(*[c for c in docs.columns if c in counts])
+    empty = docs.withColumn("__ents", F.array().cast("array<string>"))
+    marked = materialized(empty.mapInArrow(_with, empty.schema).withColumn("__rid", F.monotonically_increasing_id()), "entities")
+    each = marked.select("__rid", F.explode("__ents").alias("ent"))
+    made = surrogates(materialized(each.select("ent").distinct(), "distinct-entities"), key)
+    maps = each.join(made, "ent").groupBy("__rid").agg(F.collect_list(F.struct("ent", "made")).alias("__map"))
+    plain = docs.withColumns({c: F.lit(0).cast("long") for c in counts})
+    with_maps = marked.drop("__ents").join(maps, "__rid").drop("__rid")
+    names = [c for c in docs.columns if c != "text"] + ["text", *counts]
+    out = with_maps.select(*[c for c in docs.columns if c != "text"], "text", "__map").mapInArrow(_replace, plain.select(*names).schema)
+    return docs.mapInArrow(_without, docs.schema).withColumns({c: F.lit(0).cast("long") for c in counts}).select(*plain.columns).unionByName(out.select(*plain.columns))
+
+
+def op6_pii(spark, sf_dir: str) -> DataFrame:
+    return pseudonymized(table(spark, sf_dir, "documents").select("doc_id", "text"))
