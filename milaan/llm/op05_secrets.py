@@ -37,6 +37,7 @@ LEAST = 20
 PER_CHAR = 0.5
 TOTAL = 15.0
 SMOOTH = 0.5
+BACK_OFF = 500.0  # so a few unlabelled secrets among the identifiers do not make their own transitions ordinary
 SIGNS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 # Code 0 stands for everything else, so a run's first and last transitions are learned too.
 CODE = np.zeros(256, np.int64)
@@ -132,8 +133,10 @@ def fit(docs: DataFrame) -> np.ndarray | None:
     counts[:, 0, 0] = 0
     if not counts[1].any():
         return None
-    seen = counts + SMOOTH
-    chance = np.log(seen / seen.sum(2, keepdims=True))
+    # A rare context falls back on how often each character comes at all.
+    single = counts.sum(1) + SMOOTH
+    single /= single.sum(1, keepdims=True)
+    chance = np.log((counts + BACK_OFF * single[:, None, :]) / (counts.sum(2, keepdims=True) + BACK_OFF))
     return (chance[1] - chance[0]).ravel()
 
 
