@@ -18,28 +18,37 @@ from milaan.llm.op10_decontaminate import decontaminate
 from milaan.sources.writers import scratch_path
 
 
+NEEDED = ("doc_id", "text", "lang", "source")
+
+
+def beside(docs: DataFrame, operator) -> DataFrame:
+    """Run an operator on documents whose other columns have names that cannot clash; their values come back untouched."""
+    names = [c if c in NEEDED else f"__extra{i}" for i, c in enumerate(docs.columns)]
+    return operator(docs.toDF(*names)).select(*names).toDF(*docs.columns)
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores below one half go."""
-    return quality(docs, table(spark, sf_dir, "labels")).filter("predicted = 1").select(*docs.columns)
+    return beside(docs, lambda d: quality(d, table(spark, sf_dir, "labels")).filter("predicted = 1"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: that of the least doc_id."""
-    return one_of_each(docs).select(*docs.columns)
+    return beside(docs, one_of_each)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the contract's rule calls contaminated go."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("NOT contaminated").select(*docs.columns)
+    return beside(docs, lambda d: decontaminate(d, table(spark, sf_dir, "benchmark")).filter("NOT contaminated"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts is replaced by surrogates; all documents stay."""
-    return pseudonymized(docs).select(*docs.columns)
+    return beside(docs, pseudonymized)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many copies of each document the mix takes, beside the document."""
+    """How many copies of each document the mix takes, beside the document; columns of the mix replace documents' of the same name."""
     return mix(docs)
 
 

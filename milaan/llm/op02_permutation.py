@@ -135,7 +135,7 @@ def search(vectors: DataFrame, k: int = K, keep: float = KEEP) -> DataFrame:
     reach = own.agg(F.max(length)).first()[0] or 0.0
     m = min(total, max(PIVOTS[0], min(PIVOTS[1], math.isqrt(total))))
     drawn = [r["v"] for r in own.select("v", F.xxhash64("v").alias("h")).orderBy("h").limit(m).collect()]
-    pivots = np.array(drawn, float).reshape(m, -1)
+    pivots = np.array(drawn, float).reshape(m, len(drawn[0]) if drawn else 1)
     pivots = np.hstack([pivots, np.sqrt(np.maximum(0, reach**2 - (pivots**2).sum(1, keepdims=True)))])
     probes = min(m, max(48, m // 5))
     prefix = min(m, PREFIX)
