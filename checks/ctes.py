@@ -493,7 +493,7 @@ CTES: dict[str, str] = {
         SELECT case_id, service_id, 0 AS ord, risk FROM scores WHERE risk IS NOT NULL
         UNION ALL SELECT case_id, service_id, 1, 'Missing required documents: ' || missing FROM scores WHERE lacking > 0
         UNION ALL SELECT s.case_id, s.service_id, 2 + r.ord, r.reason FROM scores s JOIN reasons r USING (service_id)
-            WHERE s.rule_fails OR s.form_blockers > 0)""",
+            WHERE r.ord < 2 AND (s.rule_fails OR s.form_blockers > 0))""",
     # --- accuracy
     "expected": values_table([(d, f) for d, fs in facts.rows(facts.EXPECTED_FIELDS) for f in facts.items(fs)], "doc_type", "field"),
     "ocr_pct": """SELECT d.case_id, d.doc_ord, d.doc_type, count(*) FILTER (upper(trim(l.value)) NOT IN ('', 'UNCERTAIN')) AS ocr_readable,
@@ -565,7 +565,7 @@ CTES: dict[str, str] = {
         LEFT JOIN stakes p ON p.service_id = h.service_id AND p.k = w.before - 1
         LEFT JOIN moves m ON m.conv_id = h.conv_id AND m.n = h.n AND m.k = w.before""",
     # --- case updates
-    "patches": "SELECT user_id AS case_id, ts, event_id AS patch_id, "
+    "patches": "SELECT user_id AS case_id, ts, event_id AS patch_id, event_id % 9 = 4 AS foreign_, "
     + ", ".join(f"{sql} AS {name}" for name, sql in bridge.PATCH_COLUMNS.items())
     + " FROM events",
     "known": f"SELECT user_id AS case_id, min(ts) AS created_at FROM events WHERE {bridge.CASE_EXISTS} GROUP BY ALL",

@@ -24,6 +24,8 @@ _FALLBACK = "WHEN case_id % 2 = 0 THEN 'Voter ID' ELSE 'Other' END"
 _CARD = """(SELECT r.case_id, r.form_key, r.compare_to AS field, r.form_value AS value_a, l.value AS value_b FROM form_rows r
     JOIN long_all l ON l.case_id = r.case_id AND l.doc_ord = 0 AND l.field = r.compare_to WHERE r.compare_to IS NOT NULL)"""
 
+_DOC_TEXT = "concat_ws('; ', " + ", ".join(f"'{f}=' || d.{f}" for f in sorted(bridge.DOC_FIELDS)) + ")"
+
 
 def _parts(alias: str) -> str:
     out = []
@@ -99,7 +101,7 @@ def _ocr_fields() -> str:
             THEN CASE WHEN g_confidence_notes = '' THEN 'cleared dob — passbook opening/statement date ≠ birth date'
                 ELSE g_confidence_notes || '; cleared dob — passbook opening/statement date ≠ birth date' END
             ELSE g_confidence_notes END AS notes,
-        CASE WHEN {unread['address']} AND len({c.squeeze(address)}[1:200]) > 10 THEN {c.squeeze(address)}[1:200] ELSE g_address END AS address FROM one),
+        CASE WHEN {unread['address']} AND len({c.squeeze(address)}) > 10 THEN {c.squeeze(address)} ELSE g_address END AS address FROM one),
     three AS (SELECT *, CASE WHEN {father} <> '' THEN {tidy(father)}
             WHEN doc_type IN ('Aadhaar Card', 'PAN Card') AND {c.readable('full_name')} AND len({words}) >= 3
             THEN array_to_string({words}[2:-2], ' ') ELSE 'UNCERTAIN' END AS father_name,
@@ -126,8 +128,8 @@ def _form_labels() -> str:
     escaped = "regexp_replace(label, '([().+*?])', '\\\\\\1', 'g')"
     beside = f"trim({c.squeeze(f'''regexp_extract(ocr, '(?i)' || {escaped} || '\\s*[:\\-–]?\\s*(.+?)(?:\\n|$)', 1)''')}, ' .-_|')"
     return f"""(SELECT case_id, service_id, form_key, coalesce(nullif(beside, ''), nullif(own, '')) AS value FROM (
-        SELECT t.case_id, t.service_id, f.form_key, CASE WHEN contains(upper({beside}), 'FORM-ONLY') THEN '' ELSE {beside}[1:200] END AS beside,
-            {c.squeeze(own)}[1:200] AS own FROM {_FORM_TEXT} t JOIN form_fields f USING (service_id)))"""
+        SELECT t.case_id, t.service_id, f.form_key, CASE WHEN contains(upper({beside}), 'FORM-ONLY') THEN '' ELSE {beside} END AS beside,
+            {c.squeeze(own)} AS own FROM {_FORM_TEXT} t JOIN form_fields f USING (service_id)))"""
 
 
 def _replies() -> str:
@@ -141,7 +143,7 @@ def _replies() -> str:
                 f"THEN json_extract_string({js}, '$.{name}') ELSE 'UNCERTAIN' END AS {name}")
 
     return f"""SELECT case_id, doc_ord, {', '.join(field(f) for f in ('full_name', 'father_name', 'dob', 'address', 'id_number'))},
-        CASE WHEN raw = '' THEN 'Model returned empty content' WHEN {js} = '' THEN 'JSON parse failed; raw starts: ''' || raw[1:120] || ''''
+        CASE WHEN raw = '' THEN 'Model returned empty content' WHEN {js} = '' THEN 'JSON parse failed; raw: ''' || raw || ''''
             ELSE json_extract_string({js}, '$.confidence_notes') END AS confidence_notes
         FROM (SELECT case_id, doc_ord, {raw} AS raw FROM docs)"""
 
@@ -196,11 +198,13 @@ _SELECTS: dict[str, str] = {
         SELECT doc_id, string_agg(line, chr(10) || chr(10) ORDER BY n) FILTER (regexp_matches(line, '[^\\s]')) AS ocr_text FROM (
             SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents) GROUP BY doc_id)""",
     "ocr_json_to_text": "SELECT conv_id, turn, text || chr(10) || role AS ocr_text FROM conversations",
-    "write_result_pack": """SELECT s.case_id, s.service_id, s.service_id AS service, v.portal_name AS portal, round(s.score, 6) AS score, s.grade,
-        a.value AS full_name, coalesce(i.n, 0) AS n_flags, coalesce(d.n_documents, 0) AS n_documents, d.first_id FROM scores s JOIN services v USING (service_id)
-        LEFT JOIN answers a ON a.case_id = s.case_id AND a.form_key = 'full_name'
-        LEFT JOIN (SELECT case_id, count(*) AS n FROM issues WHERE severity <> 'OK' GROUP BY ALL) i ON i.case_id = s.case_id
-        LEFT JOIN (SELECT case_id, count(*) AS n_documents, arg_min(id_number, doc_ord) AS first_id FROM id_docs GROUP BY ALL) d ON d.case_id = s.case_id""",
+    "write_result_pack": f"""SELECT s.case_id, s.service_id, 'head' AS kind, NULL::BIGINT AS doc_ord, v.portal_name AS portal, v.portal_url, round(s.score, 6) AS score,
+        s.grade, a.answers, i.flags, NULL::VARCHAR AS doc_type, NULL::VARCHAR AS source_file, NULL::VARCHAR AS fields FROM scores s JOIN services v USING (service_id)
+        LEFT JOIN (SELECT case_id, string_agg(form_key || '=' || value, '; ' ORDER BY form_key || '=' || value) AS answers FROM answers GROUP BY ALL) a ON a.case_id = s.case_id
+        LEFT JOIN (SELECT case_id, string_agg(form_key || '/' || severity || '/' || message, '; ' ORDER BY form_key || '/' || severity || '/' || message) AS flags
+            FROM issues WHERE severity <> 'OK' GROUP BY ALL) i ON i.case_id = s.case_id
+        UNION ALL SELECT d.case_id, f.service_id, 'document', d.doc_ord, NULL, NULL, NULL, NULL, NULL, NULL, d.doc_type, d.source_file, {_DOC_TEXT}
+        FROM id_docs d JOIN forms f USING (case_id)""",
     "audit_rows": f"SELECT case_id, section, place, {_LATIN.format('line')} AS line FROM ({_LINES})",
     "matrix_audit_rows": "SELECT case_id, field, doc_ord, status, CASE field "
     + " ".join(f"WHEN '{r[0]}' THEN {c.q(r[1])}" for r in facts.rows(facts.MATRIX_FIELDS))
@@ -310,8 +314,9 @@ _SELECTS: dict[str, str] = {
     "cases_by_mode": f"""SELECT fill_mode, service_id, {_GRADED}, round(count(*) FILTER (grade = 'READY') / count(*), 6) AS ready_rate
         FROM scores JOIN services USING (service_id) GROUP BY ROLLUP (fill_mode, service_id)""",
     "side_by_side": """SELECT case_id, field, arg_min(value, doc_ord) FILTER (doc_type = 'Aadhaar Card') AS aadhaar,
-        arg_min(value, doc_ord) FILTER (doc_type = 'PAN Card') AS pan, arg_min(value, doc_ord) FILTER (doc_type = 'Bank Passbook') AS passbook,
-        arg_min(value, doc_ord) FILTER (doc_type = 'Driving License') AS licence FROM long_all GROUP BY ALL""",
+        arg_min(value, doc_ord) FILTER (doc_type = 'PAN Card') AS pan, arg_min(value, doc_ord) FILTER (doc_type = 'Driving License') AS licence,
+        'Bank Passbook: ' || arg_min(value, doc_ord) FILTER (doc_type = 'Bank Passbook') AS other FROM long_all GROUP BY ALL""",
+    "side_by_side_rows": "SELECT case_id, field, doc_type, arg_min(value, doc_ord) AS value FROM long_all GROUP BY ALL",
     "primary_blocker": "SELECT case_id, primary_doc, blocker_count FROM primary_docs",
     "primary_blocker_matrix": f"""SELECT case_id, doc_ord, doc_type, n AS blockers FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY
             CASE WHEN n > 0 AND doc_type = 'PAN Card' THEN 0 ELSE 1 END, CASE WHEN n > 0 THEN 0 ELSE 1 END, n DESC, first_field, doc_ord) AS r FROM (
@@ -323,12 +328,13 @@ _SELECTS: dict[str, str] = {
         CASE WHEN field = 'address' AND doc_type = 'Bank Passbook' THEN -1 ELSE {_PRIORITY.format('doc_type')} END, doc_ord) AS r FROM long_docs) WHERE r = 1""",
     "prefill_form": f"""SELECT * FROM (WITH filled AS ({_PREFILL}) SELECT * FROM filled UNION ALL
         SELECT a.case_id, a.service_id, a.form_key, a.value FROM answers a JOIN form_fields f USING (service_id, form_key)
-        WHERE NOT EXISTS (SELECT 1 FROM filled x WHERE x.case_id = a.case_id AND x.form_key = a.form_key))""",
+        ANTI JOIN filled x ON x.case_id = a.case_id AND x.form_key = a.form_key)""",
     "reference_doc": "SELECT case_id, field, ref_ord, ref_doc, ref_value FROM refs",
     "next_empty_field": """SELECT case_id, service_id, arg_min(form_key, field_ord) FILTER (high_stakes AND form_value = '') AS next_field
         FROM form_rows GROUP BY ALL""",
     "recent_cases": """SELECT user_id, case_id, place, updated_us FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY updated_us DESC, case_id)::INT AS place FROM (
-        SELECT 'u' || (case_id % 10) AS user_id, case_id, epoch_us(max(ts)) AS updated_us FROM patches WHERE case_id % 7 <> 6 GROUP BY case_id)) WHERE place <= 5""",
+        SELECT 'u' || (k.case_id % 10) AS user_id, k.case_id, epoch_us(coalesce(p.at, k.created_at)) AS updated_us FROM known k
+        LEFT JOIN (SELECT case_id, max(ts) AS at FROM patches WHERE NOT foreign_ GROUP BY case_id) p USING (case_id))) WHERE place <= 5""",
     "findings_order": """SELECT case_id, CASE status WHEN 'CRITICAL' THEN 0 WHEN 'UNCERTAIN' THEN 1 ELSE 2 END AS rank, ord_a, ord_b, field, status, n_pairs
         FROM comparisons WHERE status <> 'MATCH'""",
     "flag_board": f"""SELECT case_id, 0 AS source, severity, form_key AS title, message AS detail, 1::BIGINT AS times FROM issues WHERE severity IN ('FAIL', 'WARN')
@@ -342,7 +348,7 @@ _SELECTS: dict[str, str] = {
     "apply_case_patches": f"""SELECT k.case_id, 'u' || (k.case_id % 10) AS user_id, p.service_id, p.citizen_label, coalesce(p.step, 0) AS step,
         coalesce(p.notes, '') AS notes, coalesce(p.form_reviewed, FALSE) AS form_reviewed, coalesce(p.status, 'draft') AS status,
         epoch_us(coalesce(p.at, k.created_at)) AS updated_us FROM known k
-        LEFT JOIN (SELECT case_id, {_PATCH_LAST}, max(ts) AS at FROM patches GROUP BY case_id) p USING (case_id)""",
+        LEFT JOIN (SELECT case_id, {_PATCH_LAST}, max(ts) AS at FROM patches WHERE NOT foreign_ GROUP BY case_id) p USING (case_id)""",
     "new_case_defaults": """SELECT c_custkey AS case_id, CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 4 ELSE 0 END::INT AS step, '{}' AS answers, '[]' AS extractions,
         '' AS notes, FALSE AS form_reviewed, FALSE AS ocr_reviewed, CASE WHEN c_custkey % 3 = 1 THEN 'open' ELSE 'draft' END AS status,
         '2026-01-01' AS created_at FROM customer""",
@@ -356,7 +362,6 @@ _SELECTS: dict[str, str] = {
         WHEN len(list_intersect(w, {c.q(facts.YES_WORDS)})) > 0 THEN 'yes' END AS intent FROM (
         SELECT conv_id, turn, string_split_regex(lower(regexp_replace(CASE turn % 4 WHEN 0 THEN concat('Haan, ', text)
             WHEN 1 THEN concat(text, ' theek. nahi') ELSE text END, '[,.]', ' ', 'g')), '\\s+') AS w FROM conversations)""",
-    "case_patch_stream": f"SELECT case_id, {_PATCH_LAST}, epoch_us(max(ts)) AS patched_us FROM patches GROUP BY case_id",
     "dedupe_upload_stream": "SELECT DISTINCT user_id AS case_id, 'scan_' || event_type || '.jpg' AS file_name, event_id % 3 AS size FROM events",
     "agent_turns": """SELECT f.case_id, f.service_id, a.action, a.update_key, a.update_value, a.next_field FROM forms f JOIN agent a USING (case_id)""",
     "verify_stream": _VERDICTS,
@@ -387,3 +392,4 @@ def _agent() -> str:
 c.CTES["agent"] = _agent()
 
 ORACLE_SQL: dict[str, str] = {name: c.with_ctes(sql) for name, sql in _SELECTS.items()}
+ORACLE_SQL["case_patch_stream"] = ORACLE_SQL["apply_case_patches"]

@@ -75,7 +75,10 @@ def weight_rows() -> list[tuple]:
 
 
 def reason_rows() -> list[tuple]:
-    return [(r[0], n, reason) for r in facts.rows(facts.REJECTION_REASONS) for n, reason in enumerate(r[1:])]
+    out: list[tuple] = []
+    for service, reason in facts.rows(facts.REJECTION_REASONS):
+        out.append((service, sum(r[0] == service for r in out), reason))
+    return out
 
 
 def services(spark: SparkSession) -> DataFrame:

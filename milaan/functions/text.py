@@ -92,14 +92,16 @@ def compact_id(c: Column) -> Column:
 # --- dates ----------------------------------------------------------------------------------------------------------
 
 _MONTH = "(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
+# What may stand between the parts of a written date, "14th of June, 1992" included.
+_FILL = r"(?:[\s/.,\-]|\bof\b)*"
 _GAP = r"\s*[/.\-\s]\s*"
 # Where a full date stands in a text, and how to write it year first.  The first pattern that is found is used.
 _DATE_FORMS = [
     (rf"(?<!\d)(\d{{4}})\s*[/.\-]\s*(\d{{1,2}})\s*[/.\-]\s*(\d{{1,2}})(?!\d)", "$1-$2-$3", "yyyy-M-d"),
     (rf"(?<!\d)(0?[1-9]|1[0-2]){_GAP}(1[3-9]|[2-9]\d){_GAP}(\d{{4}})(?!\d)", "$3-$1-$2", "yyyy-M-d"),
     (rf"(?<!\d)(\d{{1,2}}){_GAP}(\d{{1,2}}){_GAP}(\d{{4}})(?!\d)", "$3-$2-$1", "yyyy-M-d"),
-    (rf"(?<!\d)(\d{{1,2}})(?:st|nd|rd|th)?[\s/.,\-]*{_MONTH}[\s/.,\-]*(\d{{4}})(?!\d)", "$3-$2-$1", "yyyy-MMM-d"),
-    (rf"(?<![a-z]){_MONTH}[\s/.,\-]*(\d{{1,2}})(?:st|nd|rd|th)?[\s/.,\-]+(\d{{4}})(?!\d)", "$3-$1-$2", "yyyy-MMM-d"),
+    (rf"(?<!\d)(\d{{1,2}})(?:st|nd|rd|th)?{_FILL}{_MONTH}{_FILL}(\d{{4}})(?!\d)", "$3-$2-$1", "yyyy-MMM-d"),
+    (rf"(?<![a-z]){_MONTH}{_FILL}(\d{{1,2}})(?:st|nd|rd|th)?(?:[\s/.,\-]|\bof\b)+(\d{{4}})(?!\d)", "$3-$1-$2", "yyyy-MMM-d"),
 ]
 
 

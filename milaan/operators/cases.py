@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 PATCHABLE = ["service_id", "citizen_label", "step", "answers", "extractions", "verify_result", "notes",
              "form_reviewed", "ocr_reviewed", "status"]
-RECENT_CAP = 50
 
 
 def new_case_defaults(payloads: DataFrame, now: Column) -> DataFrame:
@@ -26,21 +25,25 @@ def new_case_defaults(payloads: DataFrame, now: Column) -> DataFrame:
 
 
 def folded_patches(patches: DataFrame) -> DataFrame:
-    """Per case the last non-null value of every column by (ts, patch_id).  One map-side-combined aggregation.
+    """Per case and user the last non-null value of every column by (ts, patch_id).  One map-side-combined aggregation.
 
-    Works on a batch and on a stream (streaming aggregation keeps one row of state per case).
+    Works on a batch and on a stream (streaming aggregation keeps one row of state per case and user).
     """
     place = F.struct("ts", "patch_id")
     columns = [c for c in PATCHABLE if c in patches.columns]
     last = [F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(c) for c in columns]
-    return patches.groupBy("case_id").agg(*last, F.max("ts").alias("patched_at"))
+    return patches.groupBy("case_id", "user_id").agg(*last, F.max("ts").alias("patched_at"))
 
 
 def apply_case_patches(cases: DataFrame, patches: DataFrame) -> DataFrame:
-    """Current case rows after the updates.  Patches of unknown cases are dropped; keys never change."""
-    folded = folded_patches(patches)
-    columns = [c for c in folded.columns if c not in ("case_id", "patched_at")]
-    merged = cases.alias("c").join(folded.alias("p"), "case_id", "left")
+    """Current case rows after the updates.  A patch counts only for a known case and only from its owner; keys never change."""
+    return merge_folded(cases, folded_patches(patches))
+
+
+def merge_folded(cases: DataFrame, folded: DataFrame) -> DataFrame:
+    """Case rows with folded patches (one row per case and user) merged in."""
+    columns = [c for c in folded.columns if c not in ("case_id", "user_id", "patched_at")]
+    merged = cases.alias("c").join(folded.alias("p"), ["case_id", "user_id"], "left")
     out = []
     for name in cases.columns:
         if name in columns:
@@ -48,11 +51,11 @@ def apply_case_patches(cases: DataFrame, patches: DataFrame) -> DataFrame:
         elif name == "updated_at":
             out.append(F.coalesce("p.patched_at", "c.updated_at").alias(name))
         else:
-            out.append(F.col(name) if name == "case_id" else F.col(f"c.{name}").alias(name))
+            out.append(F.col(name) if name in ("case_id", "user_id") else F.col(f"c.{name}").alias(name))
     return merged.select(*out)
 
 
 def recent_cases(cases: DataFrame, limit: int = 20) -> DataFrame:
-    """The latest cases of each user (at most 50).  Spark trims every partition to the limit before the shuffle."""
+    """The latest cases of each user .  Spark trims every partition to the limit before the shuffle."""
     latest = Window.partitionBy("user_id").orderBy(F.col("updated_at").desc(), F.col("case_id"))
-    return cases.withColumn("place", F.row_number().over(latest)).where(F.col("place") <= min(limit, RECENT_CAP))
+    return cases.withColumn("place", F.row_number().over(latest)).where(F.col("place") <= limit)

@@ -80,8 +80,18 @@ def _count_fields(docs: DataFrame, test) -> Column:
     return sum((test(docs["fields"][f]).cast("int") for f in FIELD_ORDER), F.lit(0))
 
 
+def side_by_side_rows(docs: DataFrame) -> DataFrame:
+    """One row per case, field and document type: the value of the first document of that type.  Any type has rows."""
+    return unpivot_fields(docs).groupBy("case_id", "field", "doc_type").agg(F.min_by("value", "doc_ord").alias("value"))
+
+
 def side_by_side(docs: DataFrame, doc_types: list[str] | None = None) -> DataFrame:
-    """Fields as rows, document types as columns (first document of a type; the column list is fixed)."""
+    """Fields as rows, document types as columns; types without a column stand together in ``Other`` as ``type: value``."""
     types = doc_types or [r[0] for r in facts.rows(facts.DOC_TYPES)]
-    first = F.min_by("value", "doc_ord")
-    return unpivot_fields(docs).groupBy("case_id", "field").pivot("doc_type", types).agg(first)
+    named = F.coalesce(F.col("doc_type").isin(*types), F.lit(False))
+    shown = F.when(named, F.col("value")).otherwise(F.concat_ws(": ", "doc_type", "value"))
+    slot = F.when(named, F.col("doc_type")).otherwise("Other").alias("slot")
+    cells = side_by_side_rows(docs).select("case_id", "field", slot, shown.alias("shown")).groupBy("case_id", "field", "slot").agg(
+        F.array_join(F.sort_array(F.collect_list("shown")), "; ").alias("shown")
+    )
+    return cells.groupBy("case_id", "field").pivot("slot", [*types, "Other"]).agg(F.min("shown"))

@@ -159,7 +159,7 @@ def extract_fields(scans: DataFrame) -> DataFrame:
     inferred = F.when(
         no_father & named.isNull() & F.col("doc_type").isin("Aadhaar Card", "PAN Card"), _middle_names(F.col("full_name"))
     )
-    address = text.squeeze(_found(ocr, ADDRESS_LABELLED)).substr(1, 200)
+    address = text.squeeze(_found(ocr, ADDRESS_LABELLED))
     out = out.withColumn("_inferred", inferred).withColumns(
         {
             "father_name": F.coalesce(F.when(no_father, named), F.col("_inferred"), F.col("_g_father_name")),
@@ -208,11 +208,11 @@ def extract_form_labels(scans: DataFrame) -> DataFrame:
     at = F.position(F.lower("label"), F.lower(ocr))
     rest = ocr.substr(at + F.length("label"), F.length(ocr))
     beside = _trim(text.squeeze(_found(rest, r"^\s*[:\-–]?\s*(.+?)(?:\n|$)")), r" .\-_|")
-    beside = F.when((at > 0) & (beside != "") & ~F.contains(F.upper(beside), F.lit("FORM-ONLY")), beside.substr(1, 200))
+    beside = F.when((at > 0) & (beside != "") & ~F.contains(F.upper(beside), F.lit("FORM-ONLY")), beside)
     own = F.lit(None).cast("string")
     for key, pattern in FORM_PATTERNS.items():
         own = F.when(F.col("form_key") == key, _found(ocr, pattern)).otherwise(own)
-    value = F.coalesce(beside, text.squeeze(own).substr(1, 200))
+    value = F.coalesce(beside, text.squeeze(own))
     return rows.select("case_id", "service_id", "form_key", value.alias("value"))
 
 
@@ -246,7 +246,7 @@ def parse_model_replies(replies: DataFrame) -> DataFrame:
         return F.when(text.strip(said) != "", said).otherwise(F.lit(text.UNCERTAIN))
 
     note = F.try_variant_get("_data", "$.confidence_notes", "string")
-    failed = F.concat(F.lit("JSON parse failed; raw starts: '"), F.col("_raw").substr(1, 120), F.lit("'"))
+    failed = F.concat(F.lit("JSON parse failed; raw: '"), F.col("_raw"), F.lit("'"))
     notes = (
         F.when(F.col("_raw") == "", F.lit("Model returned empty content"))
         .when(F.col("_data").isNull(), failed)

@@ -196,21 +196,10 @@ def other_doc_values(docs: DataFrame) -> DataFrame:
     """
     groups = value_groups(readable_only(unpivot_fields(docs)))
     pairs = within_case_pairs(groups)
-    both = F.inline(
-        F.array(
-            F.struct(
-                F.col("doc_a").alias("doc_type"), F.col("value_a").alias("value"),
-                F.col("doc_b").alias("other_doc"), F.col("value_b").alias("other_value"), F.col("n_b").alias("n_docs"),
-            ),
-            F.struct(
-                F.col("doc_b").alias("doc_type"), F.col("value_b").alias("value"),
-                F.col("doc_a").alias("other_doc"), F.col("value_a").alias("other_value"), F.col("n_a").alias("n_docs"),
-            ),
-        )
-    )
-    different = pairs.where("ord_a <> ord_b").select("case_id", "field", both)
-    own = pairs.where("ord_a = ord_b").select(
-        "case_id", "field", F.col("doc_a").alias("doc_type"), F.col("value_a").alias("value"),
-        F.col("doc_a").alias("other_doc"), F.col("value_a").alias("other_value"), (F.col("n_a") - 1).alias("n_docs"),
+    side = lambda here, there, n: F.struct(
+        F.col(f"doc_{here}").alias("doc_type"), F.col(f"value_{here}").alias("value"), F.col(f"doc_{there}").alias("other_doc"),
+        F.col(f"value_{there}").alias("other_value"), n.alias("n_docs"),
     )
-    return different.unionByName(own)
+    both = F.array(side("a", "b", F.col("n_b")), side("b", "a", F.col("n_a")))
+    own = F.array(side("a", "a", F.col("n_a") - 1))
+    return pairs.select("case_id", "field", F.inline(F.when(F.col("ord_a") == F.col("ord_b"), own).otherwise(both)))

@@ -9,8 +9,6 @@ from milaan.catalogue import dims, facts
 from milaan.functions import text
 from milaan.operators.documents import unpivot_fields
 
-PACK_DOCS = 1000
-
 
 def _label(field: Column) -> Column:
     labels = dict(facts.rows(facts.IDENTITY_FIELDS))
@@ -170,10 +168,9 @@ def matrix_audit_rows(cells: DataFrame) -> DataFrame:
 def result_packs(
     forms: DataFrame, docs: DataFrame, scores: DataFrame, issues: DataFrame, notes: DataFrame | None = None
 ) -> DataFrame:
-    """One JSON row per case: service, portal, accuracy, answers, notes, flags and documents.
+    """JSON rows of one shape at every size: a ``head`` per case and a ``document`` row per document beside it.
 
-    Everything but the documents is bounded by the catalogue.  Documents go in parts of at most ``PACK_DOCS`` positions
-    (``part`` 0 carries the rest of the pack), so no row grows with a giant case; an ordinary case is one row.
+    The head (service, portal, accuracy, answers, notes, flags) is bounded by the catalogue; ``doc_ord`` orders the documents.
     """
     spark = forms.sparkSession
     flags = (
@@ -186,47 +183,22 @@ def result_packs(
         )
         .withColumn("flags", F.transform("flags", lambda x: x.dropFields("source", "ord")))
     )
-    listed = (
-        docs.withColumn("part", F.expr(f"doc_ord div {PACK_DOCS}"))
-        .groupBy("case_id", "part")
-        .agg(
-            F.sort_array(
-                F.collect_list(F.struct("doc_ord", "doc_type", "source_file", F.to_json("fields").alias("fields")))
-            ).alias("listed")
-        )
-    )
+    told = forms.select("case_id", "service_id", "answers")
+    told = told.join(notes.select("case_id", "notes"), "case_id", "left") if notes is not None else told.withColumn("notes", F.lit(""))
     heads = (
-        forms.select("case_id", "service_id", "answers")
-        .join(dims.services(spark).select("service_id", "portal_name", "portal_url"), "service_id")
+        told.join(dims.services(spark).select("service_id", "portal_name", "portal_url"), "service_id")
         .join(scores.select("case_id", "service_id", "score", "grade"), ["case_id", "service_id"], "left")
         .join(flags, ["case_id", "service_id"], "left")
-        .withColumn("part", F.lit(0).cast("long"))
-    )
-    if notes is not None:
-        heads = heads.join(notes.select("case_id", "notes"), "case_id", "left")
-    else:
-        heads = heads.withColumn("notes", F.lit(""))
-    parts = forms.select("case_id", "service_id").join(listed, "case_id", "left")
-    parts = parts.withColumn("part", F.coalesce("part", F.lit(0).cast("long")))
-    first = F.col("part") == 0
-    documents = F.transform(
-        F.coalesce("listed", F.array().cast("array<struct<doc_ord:int,doc_type:string,source_file:string,fields:string>>")),
-        lambda d: F.struct(
-            d["doc_type"].alias("doc_type"), d["source_file"].alias("source_file"),
-            F.from_json(d["fields"], "map<string,string>").alias("fields"),
-        ),
-    )
-    pack = F.to_json(
+    )
+    head = F.to_json(
         F.struct(
-            F.col("service_id").alias("service"),
-            F.when(first, F.struct(F.col("portal_name").alias("name"), F.col("portal_url").alias("url"))).alias("portal"),
-            F.when(F.col("score").isNotNull(), F.struct("score", "grade")).alias("accuracy"),
-            "answers",
-            F.when(first, F.coalesce("notes", F.lit(""))).alias("operator_notes"),
-            "flags",
-            documents.alias("documents"),
+            F.col("service_id").alias("service"), F.struct(F.col("portal_name").alias("name"), F.col("portal_url").alias("url")).alias("portal"),
+            F.when(F.col("score").isNotNull(), F.struct("score", "grade")).alias("accuracy"), "answers",
+            F.coalesce("notes", F.lit("")).alias("operator_notes"), "flags",
         )
     )
-    return parts.join(heads, ["case_id", "service_id", "part"], "left").select(
-        "case_id", "service_id", "part", pack.alias("pack"), F.size(documents).alias("n_documents")
-    )
+    document = F.to_json(F.struct("doc_type", "source_file", "fields"))
+    columns = ["case_id", "service_id", "kind", "doc_ord", "pack"]
+    top = heads.select("case_id", "service_id", F.lit("head").alias("kind"), F.lit(None).cast("int").alias("doc_ord"), head.alias("pack"))
+    listed = docs.join(forms.select("case_id", "service_id"), "case_id").withColumns({"kind": F.lit("document"), "pack": document})
+    return top.select(*columns).unionByName(listed.select("case_id", "service_id", "kind", F.col("doc_ord").cast("int").alias("doc_ord"), "pack"))

@@ -122,8 +122,7 @@ def text_pages(spark, sf_dir):
 
 @query
 def assemble_ocr_pages(spark, sf_dir):
-    good, failed = readers.assemble_ocr_pages(text_pages(spark, sf_dir))
-    return good.withColumn("error", F.lit(None).cast("string")).unionByName(failed.withColumn("ocr_text", F.lit(None).cast("string")))
+    return readers.assemble_ocr_pages(text_pages(spark, sf_dir))
 
 
 @query
@@ -138,17 +137,19 @@ def ocr_json_to_text(spark, sf_dir):
 def write_result_pack(spark, sf_dir):
     path = writers.scratch_path(spark, "packs")
     writers.write_result_packs(verification(spark, sf_dir, keep=True).packs, path)
-    back = spark.read.schema("case_id long, part long, pack string, n_documents int, service_id string").json(path)
+    back = spark.read.schema("case_id long, kind string, doc_ord int, pack string, service_id string").json(path)
     ddl = (
         "service string, portal struct<name:string,url:string>, accuracy struct<score:double,grade:string>, answers map<string,string>, "
-        "flags array<struct<field:string,severity:string,message:string>>, documents array<struct<doc_type:string,source_file:string,fields:map<string,string>>>"
+        "flags array<struct<field:string,severity:string,message:string>>, doc_type string, source_file string, fields map<string,string>"
     )
     p = F.col("p")
+    said = lambda m: F.array_join(F.sort_array(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "; ")
+    flags = F.transform(p["flags"], lambda f: F.concat_ws("/", f["field"], f["severity"], f["message"]))
     return back.withColumn("p", F.from_json("pack", ddl)).select(
-        "case_id", "service_id", p["service"].alias("service"), p["portal"]["name"].alias("portal"), r6(p["accuracy"]["score"]).alias("score"),
-        p["accuracy"]["grade"].alias("grade"), p["answers"]["full_name"].alias("full_name"),
-        F.coalesce(F.size(p["flags"]), F.lit(0)).cast("long").alias("n_flags"), F.size(p["documents"]).cast("long").alias("n_documents"),
-        F.get(p["documents"], 0)["fields"]["id_number"].alias("first_id"),
+        "case_id", "service_id", "kind", F.col("doc_ord").cast("long").alias("doc_ord"), p["portal"]["name"].alias("portal"), p["portal"]["url"].alias("portal_url"),
+        r6(p["accuracy"]["score"]).alias("score"), p["accuracy"]["grade"].alias("grade"), F.nullif(said(p["answers"]), F.lit("")).alias("answers"),
+        F.nullif(F.array_join(F.sort_array(flags), "; "), F.lit("")).alias("flags"), p["doc_type"].alias("doc_type"), p["source_file"].alias("source_file"),
+        F.nullif(said(p["fields"]), F.lit("")).alias("fields"),
     )
 
 
@@ -174,9 +175,7 @@ def scans_with_blanks(spark, sf_dir):
 
 @query
 def extraction_failures(spark, sf_dir):
-    good, failed = readers.split_failures(scans_with_blanks(spark, sf_dir))
-    kept = good.select("case_id", F.col("source_file").alias("file"), "doc_type", F.lit(None).cast("string").alias("error"))
-    return kept.unionByName(failed)
+    return readers.with_outcome(scans_with_blanks(spark, sf_dir)).select("case_id", F.col("source_file").alias("file"), "doc_type", "error")
 
 
 # --- projections and filters --------------------------------------------------------------------------------------------------
@@ -622,8 +621,13 @@ def cases_by_mode(spark, sf_dir):
 
 @query
 def side_by_side(spark, sf_dir):
-    wide = documents.side_by_side(id_docs(spark, sf_dir), ["Aadhaar Card", "PAN Card", "Bank Passbook", "Driving License"])
-    return wide.toDF("case_id", "field", "aadhaar", "pan", "passbook", "licence")
+    wide = documents.side_by_side(id_docs(spark, sf_dir), ["Aadhaar Card", "PAN Card", "Driving License"])
+    return wide.toDF("case_id", "field", "aadhaar", "pan", "licence", "other")
+
+
+@query
+def side_by_side_rows(spark, sf_dir):
+    return documents.side_by_side_rows(id_docs(spark, sf_dir))
 
 
 # --- picks ---------------------------------------------------------------------------------------------------------------------------------------
@@ -670,14 +674,16 @@ def next_empty_field(spark, sf_dir):
     return forms.next_empty_field(bridge.forms(spark, sf_dir))
 
 
-def case_table(spark, sf_dir):
-    events = bridge.read_table(spark, sf_dir, "events")
-    known = bridge.known_cases(events)
+def new_cases(spark, sf_dir):
+    known = bridge.known_cases(bridge.read_table(spark, sf_dir, "events"))
     created = known["created_at"]
     bare = known.select("case_id", F.concat(F.lit("u"), F.expr("case_id % 10")).alias("user_id"))
     rows = cases.new_case_defaults(bare.join(known.select("case_id", created.alias("at")), "case_id"), F.col("at")).drop("at")
-    rows = rows.withColumns({"service_id": F.lit(None).cast("string"), "citizen_label": F.lit(None).cast("string")})
-    return cases.apply_case_patches(rows, bridge.patches(events))
+    return rows.withColumns({"service_id": F.lit(None).cast("string"), "citizen_label": F.lit(None).cast("string")})
+
+
+def case_table(spark, sf_dir):
+    return cases.apply_case_patches(new_cases(spark, sf_dir), bridge.patches(bridge.read_table(spark, sf_dir, "events")))
 
 
 @query
@@ -783,15 +789,16 @@ def form_fill_stream(spark, sf_dir):
 @query
 def case_patch_stream(spark, sf_dir):
     patches = bridge.patches(jobs.read_stream(spark, sf_dir, "events"))
-    rows = jobs.case_patch_stream(patches, writers.scratch_path(spark, "patches"))
-    return rows.select("case_id", "service_id", "citizen_label", "step", "notes", "form_reviewed", "status", F.unix_micros("patched_at").alias("patched_us"))
+    rows = jobs.case_patch_stream(patches, writers.scratch_path(spark, "patches"), new_cases(spark, sf_dir))
+    kept = ["case_id", "user_id", "service_id", "citizen_label", "step", "notes", "form_reviewed", "status"]
+    return rows.select(*kept, F.unix_micros("updated_at").alias("updated_us"))
 
 
 @query
 def dedupe_upload_stream(spark, sf_dir):
     events = jobs.read_stream(spark, sf_dir, "events")
     uploads = events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("case_id"), F.concat(F.lit("scan_"), F.col("event_type"), F.lit(".jpg")).alias("file_name"), F.expr("event_id % 3").alias("size"))
-    kept = jobs.dedupe_upload_stream(uploads, "ts", "60 days")
+    kept = jobs.dedupe_upload_stream(uploads)
     return jobs.run_to_end(kept, writers.scratch_path(spark, "uploads")).select("case_id", "file_name", "size")
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from milaan.operators import documents, forms, pairs, review, scoring
-from milaan.session import size_shuffles
 from milaan.sources.writers import materialized
 
 
@@ -28,7 +27,6 @@ class Verification:
 
     def __post_init__(self) -> None:
         self.docs = documents.drop_form_docs(self.docs)
-        size_shuffles(self.docs, self.answers)
 
     def _once(self, name: str, build, keep: bool = False) -> DataFrame:
         if name not in self._tables:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Runtime plan choices: coalesce small shuffles, split skewed join partitions even when that costs one more exchange.
 # A row of this work costs far more time than bytes, so partitions are kept smaller than Spark's defaults.
@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Model replies repeat keys; the last one counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 
@@ -25,23 +27,17 @@ def tuned(spark: SparkSession) -> SparkSession:
     return spark
 
 
-# Source bytes one shuffle task should stand for, and the sizes Spark reports when it does not know.
+# Source bytes one shuffle task should stand for.
 BYTES_PER_TASK = 64 << 20
-UNKNOWN_SIZE = 1 << 60
 
 
-def size_shuffles(*tables: DataFrame) -> None:
-    """Start shuffles with enough partitions for the size of the inputs; AQE merges the ones that turn out small.
+def size_shuffles(spark: SparkSession, input_bytes: int) -> None:
+    """Start a session's shuffles with enough partitions for inputs of this size; AQE merges the ones that turn out small.
 
-    Never fewer than ``spark.sql.shuffle.partitions``; inputs of unknown size count as nothing.
+    Called once by whoever starts the session and knows the input; no table job changes it.
     """
-    spark = tables[0].sparkSession
-    sizes = [int(str(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for t in tables]
-    total = sum(size for size in sizes if size < UNKNOWN_SIZE)
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spark.conf.set(
-        "spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(min(max(least, total // BYTES_PER_TASK), 1_000_000))
-    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(max(least, -(-input_bytes // BYTES_PER_TASK))))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -7,6 +7,8 @@ the same text can be run by another SQL engine for checking.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -153,14 +155,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _spread(table: DataFrame, key: str) -> DataFrame:
-    """Give a table of few splits to all cores: one row here becomes dozens.  A table of many splits is left alone."""
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores, key) if table.rdd.getNumPartitions() < cores else table
-
-
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spread(read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
+    return read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
 
 
 def documents_wide(spark: SparkSession, sf_dir: str, keep_nation: bool = False) -> DataFrame:
@@ -207,7 +203,7 @@ def case_requests(customer_rows: DataFrame) -> DataFrame:
 
     def document(ord_: int):
         def at(sql: str) -> str:
-            return sql.replace("ord ", f"{ord_} ")
+            return re.sub(r"\bord\b", str(ord_), sql)
 
         values = {f: F.expr(at(DOC_COLUMNS[f])) for f in DOC_FIELDS}
         pairs = F.map_from_arrays(F.array(*[F.lit(f) for f in values]), F.array(*values.values()))
@@ -252,7 +248,7 @@ SERVICE_OF_CONV = sql_case("conv_id", SERVICE_IDS)
 
 def desk_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spoken turns: conv_id, service_id, turn, transcript (several per user turn of the conversation)."""
-    return spoken_turns(_spread(read_table(spark, sf_dir, "conversations"), "conv_id"))
+    return spoken_turns(read_table(spark, sf_dir, "conversations"))
 
 
 def spoken_turns(conversations: DataFrame) -> DataFrame:
@@ -278,15 +274,18 @@ PATCH_COLUMNS = {
     "form_reviewed": "CASE WHEN event_type = 'purchase' THEN event_id % 2 = 0 END",
     "status": "CASE WHEN event_type = 'error' THEN 'error' WHEN event_type = 'purchase' THEN 'submitted' END",
 }
+# Every ninth patch comes from somebody who does not own the case, and must not change it.
+PATCH_USER = "CASE WHEN event_id % 9 = 4 THEN 'stranger' ELSE concat('u', user_id % 10) END"
 # Every seventh user has no case, so their patches go nowhere.
 CASE_EXISTS = "user_id % 7 <> 6"
 
 
 def patches(events: DataFrame) -> DataFrame:
-    """Case updates: case_id (one case per user), ts, patch_id and the columns set (NULL = left alone)."""
+    """Case updates: case_id (one case per user), user_id, ts, patch_id and the columns set (NULL = left alone)."""
     columns = [F.expr(sql).alias(name) for name, sql in PATCH_COLUMNS.items()]
     return events.select(
-        F.col("user_id").alias("case_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("patch_id"), *columns
+        F.col("user_id").alias("case_id"), F.expr(PATCH_USER).alias("user_id"), F.col("ts").cast("timestamp").alias("ts"),
+        F.col("event_id").alias("patch_id"), *columns
     )
 
 

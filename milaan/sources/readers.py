@@ -118,17 +118,16 @@ def load_cases(rows: DataFrame) -> DataFrame:
     )
 
 
-def assemble_ocr_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(document texts, documents without any readable page) from pages (doc_id, page_name, text).
+def assemble_ocr_pages(pages: DataFrame) -> DataFrame:
+    """doc_id with ocr_text, or with an error when no page is readable, from pages (doc_id, page_name, text).
 
     Pages are joined in page-name order with a blank line between; blank pages are left out.
     """
     # A value no page text can sort before keeps empty documents in the result of the aggregation.
     filled = F.when(text.strip(F.coalesce("text", F.lit(""))) != "", F.struct("page_name", "text"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(filled)), lambda p: p["text"]), "\n\n")
-    docs = pages.groupBy("doc_id").agg(joined.alias("ocr_text"))
-    unread = docs.where("ocr_text = ''").select("doc_id", F.lit("Digitization returned no readable text").alias("error"))
-    return docs.where("ocr_text <> ''"), unread
+    docs = pages.groupBy("doc_id").agg(F.nullif(joined, F.lit("")).alias("ocr_text"))
+    return docs.withColumn("error", F.when(F.col("ocr_text").isNull(), F.lit("Digitization returned no readable text")))
 
 
 _TEXT_PROPERTY = r'"(?:text|content|markdown|value)"\s*:\s*"((?:[^"\\]|\\.)*)"'
@@ -141,9 +140,15 @@ def ocr_json_to_text(json: Column) -> Column:
     return F.when(F.size(found) == 0, F.lit("")).otherwise(F.array_join(F.from_json(as_list, "array<string>"), "\n"))
 
 
-def split_failures(scans: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(scans that can be processed, quarantine rows): a scan without text fails, the others go on."""
+def with_outcome(scans: DataFrame) -> DataFrame:
+    """Add ``outcome`` (good or failed) and ``error``: a scan without text fails, the others go on."""
     blank = text.strip(F.coalesce("ocr_text", F.lit(""))) == ""
     error = F.concat(F.lit("Could not digitize "), F.col("source_file"), F.lit(" as "), F.col("doc_type"))
-    failed = scans.where(blank).select("case_id", F.col("source_file").alias("file"), "doc_type", error.alias("error"))
-    return scans.where(~blank), failed
+    return scans.withColumns({"outcome": F.when(blank, F.lit("failed")).otherwise(F.lit("good")), "error": F.when(blank, error)})
+
+
+def split_failures(scans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(scans that can be processed, quarantine rows).  One frame with both is ``with_outcome``."""
+    marked = with_outcome(scans)
+    failed = marked.where("outcome = 'failed'").select("case_id", F.col("source_file").alias("file"), "doc_type", "error")
+    return marked.where("outcome = 'good'").drop("outcome", "error"), failed

