@@ -21,8 +21,8 @@ _GUESS_BARE = "CASE " + " ".join(
     for keys, doc in facts.rows(facts.FILE_NAME_RULES)[:-1]
 )
 _FALLBACK = "WHEN case_id % 2 = 0 THEN 'Voter ID' ELSE 'Other' END"
-_CARD = """(SELECT r.case_id, r.form_key, r.compare_to AS field, r.form_value AS value_a, l.value AS value_b FROM form_rows r
-    JOIN long_all l ON l.case_id = r.case_id AND l.doc_ord = 0 AND l.field = r.compare_to WHERE r.compare_to IS NOT NULL)"""
+_CARD = """(SELECT r.case_id, r.form_key, l.doc_ord, r.compare_to AS field, r.form_value AS value_a, l.value AS value_b FROM form_rows r
+    JOIN long_all l ON l.case_id = r.case_id AND l.field = r.compare_to WHERE r.compare_to IS NOT NULL)"""
 
 _DOC_TEXT = "concat_ws('; ', " + ", ".join(f"'{f}=' || d.{f}" for f in sorted(bridge.DOC_FIELDS)) + ")"
 
@@ -239,6 +239,9 @@ _SELECTS: dict[str, str] = {
     "std_ocr_noise": """SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', ''), '\\n{3,}', chr(10) || chr(10), 'g')
         || chr(10) || chr(10) || 'seal:' AS ocr_text FROM documents""",
     "extract_fields": "SELECT * FROM (" + _ocr_fields().replace("docs_base", "docs") + ")",
+    "process_scans": "SELECT * REPLACE (CASE WHEN case_id % 3 = 0 AND NOT contains(lower(coalesce(confidence_notes, '')), 'handwrit') "
+    "THEN trim(coalesce(confidence_notes, '') || ' Handwritten/form source.') ELSE confidence_notes END AS confidence_notes) FROM ("
+    + _ocr_fields().replace("docs_base", "docs") + ")",
     "ext_form_labels": f"SELECT * FROM {_form_labels()}",
     "merge_form_answers": f"""SELECT l.case_id, l.service_id, l.form_key, CASE WHEN l.case_id % 3 = 0 AND {c.readable('r.form_value')}
         THEN trim(r.form_value) ELSE coalesce(l.value, '') END AS value FROM {_form_labels()} l
@@ -254,8 +257,8 @@ _SELECTS: dict[str, str] = {
         round(count(*) FILTER (outcome = 'ok') / count(*), 6) AS pass_rate FROM validated WHERE outcome IN ('ok', 'fail') GROUP BY ALL""",
     "classify_pairs": f"""SELECT field, value_a, value_b, uses, {_STATUS} AS status, {_DETAIL} AS detail FROM (
         SELECT x.*, {_parts('x')} FROM (SELECT field, value_a, value_b, count(*) AS uses FROM {_CARD} GROUP BY ALL) x)""",
-    "classify_pairs_desk": f"SELECT case_id, form_key, field, value_a, value_b, {c.desk_status('field', 'value_a', 'value_b')} AS status FROM {_CARD}",
-    "classify_pairs_matrix": f"SELECT case_id, form_key, field, value_a, value_b, {c.matrix_status('field', 'value_a', 'value_b', 'FALSE')} AS status FROM {_CARD}",
+    "classify_pairs_desk": f"SELECT case_id, form_key, doc_ord, field, value_a, value_b, {c.desk_status('field', 'value_a', 'value_b')} AS status FROM {_CARD}",
+    "classify_pairs_matrix": f"SELECT case_id, form_key, doc_ord, field, value_a, value_b, {c.matrix_status('field', 'value_a', 'value_b', 'FALSE')} AS status FROM {_CARD}",
     "cross_doc_pairs": "SELECT case_id, field, doc_a, doc_b, value_a, value_b, status, detail, n_pairs, ord_a, ord_b FROM comparisons",
     "cross_doc_pairs_desk": "SELECT case_id, field, doc_a, doc_b, value_a, value_b, status, count(*) AS n_pairs FROM desk_pairs GROUP BY ALL",
     "matrix_vs_reference": "SELECT case_id, field, doc_ord, doc_type, value, status FROM cells",

@@ -287,6 +287,15 @@ def extract_fields(spark, sf_dir):
     return done.select("case_id", "doc_ord", "doc_type", *[F.col("fields")[f].alias(f) for f in [*extraction.FIELDS, "confidence_notes"]])
 
 
+@query
+def process_scans(spark, sf_dir):
+    """The whole scan job: noise removal, extraction, and the note on handwritten sources."""
+    noisy = F.concat(F.lit("![scan](data:image/png;base64,AAAA+/=)\n"), F.col("ocr_text"), F.lit("\n\n\n\nseal: data:image/jpeg;base64,QUJD\n"))
+    scans = bridge.scanned_documents(spark, sf_dir).withColumns({"ocr_text": noisy, "handwritten": F.expr("case_id % 3 = 0")})
+    done = extraction.process_scans(scans)
+    return done.select("case_id", "doc_ord", "doc_type", *[F.col("fields")[f].alias(f) for f in [*extraction.FIELDS, "confidence_notes"]])
+
+
 def form_scans(spark, sf_dir):
     """Scanned application forms: some labels as printed, some in other words."""
     rows = forms.form_rows(bridge.forms(spark, sf_dir)).where("form_value <> ''")
@@ -361,11 +370,11 @@ def validator_scorecard(spark, sf_dir):
 
 
 def form_doc_values(spark, sf_dir):
-    """Answers next to the Aadhaar card's values."""
+    """Answers next to the values of every document."""
     answers = forms.form_rows(bridge.forms(spark, sf_dir)).where("compare_to IS NOT NULL")
-    card = documents.unpivot_fields(id_docs(spark, sf_dir)).where("doc_ord = 0")
-    pair = answers.join(card, (answers.case_id == card.case_id) & (answers.compare_to == card.field)).select(
-        answers.case_id, "form_key", "field", F.col("form_value").alias("value_a"), F.col("value").alias("value_b")
+    shown = documents.unpivot_fields(id_docs(spark, sf_dir))
+    pair = answers.join(shown, (answers.case_id == shown.case_id) & (answers.compare_to == shown.field)).select(
+        answers.case_id, "form_key", "field", "doc_ord", F.col("form_value").alias("value_a"), F.col("value").alias("value_b")
     )
     return pair
 
