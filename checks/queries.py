@@ -161,6 +161,9 @@ _LINES = f"""
         || portal_name || '  ' || portal_url || ' How: ' || how FROM {_ROUTE} WHERE primary_doc IS NOT NULL
     UNION ALL SELECT case_id, 3, field_ord::VARCHAR, '[' || status || '] ' || label || ' Form: ''' || form_value || ''' | ' || coalesce(doc_type, '—')
         || ': ''' || coalesce(doc_value, '—') || ''' - ' || detail FROM checks
+    UNION ALL SELECT f.case_id, 0, '0', (SELECT count(*) FROM id_docs d WHERE d.case_id = f.case_id) || ' documents reconciled | Service: ' || s.title
+        FROM forms f JOIN services s USING (service_id)
+    UNION ALL SELECT case_id, 4, doc_ord || '.0', doc_type || '  (' || coalesce(source_file, 'sample') || ')' FROM id_docs
     UNION ALL SELECT case_id, 4, doc_ord || '.' || (field_ord + 1), doc_type || ' ' || {c.LABEL.format('field')} || ': ' || value FROM long_all
     UNION ALL SELECT case_id, 5, CASE status WHEN 'CRITICAL' THEN 0 WHEN 'UNCERTAIN' THEN 1 ELSE 2 END || '.' || ord_a || '.' || ord_b,
         '[' || status || '] ' || {c.LABEL.format('field')} || ': ' || doc_a || ' vs ' || doc_b || ' ''' || value_a || ''' vs ''' || value_b
@@ -183,12 +186,16 @@ _SELECTS: dict[str, str] = {
         SELECT * REPLACE (row_number() OVER (PARTITION BY case_id ORDER BY doc_ord) - 1 AS doc_ord) FROM docs)
         WHERE doc_type <> 'Scanned Application Form'""",
     "load_answers": "SELECT case_id, service_id, form_key, value FROM answers",
-    "load_catalogue": """SELECT s.service_id, s.title, s.fill_mode, s.portal_name, k.cases, f.fields, f.high_stakes, f.compared, r.rules, r.validators, d.required_docs, d.docs, w.weight_sum FROM services s
-        JOIN (SELECT service_id AS s1, count(*) AS cases FROM forms GROUP BY ALL) k ON s1 = s.service_id
-        JOIN (SELECT service_id AS s2, count(*) AS fields, count(*) FILTER (high_stakes) AS high_stakes, count(compare_to) AS compared FROM form_fields GROUP BY ALL) f ON s2 = s.service_id
-        JOIN (SELECT service_id AS s3, count(*) AS rules, count(validator) AS validators FROM field_rules GROUP BY ALL) r ON s3 = s.service_id
-        JOIN (SELECT service_id AS s4, count(*) FILTER (kind = 'required') AS required_docs, count(*) AS docs FROM service_docs GROUP BY ALL) d ON s4 = s.service_id
-        JOIN (SELECT service_id AS s5, round(w_format + w_docs + w_match + w_complete + w_eligible, 6)::DOUBLE AS weight_sum FROM weights) w ON s5 = s.service_id""",
+    "load_catalogue": """SELECT s.service_id, s.title, s.fill_mode, s.portal_name, k.cases, f.fields, f.high_stakes, f.compared, f.last_field,
+        r.ruled_fields, r.validators, r.optional, d.required_docs, d.docs, x.reasons, x.last_reason, w.weight_sum FROM services s
+        JOIN (SELECT service_id, count(*) AS cases FROM forms GROUP BY ALL) k USING (service_id)
+        JOIN (SELECT service_id, count(*) AS fields, count(*) FILTER (high_stakes) AS high_stakes, count(compare_to) AS compared,
+            arg_max(form_key, field_ord) AS last_field FROM form_fields GROUP BY ALL) f USING (service_id)
+        JOIN (SELECT service_id, count(DISTINCT form_key) AS ruled_fields, count(validator) AS validators, count(DISTINCT form_key) FILTER (optional) AS optional
+            FROM field_rules GROUP BY ALL) r USING (service_id)
+        JOIN (SELECT service_id, count(*) FILTER (kind = 'required') AS required_docs, count(*) AS docs FROM service_docs GROUP BY ALL) d USING (service_id)
+        JOIN (SELECT service_id, count(*) AS reasons, arg_max(reason, ord) AS last_reason FROM reasons GROUP BY ALL) x USING (service_id)
+        JOIN (SELECT service_id, round(w_format + w_docs + w_match + w_complete + w_eligible, 6)::DOUBLE AS weight_sum FROM weights) w USING (service_id)""",
     "load_cases": """SELECT c_custkey::VARCHAR AS case_id, 'u' || (c_custkey % 20) AS user_id, (c_custkey % 5)::INT AS step,
         CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS full_name, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey::VARCHAR END AS age,
         CASE WHEN c_custkey % 4 = 0 THEN 0 ELSE 1 END::BIGINT AS n_docs, CASE WHEN c_custkey % 4 <> 0 THEN '14/06/1992' END AS dob,

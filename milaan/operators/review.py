@@ -112,6 +112,12 @@ def audit_rows(
             F.lit(" | Harmless variants: "), n("variants"),
         ).alias("line"),
     )
+    count = docs.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_docs"))
+    titles = dims.services(forms.sparkSession).select("service_id", "title")
+    opening = forms.select("case_id", "service_id").join(count, "case_id", "left").join(titles, "service_id", "left").select(
+        "case_id", F.lit(0).alias("section"), F.array(F.lit(0)).cast("array<long>").alias("place"),
+        F.concat(n("n_docs"), F.lit(" documents reconciled"), F.coalesce(F.concat(F.lit(" | Service: "), F.col("title")), F.lit(""))).alias("line"),
+    )
     route = remediation_route(forms, primary).where("primary_doc IS NOT NULL")
     fix = route.select(
         "case_id", F.lit(2).alias("section"), F.array(F.lit(0)).cast("array<long>").alias("place"),
@@ -129,6 +135,10 @@ def audit_rows(
             F.coalesce("doc_type", dash), F.lit(": '"), F.coalesce("doc_value", dash), F.lit("' - "), F.col("detail"),
         ).alias("line"),
     )
+    headers = docs.select(
+        "case_id", F.lit(4).alias("section"), F.array(F.col("doc_ord"), F.lit(0)).cast("array<long>").alias("place"),
+        F.concat(F.col("doc_type"), F.lit("  ("), F.coalesce("source_file", F.lit("sample")), F.lit(")")).alias("line"),
+    )
     values = unpivot_fields(docs).select(
         "case_id", F.lit(4).alias("section"),
         F.array("doc_ord", F.array_position(F.array(*[F.lit(r[0]) for r in facts.rows(facts.IDENTITY_FIELDS)]), F.col("field")))
@@ -148,7 +158,7 @@ def audit_rows(
         F.lit("All compared fields match across all documents.").alias("line"),
     )
     out = head
-    for part in (fix, form, values, found, clear):
+    for part in (opening, fix, form, headers, values, found, clear):
         out = out.unionByName(part)
     printable = F.regexp_replace("line", r"[^\x00-\xFF]", "?")
     return out.withColumn("line", printable)

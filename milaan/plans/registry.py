@@ -77,19 +77,44 @@ def load_answers(spark, sf_dir):
     return forms.answer_fields(readers.load_answers(spark, path))
 
 
+def catalogue_file(spark):
+    """The built-in catalogue in the nested form of catalogue files, one service a line."""
+    listed = lambda table, order, item, name: table.groupBy("service_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct(order, item.alias("x")))), lambda r: r["x"]).alias(name)
+    )
+    field = F.struct(F.col("form_key").alias("key"), "label", "compare_to", "compare_doc", "high_stakes")
+    rules = dims.field_rules(spark).groupBy("service_id", "form_key").agg(F.collect_list("validator").alias("validators"), F.max("optional").alias("optional"))
+    rules = rules.groupBy("service_id").agg(F.map_from_entries(F.collect_list(F.struct("form_key", F.struct("validators", "optional")))).alias("field_rules"))
+    docs = lambda kind: listed(dims.service_docs(spark).where(F.col("kind") == kind), "ord", F.col("doc_type"), f"{kind}_docs")
+    weights = [c for c in dims.score_weights(spark).columns if c != "service_id"]
+    pairs_ = F.map_from_arrays(F.array(*[F.lit(w.removeprefix("w_")) for w in weights]), F.array(*weights)).alias("accuracy_weights")
+    out = dims.services(spark).select(
+        "service_id", F.col("service_id").alias("id"), "title", "category", "fill_mode", F.struct(F.col("portal_name").alias("name"), F.col("portal_url").alias("url")).alias("portal")
+    )
+    for part in (
+        listed(dims.form_fields(spark), "field_ord", field, "form_fields"), rules, docs("required"), docs("optional"),
+        listed(dims.rejection_reasons(spark), "ord", F.col("reason"), "rejection_reasons"), dims.score_weights(spark).select("service_id", pairs_),
+    ):
+        out = out.join(part, "service_id", "left")
+    return out.drop("service_id")
+
+
 @query
 def load_catalogue(spark, sf_dir):
+    path = writers.scratch_path(spark, "catalogue")
+    catalogue_file(spark).write.json(path)
+    read = readers.load_catalogue(spark, path)
     per_service = bridge.forms(spark, sf_dir).groupBy("service_id").agg(F.count(F.lit(1)).alias("cases"))
-    fields = dims.form_fields(spark).groupBy("service_id").agg(
+    fields = read["form_fields"].groupBy("service_id").agg(
         F.count(F.lit(1)).alias("fields"), F.count_if("high_stakes").alias("high_stakes"), F.count("compare_to").alias("compared"),
+        F.max_by("form_key", "field_ord").alias("last_field"),
     )
-    rules = dims.field_rules(spark).groupBy("service_id").agg(F.count(F.lit(1)).alias("rules"), F.count("validator").alias("validators"))
-    docs = dims.service_docs(spark).groupBy("service_id").agg(F.count_if(F.col("kind") == "required").alias("required_docs"), F.count(F.lit(1)).alias("docs"))
-    weights = dims.score_weights(spark).select(
-        "service_id", r6(F.col("w_format") + F.col("w_docs") + F.col("w_match") + F.col("w_complete") + F.col("w_eligible")).alias("weight_sum")
-    )
-    out = dims.services(spark).select("service_id", "title", "fill_mode", "portal_name").join(per_service, "service_id")
-    for part in (fields, rules, docs, weights):
+    rules = read["field_rules"].groupBy("service_id").agg(F.count(F.lit(1)).alias("ruled_fields"), F.sum(F.size("validators")).alias("validators"), F.count_if("optional").alias("optional"))
+    docs = read["service_docs"].groupBy("service_id").agg(F.count_if(F.col("kind") == "required").alias("required_docs"), F.count(F.lit(1)).alias("docs"))
+    reasons = read["rejection_reasons"].groupBy("service_id").agg(F.count(F.lit(1)).alias("reasons"), F.max_by("reason", "ord").alias("last_reason"))
+    weights = read["score_weights"].groupBy("service_id").agg(r6(F.sum("weight")).alias("weight_sum"))
+    out = read["services"].select("service_id", "title", "fill_mode", F.col("name").alias("portal_name")).join(per_service, "service_id")
+    for part in (fields, rules, docs, reasons, weights):
         out = out.join(part, "service_id")
     return out
 
