@@ -60,13 +60,9 @@ def form_field_rows() -> list[tuple]:
 
 def field_rule_rows() -> list[tuple]:
     """(service, key, rule order, validator or None, optional)."""
-    out = []
-    for sid, cell in facts.rows(facts.FIELD_RULES):
-        for n, item in enumerate(facts.items(cell)):
-            key, _, rule = item.partition(":")
-            optional = rule.endswith("?")
-            rule = rule.rstrip("?") or "nonempty"
-            out.append((sid, key, n, None if rule == "none" else rule, optional))
+    out: list[tuple] = []
+    for sid, key, rule, need in facts.rows(facts.FIELD_RULES):
+        out.append((sid, key, sum(r[0] == sid for r in out), None if rule == "none" else rule, need == "optional"))
     return out
 
 
