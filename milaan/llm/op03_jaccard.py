@@ -170,6 +170,9 @@ def _near_tokens(threshold: float):
                 alike = (same >= least) & (np.minimum(n[:, None], n[None, :]) >= threshold * np.maximum(n[:, None], n[None, :]) - 1e-9)
                 root = _roots(alike)
                 joined = root != np.arange(len(rid))
+                block, i, j = (x[order] for x in _tile_rows(group, ("block", "i", "j")))
+                if i[0] != j[0]:  # what a block joins by itself, its own tile says; here only what the two blocks join
+                    joined &= _roots(alike & (block[:, None] == block[None, :])) == np.arange(len(rid))
                 u.append(rid[joined])
                 v.append(rid[root[joined]])
             if sum(map(len, u)) > 50_000:
@@ -281,7 +284,7 @@ def join(docs: DataFrame, rows: DataFrame, threshold: float = THRESHOLD, recall:
     classes = materialized(classes.withColumn("rid", F.monotonically_increasing_id()), "classes")
     leaves = _leaves(classes, threshold, runs_needed(recall))
     met = leaves.join(classes.select("rid", "n", "lanes"), "rid")
-    near = _tiles(met, "node", F.ceil(F.col("n_node") / BLOCK)).select("node", "i", "j", "rid", "n", "lanes").mapInArrow(_near_tokens(threshold), "u long, v long")
+    near = _tiles(met, "node", F.ceil(F.col("n_node") / BLOCK)).select("node", "i", "j", "block", "rid", "n", "lanes").mapInArrow(_near_tokens(threshold), "u long, v long")
     found = components(near)
     found = materialized(found.unionByName(found.select(F.col("root").alias("id"), "root").distinct()), "candidates")
     known = classes.select("rid", "n", "copies", F.col("first.doc_id").alias("doc_id"), F.col("first.print").alias("print"))
