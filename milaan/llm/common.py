@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 # A table of one row per source, language, item and so on is sent to every executor up to this many rows.
 SMALL_ROWS = 100_000
 # Texts are worked on in slices of about this many bytes, so memory does not follow the Arrow batch.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 # Rows per Arrow batch: long texts must not add up to more than an executor holds.
 BATCH_ROWS = 1000
 HOME = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

@@ -65,7 +65,7 @@ def _learn(rows: pd.DataFrame) -> pd.DataFrame:
         raw = np.frombuffer((text or "").encode(), np.uint8)
         place, _ = features(words_and_signs(raw, np.array([0, len(raw)])))
         at, count = np.unique(place, return_counts=True)
-        examples.append((np.append(at, BIAS), np.append(count * (SCALE / max(1, len(place))), 1.0), float(y)))
+        examples.append((np.append(at, BIAS).astype(np.int32), np.append(count * (SCALE / max(1, len(place))), 1.0).astype(np.float32), float(y)))
     for _ in range(EPOCHS):
         for at, x, y in examples:
             w = _weights(z[at], n[at])
