@@ -244,11 +244,12 @@ def _drawn(key: str):
 
 def surrogates(ents: DataFrame, key: str = KEY) -> DataFrame:
     """(ent) distinct -> (ent, made): one to one, and nothing made is an entity itself."""
-    taken = ents.select(F.col("ent").alias("made"), F.lit("").alias("by"))  # real values: nobody may get them
+    real = ents.select(F.col("ent").alias("made"), F.lit("").alias("by"))  # real values: nobody may get them
     pending = ents.withColumn("attempt", F.lit(0).cast("int"))
     done = None
     for attempt in range(ROUNDS):
         tried = materialized(pending.mapInArrow(_drawn(key), "ent string, attempt int, made string"), "tried")
+        taken = real if done is None else real.unionByName(done.select("made", F.lit("").alias("by")))
         claims = taken.unionByName(tried.select("made", F.col("ent").alias("by")))
         # The empty name sorts first, so values that are taken beat every claim.
         winners = claims.groupBy("made").agg(F.min("by").alias("ent"))
@@ -258,7 +259,6 @@ def surrogates(ents: DataFrame, key: str = KEY) -> DataFrame:
         pending = materialized(bad, "pending")
         if not pending.take(1):
             return done
-        taken = taken.unionByName(good.select("made", F.lit("").alias("by")))
     raise ValueError(f"no free surrogate after {ROUNDS} draws")
 
 
