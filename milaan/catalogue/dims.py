@@ -7,6 +7,7 @@ own size check.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from milaan.catalogue import facts
 
@@ -24,12 +25,12 @@ def _sql_literal(value) -> str:
 
 
 def literal_table(spark: SparkSession, ddl: str, rows: list[tuple]) -> DataFrame:
-    """A constant table with the column names and types of ``ddl``."""
+    """A constant table with the column names and types of ``ddl``; its size is fixed here, so joins may broadcast it."""
     columns = [c.strip().split(" ", 1) for c in ddl.split(",")]
     values = ",\n".join("(" + ", ".join(_sql_literal(v) for v in row) + ")" for row in rows)
     names = ", ".join(name for name, _ in columns)
     casts = ", ".join(f"CAST({name} AS {kind}) AS {name}" for name, kind in columns)
-    return spark.sql(f"SELECT {casts} FROM VALUES {values} AS t({names})")
+    return F.broadcast(spark.sql(f"SELECT {casts} FROM VALUES {values} AS t({names})"))
 
 
 def service_rows() -> list[tuple]:

@@ -91,7 +91,7 @@ def _candidates(forms: DataFrame, docs: DataFrame) -> DataFrame:
     form_std = F.when(text.readable(F.col("form_value")), text.standard_form_of("compare_to", "form_value"))
     nulled = unpivot_fields(docs).withColumn("value", F.when(text.readable(F.col("value")), F.col("value")))
     groups = value_groups(standardized(nulled)).withColumnRenamed("field", "compare_to")
-    return _compared_rows(forms).withColumn("form_std", form_std).join(groups.hint("merge"), ["case_id", "compare_to"])
+    return _compared_rows(forms).withColumn("form_std", form_std).join(groups, ["case_id", "compare_to"])
 
 
 def _preference(name: str = "doc_type") -> list[Column]:

@@ -174,9 +174,9 @@ def case_scores(forms: DataFrame, docs: DataFrame, checks: DataFrame, validated:
     case = (
         forms.select(*CASE, eligible.alias("e"))
         .join(dims.score_weights(spark), "service_id")
-        .join(dims.rejection_reasons(spark).where(F.col("ord") < facts.SHOWN_REASONS).groupBy("service_id").agg(
+        .join(F.broadcast(dims.rejection_reasons(spark).where(F.col("ord") < facts.SHOWN_REASONS).groupBy("service_id").agg(
             F.transform(F.sort_array(F.collect_list(F.struct("ord", "reason"))), lambda r: r["reason"]).alias("reasons")
-        ), "service_id", "left")
+        )), "service_id", "left")
         .join(rule_scores(validated), CASE, "left")
         .join(docs_score(forms, docs), CASE, "left")
         .join(match_score(checks), CASE, "left")

@@ -50,7 +50,7 @@ def form_checks_desk(forms: DataFrame, docs: DataFrame) -> DataFrame:
     compared = form_rows(forms).where("compare_to IS NOT NULL")
     groups = value_groups(unpivot_fields(docs, absent="")).withColumnRenamed("field", "compare_to")
     count = docs.groupBy("case_id").agg(F.count(F.lit(1)).alias("case_docs"))
-    met = compared.join(groups.hint("merge"), ["case_id", "compare_to"]).join(count, "case_id")
+    met = compared.join(groups, ["case_id", "compare_to"]).join(count, "case_id")
     status = compare.desk_view_status(F.col("compare_to"), F.col("form_value"), F.col("value"))
     considered = ~compare.desk_view_missing(F.col("value")) | (F.col("case_docs") == 1)
     preferred = F.coalesce(F.col("compare_doc") == F.col("doc_type"), F.lit(False))
@@ -155,7 +155,7 @@ def matrix_cells(docs: DataFrame) -> DataFrame:
             )
         )
     )
-    return cells.join(refs.hint("merge"), ["case_id", "field", "block"]).select(
+    return cells.join(refs, ["case_id", "field", "block"]).select(
         "case_id", "field", "doc_ord", "doc_type", F.coalesce("value", F.lit("—")).alias("value"), status.alias("status")
     )
 

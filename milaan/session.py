@@ -15,6 +15,10 @@ SETTINGS = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32m",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Plan-time estimates do not count rows that explode adds, so no side is broadcast from an estimate: literal dimension tables
+    # carry a hint, and for the rest AQE decides from sizes it has measured.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m",
     "spark.sql.session.timeZone": "UTC",
     # Model replies repeat keys; the last one counts.
     "spark.sql.variant.allowDuplicateKeys": "true",
