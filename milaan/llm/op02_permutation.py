@@ -31,10 +31,10 @@ from milaan.sources.writers import materialized
 
 K = 20
 POSTS = 4
-# Pivots: the root of the number of vectors between these two; the lists visited are a fifth of them, 48 at least.
+# Pivots: the root of the number of vectors between these two; the lists visited are a quarter of them, 48 at least.
 PIVOTS = (128, 4096)
 PREFIX = 96
-KEEP = 0.12
+KEEP = 0.2
 LEAST = 100
 CHUNK, QUERY_BLOCK = 2048, 256
 SALTS = 8
@@ -137,7 +137,7 @@ def search(vectors: DataFrame, k: int = K, keep: float = KEEP) -> DataFrame:
     drawn = [r["v"] for r in own.select("v", F.xxhash64("v").alias("h")).orderBy("h").limit(m).collect()]
     pivots = np.array(drawn, float).reshape(m, len(drawn[0]) if drawn else 1)
     pivots = np.hstack([pivots, np.sqrt(np.maximum(0, reach**2 - (pivots**2).sum(1, keepdims=True)))])
-    probes = min(m, max(48, m // 5))
+    probes = min(m, max(48, m // 4))
     prefix = min(m, PREFIX)
     shown = materialized(own.mapInArrow(_order(pivots, reach, max(prefix, probes)), "rid long, ids array<long>, asks boolean, near array<int>, near_query array<int>, vec binary"), "orders")
     asking = shown.filter("asks")
