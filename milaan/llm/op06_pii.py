@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from milaan.llm.common import prepare, table, text_slices
-from milaan.llm.textvec import Lookup, words
 from milaan.sources.writers import materialized
 
 KEY = "surrogates-1"
@@ -53,6 +52,10 @@ NAME_OF = {n.lower(): (group, i) for group, names in GIVEN.items() for i, n in e
 
 ISSUERS = "23456"  # what card numbers begin with
 
+# The prefilter's: words part at all that is no letter, as the boundaries of PERSON do or finer.
+WORD = re.compile(r"[^\W\d_]+")
+DIGIT = re.compile(r"\d")
+
 EMAIL = re.compile(r"[\w.%+-]*[\w%+-]@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 CARD = re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])")
@@ -180,35 +183,18 @@ def written(kind: str, shown: str, made: str) -> str:
     return made.upper() if shown.isupper() else made
 
 
-_GIVEN_KEYS: list[Lookup] = []
-
-
-def _given_words() -> Lookup:
-    """The hashes of the given names as the word splitter makes them (it lower-cases A-Z only)."""
-    if not _GIVEN_KEYS:
-        raw = " ".join(n for v in GIVEN.values() for n in v).encode()
-        _GIVEN_KEYS.append(Lookup(words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).hash))
-    return _GIVEN_KEYS[0]
-
-
-def _suspects(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Rows that can hold an entity: an at sign, four digits or an IP's dots among digits, or a given name."""
-    at = [np.flatnonzero(raw == 64)]
-    digit = (raw >= 48) & (raw <= 57)
-    many = np.concatenate(([0], np.cumsum(digit)))
-    out = many[offsets[1:]] - many[offsets[:-1]] >= 4
-    w = words(raw, offsets)
-    name, _ = _given_words().where(w.hash)
-    rows = np.searchsorted(offsets, np.concatenate([*at, w.start[name]]), "right") - 1
-    out[rows] = True
-    return np.flatnonzero(out)
+def suspect(text: str) -> bool:
+    """Whether an entity can be in the text: an at sign, two digits of any script, or a given name among its words."""
+    if "@" in text or len(DIGIT.findall(text)) >= 2:
+        return True
+    return not NAME_OF.keys().isdisjoint(WORD.findall(text.lower()))
 
 
 def _found(raw: np.ndarray, offsets: np.ndarray) -> dict[int, tuple[str, list]]:
-    out = {}
-    for row in _suspects(raw, offsets).tolist():
-        text = raw[offsets[row] : offsets[row + 1]].tobytes().decode("utf-8", "replace")
-        own = entities(text)
+    data, out = raw.tobytes(), {}
+    for row, (start, end) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        text = data[start:end].decode("utf-8", "replace")
+        own = entities(text) if suspect(text) else []
         if own:
             out[row] = (text, own)
     return out

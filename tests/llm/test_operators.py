@@ -223,6 +223,16 @@ def test_surrogates_are_consistent_and_distinct(spark, docs, empty):
     assert op06_pii.pseudonymized(docs).count() == docs.count() and op06_pii.pseudonymized(empty).count() == 0
 
 
+def test_no_entity_is_hidden_by_the_prefilter(spark):
+    texts = [f"{a}{n}{b} spoke" for n in ("Mary Miller", "Анна Иванова") for a in ("", "“", "«", "—", "\u00a0", "\u3000", "…", "é ", "(") for b in ("", "”", "»", "—", "\u3000")]
+    texts += ["GI04BARCAAAABBBBCCCCDDD", "plain words only", "ünïcode — “quoted” 7", "١.٢.٣.٤ and +٩٧١ ٥٠ ١٢٣ ٤٥٦٧", *(r[1] or "" for r in ROWS)]
+    assert all(op06_pii.suspect(t) for t in texts if op06_pii.entities(t))
+    rows = list(enumerate(texts[:90]))
+    got = {r["doc_id"]: r for r in op06_pii.pseudonymized(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        assert got[i]["n_person"] == 1 and "Miller" not in got[i]["text"] and "Иванова" not in got[i]["text"], t
+
+
 def test_contested_surrogates_are_drawn_again(spark, monkeypatch):
     monkeypatch.setitem(op06_pii.ALPHABETS, "digit", "0123456789")
     ents = [(f"ssn\0{i:03d}",) for i in range(0, 600, 2)]  # three digits: collisions are certain
