@@ -18,6 +18,8 @@ longest wins; extra columns are kept.  Result columns replace input columns of t
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -31,6 +33,7 @@ from milaan.sources.writers import materialized
 
 KEY = "surrogates-1"
 ROUNDS = 64
+EQUAL_DRAWS = 256  # so many draws that give the value itself are an error
 KINDS = ("email", "iban", "card", "ssn", "phone", "ip", "person")
 
 # Common given names by script and gender, and what surnames are made of.
@@ -55,6 +58,9 @@ ISSUERS = "23456"  # what card numbers begin with
 # The prefilter's: words part at all that is no letter, as the boundaries of PERSON do or finer.
 WORD = re.compile(r"[^\W\d_]+")
 DIGIT = re.compile(r"\d")
+# Numbers are looked for in a view of the text of the same length: ASCII for the decimal digits of all scripts, full-width signs, wide spaces.
+DECIMAL = {i: unicodedata.decimal(chr(i)) for i in range(128, sys.maxunicode + 1) if chr(i).isdecimal()}
+PLAIN = {i: str(d) for i, d in DECIMAL.items()} | dict(zip(map(ord, "＋（）－．\u2010\u2011\u00a0\u2007\u202f\u3000"), "+()-.--    ", strict=True))
 
 EMAIL = re.compile(r"[\w.%+-]*[\w%+-]@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
@@ -78,17 +84,27 @@ def mod97(iban: str) -> int:
 
 
 def _digits(s: str) -> str:
-    return "".join(c for c in s if c.isdigit())
+    return "".join(c for c in s if c.isdecimal())
+
+
+def _plain(text: str) -> str:
+    return text if text.isascii() else text.translate(PLAIN)
+
+
+def _digit_like(c: str, digit: str) -> str:
+    """The digit in the script of another one."""
+    return chr(ord(c) - unicodedata.decimal(c) + int(digit))
 
 
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, normal form), none overlapping."""
+    plain = _plain(text)
     found = [(m.start(), m.end(), "email", m[0].lower()) for m in EMAIL.finditer(text)]
-    found += [(m.start(), m.end(), "iban", m[0].replace(" ", "")) for m in IBAN.finditer(text) if 15 <= len(m[0].replace(" ", "")) <= 34 and mod97(m[0].replace(" ", "")) == 1]
-    found += [(m.start(), m.end(), "card", _digits(m[0])) for m in CARD.finditer(text) if m[0][0] in ISSUERS and luhn(_digits(m[0])) == 0]
-    found += [(m.start(), m.end(), "ssn", _digits(m[0])) for m in SSN.finditer(text)]
-    found += [(m.start(), m.end(), "phone", "+" * (m[0][0] == "+") + _digits(m[0])) for m in PHONE.finditer(text) if 7 <= len(_digits(m[0])) <= 15]
-    found += [(m.start(), m.end(), "ip", m[0]) for m in IP.finditer(text)]
+    found += [(m.start(), m.end(), "iban", m[0].replace(" ", "")) for m in IBAN.finditer(plain) if 15 <= len(m[0].replace(" ", "")) <= 34 and mod97(m[0].replace(" ", "")) == 1]
+    found += [(m.start(), m.end(), "card", _digits(m[0])) for m in CARD.finditer(plain) if m[0][0] in ISSUERS and luhn(_digits(m[0])) == 0]
+    found += [(m.start(), m.end(), "ssn", _digits(m[0])) for m in SSN.finditer(plain)]
+    found += [(m.start(), m.end(), "phone", "+" * (m[0][0] == "+") + _digits(m[0])) for m in PHONE.finditer(plain) if 7 <= len(_digits(m[0])) <= 15]
+    found += [(m.start(), m.end(), "ip", m[0]) for m in IP.finditer(plain)]
     for m in PERSON.finditer(text):
         if m[2][0].isupper():
             found.append((m.start(), m.end(), "person", f"{m[1]} {m[2]}".lower()))
@@ -126,7 +142,7 @@ def given_name(name: str, key: str = KEY) -> str:
 
 def _like(draw: Draw, text: str) -> str:
     """Letters for letters of the same script, digits for digits, the rest as it is."""
-    return "".join(draw.of(ALPHABETS[CLASS_OF[c]]) if c in CLASS_OF else c for c in text)
+    return "".join(draw.of(ALPHABETS[CLASS_OF[c]]) if c in CLASS_OF else _digit_like(c, draw.of(ALPHABETS["digit"])) if c.isdecimal() else c for c in text)
 
 
 def _surname(draw: Draw, name: str) -> str:
@@ -139,8 +155,8 @@ def _surname(draw: Draw, name: str) -> str:
 
 def surrogate(kind: str, norm: str, attempt: int, key: str = KEY) -> str:
     """A normal form of the same kind and shape, never the same one."""
-    while True:
-        draw = Draw(key, kind, norm, str(attempt))
+    for again in range(EQUAL_DRAWS):
+        draw = Draw(key, kind, norm, str(attempt + (again << 20)))
         if kind == "email":
             local, _, domain = norm.partition("@")
             # The last two labels are of a domain that is reserved for examples, so no surrogate reaches anybody.
@@ -164,17 +180,20 @@ def surrogate(kind: str, norm: str, attempt: int, key: str = KEY) -> str:
             out = _like(draw, norm)
         if out != norm:
             return out
-        attempt += 1 << 20
+    raise ValueError(f"{EQUAL_DRAWS} draws for a value of kind {kind} gave the value itself")
 
 
 def written(kind: str, shown: str, made: str) -> str:
     """The surrogate in the format and case of what the text shows."""
     if kind in ("card", "ssn", "phone"):
         digits = iter(_digits(made))
-        return "".join(next(digits) if c.isdigit() else c for c in shown)
+        return "".join(_digit_like(c, next(digits)) if c.isdecimal() else c for c in shown)
     if kind == "iban":
         chars = iter(made)
-        return "".join(c if c == " " else next(chars) for c in shown)
+        return "".join(next(chars) if c.isalnum() else c for c in shown)
+    if kind == "ip":
+        own = next(c for c in shown if c.isdecimal())
+        return made if own.isascii() else "".join(_digit_like(own, c) if c.isdecimal() else c for c in made)
     if kind == "person":
         first, _, last = made.partition(" ")
         own_first, _, own_last = shown.partition(" ")

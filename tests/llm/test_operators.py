@@ -233,6 +233,25 @@ def test_no_entity_is_hidden_by_the_prefilter(spark):
         assert got[i]["n_person"] == 1 and "Miller" not in got[i]["text"] and "Иванова" not in got[i]["text"], t
 
 
+@pytest.mark.parametrize("zero", ["٠", "۰", "०", "０", "๐"])
+def test_numbers_of_every_script_get_surrogates(zero):
+    own = lambda t: "".join(chr(ord(zero) + int(c)) if c.isdecimal() else c for c in t)
+    for kind, text in (("phone", "+971 50 123 4567"), ("ssn", "123-45-6789"), ("card", "4845 1681 1440 7329"), ("ip", "97.51.17.173")):
+        shown = own(text)
+        [(_, _, found, norm)] = op06_pii.entities(f"2024 @ {shown}")
+        assert (found, norm) == op06_pii.entities(text)[0][2:] and op06_pii.suspect(shown)
+        made = op06_pii.written(kind, shown, op06_pii.surrogate(kind, norm, 0))
+        assert made != shown and not any(c in "0123456789" for c in made) and [x[2] for x in op06_pii.entities(made)] == [kind]
+    mail = own("7715@example.com")
+    assert own("7715") not in op06_pii.surrogate("email", mail, 0)
+
+
+def test_equal_draws_end(monkeypatch):
+    monkeypatch.setattr(op06_pii, "_like", lambda draw, text: text)
+    with pytest.raises(ValueError):
+        op06_pii.surrogate("ssn", "123456789", 0)
+
+
 def test_contested_surrogates_are_drawn_again(spark, monkeypatch):
     monkeypatch.setitem(op06_pii.ALPHABETS, "digit", "0123456789")
     ents = [(f"ssn\0{i:03d}",) for i in range(0, 600, 2)]  # three digits: collisions are certain
