@@ -7,7 +7,8 @@ digits for digits, letters for letters of the same script, checksums that hold,
 a feminine surname for a feminine one.  It is written in the format and case that the text used.
 
 All distinct entities of the corpus are one table.  Surrogates are checked against each other and against every real entity of
-their kind; the least entity keeps a contested surrogate, the others draw again, until none is left.  So two entities never share
+their kind; the least entity keeps a contested surrogate, the others draw again, until none is left; from the fourth draw on each
+is a character longer (an IP's numbers go beyond 255), so there are always free ones.  So two entities never share
 a surrogate, no surrogate is somebody's real value, and an entity has one surrogate in all documents.  Given names are mapped by a
 keyed permutation of their own list, which is one to one.  Only documents with entities are shuffled.
 
@@ -22,6 +23,7 @@ import sys
 import unicodedata
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ from milaan.llm.common import prepare, table, text_slices
 from milaan.sources.writers import materialized
 
 KEY = "surrogates-1"
-ROUNDS = 64
+FREE_DRAWS = 3  # draws in the shape of the entity; each later one is a character longer, so free values never run out
 EQUAL_DRAWS = 256  # so many draws that give the value itself are an error
 KINDS = ("email", "iban", "card", "ssn", "phone", "ip", "person")
 
@@ -145,39 +147,40 @@ def _like(draw: Draw, text: str) -> str:
     return "".join(draw.of(ALPHABETS[CLASS_OF[c]]) if c in CLASS_OF else _digit_like(c, draw.of(ALPHABETS["digit"])) if c.isdecimal() else c for c in text)
 
 
-def _surname(draw: Draw, name: str) -> str:
+def _surname(draw: Draw, name: str, more: int = 0) -> str:
     script = "cyrillic" if CLASS_OF.get(name[0]) == "cyrillic" else "latin"
     ends = next((e for e in ("ова", "ева", "ина", "ская", "ов", "ев", "ин", "ский", "ová", "ova", "son", "ski", "ska", "ez") if name.endswith(e) and len(name) > len(e) + 1), "")
     size = max(4, min(9, len(name) - len(ends) + 1))
-    stem = "".join(draw.of(CONSONANTS[script]) if i % 2 == 0 else draw.of(VOWELS[script]) for i in range(size))
+    stem = "".join(draw.of(CONSONANTS[script]) if i % 2 == 0 else draw.of(VOWELS[script]) for i in range(size + more))
     return stem + ends
 
 
 def surrogate(kind: str, norm: str, attempt: int, key: str = KEY) -> str:
-    """A normal form of the same kind and shape, never the same one."""
+    """A normal form of the same kind and shape, never the same one; longer by one character with every attempt from ``FREE_DRAWS`` on."""
+    more = max(0, attempt + 1 - FREE_DRAWS)
     for again in range(EQUAL_DRAWS):
         draw = Draw(key, kind, norm, str(attempt + (again << 20)))
         if kind == "email":
             local, _, domain = norm.partition("@")
             # The last two labels are of a domain that is reserved for examples, so no surrogate reaches anybody.
-            out = f"{_like(draw, local)}@" + ".".join([*(_like(draw, x) for x in domain.split(".")[:-2]), "example", ("com", "net", "org")[draw.below(3)]])
+            out = f"{_like(draw, local)}{_like(draw, 'a' * more)}@" + ".".join([*(_like(draw, x) for x in domain.split(".")[:-2]), "example", ("com", "net", "org")[draw.below(3)]])
         elif kind == "ip":
-            out = ".".join(str(1 + draw.below(254)) for _ in range(4))
+            out = ".".join(str(1 + draw.below(254 * 10**more)) for _ in range(4))
         elif kind == "card":
-            body = norm[0] + _like(draw, norm[1:-1])
+            body = norm[0] + _like(draw, norm[1:-1] + "0" * more)
             out = body + next(c for c in "0123456789" if luhn(body + c) == 0)
         elif kind == "iban":
-            body = norm[:2] + "00" + "".join(draw.of("ABCDEFGHIJKLMNOPQRSTUVWXYZ") if c.isalpha() else draw.of("0123456789") for c in norm[4:])
+            body = norm[:2] + "00" + "".join(draw.of("ABCDEFGHIJKLMNOPQRSTUVWXYZ") if c.isalpha() else draw.of("0123456789") for c in norm[4:] + "0" * more)
             out = f"{body[:2]}{98 - mod97(body):02d}{body[4:]}"
         elif kind == "phone":
             own = norm.lstrip("+")
             code = max(0, len(own) - 10) if norm[0] == "+" else 0
-            out = "+" * (norm[0] == "+") + own[:code] + _like(draw, own[code:])
+            out = "+" * (norm[0] == "+") + own[:code] + _like(draw, own[code:] + "0" * more)
         elif kind == "person":
             first, _, last = norm.partition(" ")
-            out = f"{given_name(first, key).lower()} {_surname(draw, last)}"
+            out = f"{given_name(first, key).lower()} {_surname(draw, last, more)}"
         else:
-            out = _like(draw, norm)
+            out = _like(draw, norm + "0" * more)
         if out != norm:
             return out
     raise ValueError(f"{EQUAL_DRAWS} draws for a value of kind {kind} gave the value itself")
@@ -187,10 +190,12 @@ def written(kind: str, shown: str, made: str) -> str:
     """The surrogate in the format and case of what the text shows."""
     if kind in ("card", "ssn", "phone"):
         digits = iter(_digits(made))
-        return "".join(_digit_like(c, next(digits)) if c.isdecimal() else c for c in shown)
+        own = next(c for c in shown if c.isdecimal())
+        same = "".join(_digit_like(c, next(digits)) if c.isdecimal() else c for c in shown)
+        return same + "".join(_digit_like(own, c) for c in digits)
     if kind == "iban":
         chars = iter(made)
-        return "".join(next(chars) if c.isalnum() else c for c in shown)
+        return "".join(next(chars) if c.isalnum() else c for c in shown) + "".join(chars)
     if kind == "ip":
         own = next(c for c in shown if c.isdecimal())
         return made if own.isascii() else "".join(_digit_like(own, c) if c.isdecimal() else c for c in made)
@@ -252,7 +257,7 @@ def surrogates(ents: DataFrame, key: str = KEY) -> DataFrame:
     real = ents.select(F.col("ent").alias("made"), F.lit("").alias("by"))  # real values: nobody may get them
     pending = ents.withColumn("attempt", F.lit(0).cast("int"))
     done = None
-    for attempt in range(ROUNDS):
+    for attempt in count():  # ends: the free values of every kind grow with the attempt
         tried = materialized(pending.mapInArrow(_drawn(key), "ent string, attempt int, made string"), "tried")
         taken = real if done is None else real.unionByName(done.select("made", F.lit("").alias("by")))
         claims = taken.unionByName(tried.select("made", F.col("ent").alias("by")))
@@ -264,7 +269,6 @@ def surrogates(ents: DataFrame, key: str = KEY) -> DataFrame:
         pending = materialized(bad, "pending")
         if not pending.take(1):
             return done
-    raise ValueError(f"no free surrogate after {ROUNDS} draws")
 
 
 def _replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

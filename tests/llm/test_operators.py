@@ -259,6 +259,18 @@ def test_contested_surrogates_are_drawn_again(spark, monkeypatch):
     assert len(made) == len({m for _, m in made}) == 300 and not {m for _, m in made} & {e for e, in ents}
 
 
+def test_surrogates_grow_when_their_shape_is_used_up(spark):
+    ents = [f"email\0a@d{i}.com" for i in range(300)] + [f"email\0ψ@d{i}.com" for i in range(60)] + [f"ssn\0{i}" for i in range(10)] + [f"ip\0{i}.1.1.1" for i in range(9)]
+    made = [tuple(r) for r in op06_pii.surrogates(spark.createDataFrame([(e,) for e in ents], "ent string")).collect()]
+    assert sorted(e for e, _ in made) == sorted(ents) and len({m for _, m in made}) == len(ents) and not {m for _, m in made} & set(ents)
+    for kind, shown in (("ssn", "123-45-6789"), ("card", "4845 1681 1440 7329"), ("phone", "+1 017 555 7713"), ("iban", "DE89 3704 0044 0532 0130 00")):
+        norm = "".join(c for c in shown if c not in " -")
+        long = op06_pii.surrogate(kind, norm, 9)
+        shape = op06_pii.written(kind, shown, long)
+        assert len(long) > len(norm) and "".join(c for c in shape if c not in " -") == long
+    assert op06_pii.luhn(op06_pii.surrogate("card", "4845168114407329", 9)) == 0 and op06_pii.mod97(op06_pii.surrogate("iban", "DE89370400440532013000", 9)) == 1
+
+
 def test_archive_round_trip(spark):
     from milaan.sources.writers import scratch_path
 
