@@ -271,6 +271,23 @@ def test_surrogates_grow_when_their_shape_is_used_up(spark):
     assert op06_pii.luhn(op06_pii.surrogate("card", "4845168114407329", 9)) == 0 and op06_pii.mod97(op06_pii.surrogate("iban", "DE89370400440532013000", 9)) == 1
 
 
+CARDS = ("4111 1111 1111 1111", "4111111111111111", "5500-0000-0000-0004", "3782 822463 10005")
+IBANS = ("ES91 2100 0418 4502 0005 1332", "AT61 1904 3002 3457 3201", "DE89370400440532013000", "GB29 NWBK 6016 1331 9268 19", "NO93 8601 1117 947")
+
+
+@pytest.mark.parametrize("before", ["", "7 ", "12 ", "AB ", "BIC CAIX ", "+1 017 555 7713, ", "No 123-45-6789 "])
+@pytest.mark.parametrize("after", ["", " 12/27", " 123", " BIC CAIXESBB", " EUR 5", " 12th", " 2024 01 01 99"])
+def test_cards_and_ibans_among_digits_and_capitals(before, after):
+    for kind, shown in [("card", c) for c in CARDS] + [("iban", i) for i in IBANS]:
+        got = [(before + shown + after)[a:b] for a, b, k, _ in op06_pii.entities(before + shown + after) if k == kind]
+        assert got == [shown], (before, shown, after)
+
+
+def test_a_card_that_a_phone_runs_into():
+    assert [x[2] for x in op06_pii.entities("+1 017 555 4111 1111 1111 1111")] == ["phone", "card"]
+    assert [x[2] for x in op06_pii.entities("+4915112345678, 555-123-4567")] == ["phone", "phone"]
+
+
 def test_archive_round_trip(spark):
     from milaan.sources.writers import scratch_path
 
