@@ -23,7 +23,8 @@ import re
 import sys
 import unicodedata
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 from hashlib import blake2b
 from itertools import count
 
@@ -50,6 +51,10 @@ GIVEN = {
 ALPHABETS = {
     "digit": "0123456789", "latin": "abcdefghijklmnopqrstuvwxyz", "accented": "àáâãäåçèéêëìíîïñòóôõöùúûüý",
     "cyrillic": "абвгдежзийклмнопрстуфхцчшщыэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω",
+    "arabic": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي", "hebrew": "אבגדהוזחטיכלמנסעפצקרשת", "armenian": "աբգդեզէըթժիլխծկհձղճմյնշոչպջռսվտրցւփքօֆ",
+    "georgian": "აბგდევზთიკლმნოპჟრსტუფქღყშჩცძწჭხჯჰ", "devanagari": "कखगघचछजझटठडढतथदधनपफबभमयरलवशषसह", "thai": "กขคงจชซดตถทนบปผพฟมยรลวสหอ",
+    "hiragana": "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわ", "katakana": "アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワ",
+    "hangul": "가나다라마바사아자차카타파하고노도로모보소오조초코토포호구누두루무부수우주추쿠투푸후", "cjk": "山水木火土日月天田石金竹花草米雨雪雲風林森川海島江河湖東西南北春夏秋冬青白红黄紫黑光星",
 }
 VOWELS = {"latin": "aeiou", "cyrillic": "аеиоу"}
 CONSONANTS = {"latin": "bdfgklmnprstvz", "cyrillic": "бвгдзклмнпрст"}
@@ -70,6 +75,7 @@ IBAN_LENGTH = {c: int(n) for n, cs in (x.split(":") for x in (
 # The prefilter's: words part at all that is no letter, as the boundaries of PERSON do or finer.
 WORD = re.compile(r"[^\W\d_]+")
 DIGIT = re.compile(r"\d")
+RUNS = re.compile(r"[^\W\d_]+|\d+")
 # Numbers are looked for in a view of the text of the same length: ASCII for the decimal digits of all scripts, full-width signs, wide spaces.
 DECIMAL = {i: unicodedata.decimal(chr(i)) for i in range(128, sys.maxunicode + 1) if chr(i).isdecimal()}
 PLAIN = {i: str(d) for i, d in DECIMAL.items()} | dict(zip(map(ord, "＋（）－．\u2010\u2011\u00a0\u2007\u202f\u3000"), "+()-.--    ", strict=True))
@@ -212,7 +218,7 @@ class Draw:
         self.n += 1
         return int.from_bytes(blake2b(self.seed + b"\0%d" % self.n, key=self.key, digest_size=8).digest(), "big") % n
 
-    def of(self, chars: str) -> str:
+    def of(self, chars: Sequence[str]) -> str:
         return chars[self.below(len(chars))]
 
 
@@ -227,9 +233,31 @@ def given_name(name: str, key: str = KEY) -> str:
     return names[order[i]]
 
 
+@lru_cache(1 << 16)
+def _alphabet(c: str) -> str:
+    """The letters that may stand for a letter: those of its script, or Latin ones."""
+    if c in CLASS_OF:
+        return ALPHABETS[CLASS_OF[c]]
+    script = unicodedata.name(c, "").split(" ")[0].lower()
+    return ALPHABETS["accented" if script == "latin" else script if script in ALPHABETS else "latin"]
+
+
+def _run_like(draw: Draw, own: str) -> str:
+    """A run of letters or of digits that is not the same run."""
+    if own[0].isdecimal():
+        out = [_digit_like(c, draw.of(ALPHABETS["digit"])) for c in own]
+        other = [_digit_like(own[0], c) for c in ALPHABETS["digit"]]
+    else:
+        out = [draw.of(_alphabet(c)) for c in own]
+        other = _alphabet(own[0])
+    if "".join(out) == own:
+        out[0] = draw.of([c for c in other if c != own[0]])
+    return "".join(out)
+
+
 def _like(draw: Draw, text: str) -> str:
-    """Letters for letters of the same script, digits for digits, the rest as it is."""
-    return "".join(draw.of(ALPHABETS[CLASS_OF[c]]) if c in CLASS_OF else _digit_like(c, draw.of(ALPHABETS["digit"])) if c.isdecimal() else c for c in text)
+    """Letters for letters of the same script, digits for digits, the rest as it is; no run of letters or digits stays."""
+    return RUNS.sub(lambda m: _run_like(draw, m[0]), text)
 
 
 def _surname(draw: Draw, name: str, more: int = 0) -> str:

@@ -288,6 +288,18 @@ def test_a_card_that_a_phone_runs_into():
     assert [x[2] for x in op06_pii.entities("+4915112345678, 555-123-4567")] == ["phone", "phone"]
 
 
+@pytest.mark.parametrize("local", ["张伟", "łukasz.ős", "größe", "æsir-ß", "ёлка", "άννα.παπαδάκης", "محمد", "שרה", "やまだ7", "김철수", "a.b.7", "١٢", "x²", "ªº", "ქეთი", "ꙮ", "𝒜𝓃𝓃"])
+def test_no_part_of_an_address_survives(local):
+    import re
+
+    for attempt in range(8):
+        [(_, _, kind, norm)] = op06_pii.entities(f"{local}@mail.qq.com")
+        made = op06_pii.surrogate(kind, norm, attempt, "other").partition("@")[0]
+        old, new = (re.findall(r"[^\W\d_]+|\d+", x) for x in (norm.partition("@")[0], made))
+        assert not any(a == b for a, b in zip(old, new)) and len(made) >= len(local)
+        assert all(a != b for a, b in zip(norm, made) if a in "ßæłőё²ªº")
+
+
 def test_archive_round_trip(spark):
     from milaan.sources.writers import scratch_path
 
