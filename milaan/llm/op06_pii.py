@@ -1,8 +1,10 @@
 """PII: detected entities get keyed surrogates of their own type, gender, script and format.
 
 Detected are e-mail addresses, phone numbers, payment cards (Luhn), IPv4 addresses, IBANs (mod 97), US social security numbers,
-and persons: a given name of the lists below before a capitalised surname.  An entity is its normal form (lower case, digits only,
-and so on); however it is written, it is one entity.  Its surrogate is drawn from a keyed hash of kind, normal form and attempt:
+and persons: given names of the lists below (English, German, French, Spanish, Russian; any case), with initials and particles,
+before a capitalised surname; a title before one; bare surnames of persons of the same text, which get the surname of the nearest
+such person before; and such persons all in lower case.  An entity is its normal form (lower case, digits only,
+without initials, and so on); however it is written, it is one entity.  Its surrogate is drawn from a keyed hash of kind, normal form and attempt:
 digits for digits, letters for letters of the same script, checksums that hold, a given name of the same gender and script,
 a feminine surname for a feminine one.  It is written in the format and case that the text used.
 
@@ -43,11 +45,31 @@ KINDS = ("email", "iban", "card", "ssn", "phone", "ip", "person")
 
 # Common given names by script and gender, and what surnames are made of.
 GIVEN = {
-    ("latin", "f"): "Mary Patricia Jennifer Elizabeth Barbara Susan Jessica Margaret Katherine Helen Dorothy Amanda Melissa Deborah Stephanie Rebecca Laura Kimberly Angela Nicole Charlotte Victoria Gabriela Francesca".split(),
-    ("latin", "m"): "James Robert John Michael William David Richard Joseph Thomas Charles Christopher Daniel Matthew Anthony Steven Andrew Joshua Kenneth Kevin Brian George Timothy Alexander Wolfgang".split(),
-    ("cyrillic", "f"): "Анна Мария Елена Ольга Наталья Татьяна Екатерина Светлана Ирина Людмила".split(),
-    ("cyrillic", "m"): "Александр Сергей Дмитрий Андрей Алексей Иван Михаил Николай Владимир Павел".split(),
+    ("latin", "f"): (
+        "Mary Patricia Jennifer Elizabeth Barbara Susan Jessica Margaret Katherine Helen Dorothy Amanda Melissa Deborah Stephanie Rebecca Laura Kimberly Angela Nicole Charlotte Victoria Gabriela Francesca "
+        "Linda Karen Nancy Lisa Betty Sandra Ashley Donna Emily Carol Michelle Sharon Cynthia Kathleen Amy Shirley Anna Brenda Pamela Emma Samantha Christine Catherine Virginia Rachel Carolyn Janet Maria Heather Diane Ruth Julie Olivia Joyce Kelly Christina Lauren Joan Evelyn Judith Megan Cheryl Hannah Jacqueline Martha Gloria Teresa Sara Sarah Janice Julia Ann Anne Kathryn Sophia Frances Alice Judy Isabella Grace Rose Jane "
+        "Ursula Monika Petra Sabine Renate Helga Karin Brigitte Ingrid Erika Claudia Susanne Gisela Elke Birgit Heike Anja Silke Ute Katja Katrin Kerstin Martina Anke Greta Heidi Johanna Lena Lea Leonie Mia Franziska Sabrina Hildegard Gertrud Elisabeth Margarete Christa Jutta Gudrun Angelika Bettina Cornelia Doris Antje Annette Ilse Waltraud Marie Luise "
+        "Nathalie Isabelle Sylvie Catherine Françoise Monique Jacqueline Jeanne Hélène Valérie Sandrine Céline Véronique Chantal Aurélie Camille Chloé Léa Manon Inès Juliette Élodie Émilie Amélie Mathilde Pauline Margaux Geneviève Thérèse Madeleine Simone Odile Colette Bernadette Corinne Laurence Florence Martine Brigitte Delphine Virginie Agnès Cécile Béatrice Solène Clémence Zoé Louise Denise Josette Yvette Nadine Élise Lucie "
+        "Carmen Josefa Isabel Dolores Pilar Francisca Antonia Mercedes Cristina Lucía Ángela Rosario Juana Raquel Manuela Beatriz Nuria Silvia Rocío Encarnación Montserrat Inmaculada Sofía Paula Alba Irene Marta Lorena Natalia Verónica Concepción Guadalupe Ximena Valentina Mariana Daniela Alejandra Adriana Fernanda Esperanza Consuelo Begoña Rosa Elena Alicia Eva Julia"
+    ).split(),
+    ("latin", "m"): (
+        "James Robert John Michael William David Richard Joseph Thomas Charles Christopher Daniel Matthew Anthony Steven Andrew Joshua Kenneth Kevin Brian George Timothy Alexander Wolfgang "
+        "Mark Donald Paul Ronald Edward Jason Jeffrey Ryan Jacob Gary Nicholas Eric Jonathan Stephen Larry Justin Scott Brandon Benjamin Samuel Gregory Frank Raymond Patrick Jack Dennis Jerry Tyler Aaron Adam Henry Nathan Douglas Zachary Peter Kyle Walter Ethan Jeremy Harold Keith Roger Arthur Gerald Carl Lawrence Dylan Bryan Joe Albert Bruce Ralph Oliver Harry Liam Noah Lucas Simon Philip Martin "
+        "Hans Jürgen Klaus Günter Günther Helmut Horst Manfred Dieter Heinz Karl Werner Gerhard Bernd Uwe Rainer Stefan Andreas Matthias Jörg Torsten Thorsten Ralf Holger Sven Dirk Jens Kai Lars Florian Sebastian Tobias Felix Moritz Lukas Leon Jonas Max Maximilian Fritz Friedrich Heinrich Otto Hermann Ludwig Rudolf Ernst Johannes Johann Christian Markus Norbert Volker Axel Detlef Gottfried Siegfried Wilhelm Ulrich Reinhard Rolf Kurt Erich Georg Christoph Philipp Marcel "
+        "Jean Pierre Jacques Michel André Philippe Bernard Alain Louis François Frédéric Christophe Nicolas Laurent Stéphane Sébastien Thierry Pascal Éric Gérard Guillaume Julien Antoine Mathieu Maxime Étienne Olivier Yves Marc Luc Rémi René Gilles Didier Hervé Bruno Vincent Benoît Jérôme Fabrice Xavier Raphaël Théo Hugo Léo Gabriel Arnaud Cédric Loïc Émile Marcel Lucien Fernand Gaston Serge Claude Denis Henri Joël Noël Cyril "
+        "José Antonio Manuel Juan Francisco Javier Carlos Jesús Miguel Ángel Luis Pedro Rafael Alejandro Fernando Sergio Jorge Alberto Álvaro Pablo Diego Adrián Raúl Enrique Ramón Vicente Iván Rubén Óscar Andrés Joaquín Santiago Eduardo Víctor Roberto Jaime Mario Ignacio Marcos Salvador Alfonso Ricardo Emilio Julio Guillermo Gonzalo Mateo Martín Tomás Agustín Esteban Felipe Gustavo Hernán Rodrigo Cristóbal Nicolás Julián Hugo"
+    ).split(),
+    ("cyrillic", "f"): "Анна Мария Елена Ольга Наталья Татьяна Екатерина Светлана Ирина Людмила Юлия Анастасия Дарья Ксения Галина Валентина Вера Надежда Любовь Нина Лариса Алина Полина Софья Виктория Александра Евгения Марина Оксана Тамара".split(),
+    ("cyrillic", "m"): "Александр Сергей Дмитрий Андрей Алексей Иван Михаил Николай Владимир Павел Юрий Виктор Олег Игорь Евгений Константин Роман Максим Артём Кирилл Денис Антон Василий Пётр Борис Григорий Георгий Фёдор Степан Никита".split(),
 }
+GIVEN = {group: list(dict.fromkeys(names)) for group, names in GIVEN.items()}
+# These are words as well: as names they begin with a capital.
+ALSO_WORDS = set("mark frank grace rose pierre rosa pilar mercedes max sharon joan gary jack carol gloria alba esperanza consuelo rosario salvador ernst marc florence jean claude denise martin angel santiago concepción encarnación dolores вера надежда любовь роман".split())
+# In words all in capitals these are no surnames.
+NO_SURNAMES = set("and or the of in at is was had has have said with from und oder ist war hat sagte et ou est était dit y o es fue dijo и или был была".split())
+TITLES = {t: g for g, ts in {
+    "m": "mr mister herr herrn monsieur señor sr господин", "f": "mrs ms miss frau madame mme mademoiselle mlle señora señorita sra srta госпожа", "": "dr doktor doctor docteur prof professor",
+}.items() for t in ts.split()}
 ALPHABETS = {
     "digit": "0123456789", "latin": "abcdefghijklmnopqrstuvwxyz", "accented": "àáâãäåçèéêëìíîïñòóôõöùúûüý",
     "cyrillic": "абвгдежзийклмнопрстуфхцчшщыэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω",
@@ -60,7 +82,11 @@ VOWELS = {"latin": "aeiou", "cyrillic": "аеиоу"}
 CONSONANTS = {"latin": "bdfgklmnprstvz", "cyrillic": "бвгдзклмнпрст"}
 
 CLASS_OF = {c: k for k, chars in ALPHABETS.items() for c in chars}
-NAME_OF = {n.lower(): (group, i) for group, names in GIVEN.items() for i, n in enumerate(names)}
+NAME_OF: dict[str, tuple[tuple[str, str], int]] = {}
+for _group, _names in GIVEN.items():
+    for _i, _n in enumerate(_names):
+        for _form in (_n, "".join(c for c in unicodedata.normalize("NFD", _n) if "й" in _n.lower() or not unicodedata.combining(c))):  # accents may be left out
+            NAME_OF.setdefault(unicodedata.normalize("NFC", _form).lower(), (_group, _i))
 
 ISSUERS = "23456"  # what card numbers begin with
 
@@ -87,7 +113,17 @@ GROUP = re.compile(r"[0-9]+")
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 PHONE = re.compile(r"(?<![\w.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\w-])")
 IP = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)")
-PERSON = re.compile(r"\b(" + "|".join(sorted((n for v in GIVEN.values() for n in v), key=len, reverse=True)) + r") ([^\W\d_][^\W\d_]+(?:[-'’][^\W\d_]+)?)\b")
+LETTER, GAP = r"[^\W\d_][\u0300-\u036f]*", r"[^\S\r\n]+"
+SURNAME = rf"(?:{LETTER}['’])?(?:{LETTER}){{2,}}(?:[-'’](?:{LETTER}){{2,}})*"
+NAME_WORD = re.compile(rf"(?<!\w)(?:{LETTER})+")
+# What follows a given name or a title: initials, particles, and the surname.
+AFTER = re.compile(
+    rf"(?P<initials>(?:{GAP}(?:{LETTER}\.)+|{GAP}{LETTER}(?={GAP})|(?<=\.){LETTER}\.){{0,3}})"
+    rf"(?:{GAP}(?:von|vom|van|zu|zur|de|del|de{GAP}la|de{GAP}los|du|des|della|di|da|der|den|ter|la|le|ibn|bin)){{0,3}}{GAP}(?P<last>{SURNAME})(?!\w)", re.I)
+JOINT = re.compile(rf"{GAP}|-")
+PART = re.compile(rf"(?:{LETTER}){{2,}}")
+BARE = re.compile(rf"(?<![\w'’]){SURNAME}(?!\w)")
+LONE_INITIALS = re.compile(rf"(?<!\w)(?:{LETTER}\.[^\S\r\n]*){{1,3}}$")
 
 
 def luhn(digits: str) -> int:
@@ -177,6 +213,87 @@ def _phones(plain: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), "+" * (m[0][0] == "+") + _digits(m[0])) for m in PHONE.finditer(plain) if 7 <= len(_digits(m[0])) <= 15]
 
 
+def _form(word: str) -> str:
+    return unicodedata.normalize("NFC", word).lower()
+
+
+def _persons(text: str) -> list[tuple[int, int, str]]:
+    """Given names (or a title) with a surname, then the bare surnames of these persons; the span never holds the title."""
+    full: list[tuple[int, int, str, str]] = []
+    low, titled = [], []
+    names = [(m, f) for m in NAME_WORD.finditer(text) if (f := _form(m[0])) in STARTS]
+    if not names:
+        return []
+    i = 0
+    while i < len(names):
+        first, form = names[i]
+        i += 1
+        if form in TITLES:
+            rest = AFTER.match(text, first.end() + (text[first.end() : first.end() + 1] == "."))
+            if rest and first[0][0].isupper() and rest["last"][0].isupper() and _form(rest["last"]) not in STARTS:
+                titled.append((rest.end() - len(rest[0].lstrip()) if rest["initials"] else rest.start("last"), rest.start("last"), rest.end(), _form(rest["last"]), TITLES[form]))
+            continue
+        if form in ALSO_WORDS and not first[0][0].isupper():
+            continue
+        run = [(first, form)]
+        while i < len(names) and names[i][1] in NAME_OF and JOINT.fullmatch(text, run[-1][0].end(), names[i][0].start()):
+            run.append(names[i])
+            i += 1
+        # The last of several given names is the surname if none follows.
+        for n in range(len(run), 0, -1):
+            rest = AFTER.match(text, run[n - 1][0].end())
+            last = _form(rest["last"]) if rest else ""
+            initials = [c for c in rest["initials"] if c.isalpha()] if rest else []
+            if not rest or any(c.islower() for c in initials) or (rest["last"].isupper() and last in NO_SURNAMES):
+                continue
+            norm = "-".join(f for _, f in run[:n]) + f" {last}"
+            if rest["last"][0].isupper() or not rest["last"][0].islower():
+                full.append((first.start(), rest.end(), norm, last))
+            elif not first[0][0].isupper() or n < len(run):
+                low.append((first.start(), rest.end(), norm, last))
+                continue
+            else:
+                continue
+            while i < len(names) and names[i][0].start() < rest.end():
+                i += 1
+            break
+    known = {norm for _, _, norm, _ in full}
+    out = [x for x in full] + [x for x in low if x[2] in known]
+    taken = np.zeros(len(text) + 1, bool)
+    for a, b, _, _ in out:
+        taken[a:b] = True
+    by_last: dict[str, list[tuple[int, str]]] = {}
+    for a, _, norm, last in sorted(out):
+        by_last.setdefault(last, []).append((a, norm))
+    title_at = {}
+    for a, surname, b, last, gender in titled:
+        title_at[surname] = gender
+        if last not in by_last and not taken[a:b].any():  # nobody of that name has a given name here
+            out.append((a, b, last, last))
+            taken[a:b] = True
+    bare = {last for *_, last in out}
+    for m in BARE.finditer(text) if bare else ():
+        word = _form(m[0])
+        parts = [(m.start(), m.end())] if word in bare else [(m.start() + p.start(), m.start() + p.end()) for p in PART.finditer(m[0])]
+        for a, b in parts:
+            last = _form(text[a:b])
+            if last not in bare or taken[a:b].any() or not text[a].isupper():
+                continue
+            norm = last
+            if last in by_last:
+                same = [x for x in by_last[last] if NAME_OF[x[1].split(" ")[0].split("-")[0]][0][1] == title_at.get(a)] if title_at.get(a) else []
+                same = same or by_last[last]
+                norm = same[max(0, bisect_right(same, (a, "")) - 1)][1]
+                initial = LONE_INITIALS.search(text, max(0, a - 24), a)
+                if initial and initial[0][0].isupper() and not taken[initial.start() : a].any():
+                    own = [x for x in same if x[1][0] == initial[0][0].lower()]
+                    if own:
+                        a, norm = initial.start(), own[max(0, bisect_right(own, (a, "")) - 1)][1]
+            out.append((a, b, norm, last))
+            taken[a:b] = True
+    return [x[:3] for x in out]
+
+
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, normal form), none overlapping."""
     plain = _plain(text)
@@ -198,9 +315,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     found += [(a, b, "ssn", n) for a, b, n in ssns]
     found += [(a, b, "phone", n) for a, b, n in _phones(rest)]
     found += [(m.start(), m.end(), "ip", m[0]) for m in IP.finditer(rest)]
-    for m in PERSON.finditer(text):
-        if m[2][0].isupper():
-            found.append((m.start(), m.end(), "person", f"{m[1]} {m[2]}".lower()))
+    found += [(a, b, "person", n) for a, b, n in _persons(text)]
     out: list[tuple[int, int, str, str]] = []
     for x in sorted(found, key=lambda x: (x[0], -x[1], KINDS.index(x[2]))):
         if not out or x[0] >= out[-1][1]:
@@ -222,15 +337,20 @@ class Draw:
         return chars[self.below(len(chars))]
 
 
-def given_name(name: str, key: str = KEY) -> str:
-    """The name that a keyed permutation of its own list (gender and script) puts there; never itself."""
-    group, i = NAME_OF[name.lower()]
+@lru_cache(64)
+def _permuted(group: tuple[str, str], key: str) -> list[str]:
     names = GIVEN[group]
     draw, order = Draw(key, "given", *group), list(range(len(names)))
     for k in range(len(order) - 1, 0, -1):  # one cycle through all, so nothing stays in place
         j = draw.below(k)
         order[k], order[j] = order[j], order[k]
-    return names[order[i]]
+    return [names[k] for k in order]
+
+
+def given_name(name: str, key: str = KEY) -> str:
+    """The name that a keyed permutation of its own list (gender and script) puts there; never itself."""
+    group, i = NAME_OF[name.lower()]
+    return _permuted(group, key)[i]
 
 
 @lru_cache(1 << 16)
@@ -290,8 +410,9 @@ def surrogate(kind: str, norm: str, attempt: int, key: str = KEY) -> str:
             code = max(0, len(own) - 10) if norm[0] == "+" else 0
             out = "+" * (norm[0] == "+") + own[:code] + _like(draw, own[code:] + "0" * more)
         elif kind == "person":
-            first, _, last = norm.partition(" ")
-            out = f"{given_name(first, key).lower()} {_surname(draw, last, more)}"
+            first, _, last = norm.rpartition(" ")
+            given = "-".join(given_name(x, key).lower() for x in first.split("-")) if first else ""
+            out = f"{given} {_surname(draw, last, more)}".strip()
         else:
             out = _like(draw, norm + "0" * more)
         if out != norm:
@@ -299,6 +420,31 @@ def surrogate(kind: str, norm: str, attempt: int, key: str = KEY) -> str:
     raise ValueError(f"{EQUAL_DRAWS} draws for a value of kind {kind} gave the value itself")
 
 
+def _cased(own: str, new: str) -> str:
+    return new.upper() if len(own) > 1 and own.isupper() else new[:1].upper() + new[1:] if own[0].isupper() or not own[0].islower() else new
+
+
+def _written_person(shown: str, made: str) -> str:
+    """Given names for given names, initials for initials, the surname for the surname; titles' and particles' text stays."""
+    first, _, last = made.rpartition(" ")
+    given = iter(first.split("-") if first else [])
+    own_last = re.search(rf"{SURNAME}$", shown)
+    out, spare = [], Draw(KEY, "initials", made)
+    script = "cyrillic" if CLASS_OF.get(last[0]) == "cyrillic" else "latin"
+    upto = 0
+    for m in NAME_WORD.finditer(shown[: own_last.start()]):
+        new = m[0]
+        if _form(m[0]) in NAME_OF:
+            new = _cased(m[0], next(given, m[0]))
+        elif len(_form(m[0])) == 1:
+            # An initial alone is that of the given name; one after it is drawn.
+            new = (next(given, "")[:1] if not upto else "") or spare.of(ALPHABETS[script])
+            new = new.upper()
+        out += [shown[upto : m.start()], new]
+        upto = m.end()
+    return "".join([*out, shown[upto : own_last.start()], _cased(own_last[0], last)])
+
+
 def written(kind: str, shown: str, made: str) -> str:
     """The surrogate in the format and case of what the text shows."""
     if kind in ("card", "ssn", "phone"):
@@ -313,18 +459,20 @@ def written(kind: str, shown: str, made: str) -> str:
         own = next(c for c in shown if c.isdecimal())
         return made if own.isascii() else "".join(_digit_like(own, c) if c.isdecimal() else c for c in made)
     if kind == "person":
-        first, _, last = made.partition(" ")
-        own_first, _, own_last = shown.partition(" ")
-        cased = lambda own, new: new.upper() if own.isupper() else new[:1].upper() + new[1:]
-        return f"{cased(own_first, first)} {cased(own_last, last)}"
+        return _written_person(shown, made)
     return made.upper() if shown.isupper() else made
 
 
+LOOSE = re.compile("[\u0300-\u036f]")
+STARTS = frozenset(NAME_OF) | frozenset(TITLES)
+
+
 def suspect(text: str) -> bool:
-    """Whether an entity can be in the text: an at sign, two digits of any script, or a given name among its words."""
+    """Whether an entity can be in the text: an at sign, two digits of any script, or a given name or title among its words."""
     if "@" in text or len(DIGIT.findall(text)) >= 2:
         return True
-    return not NAME_OF.keys().isdisjoint(WORD.findall(text.lower()))
+    # Letters with loose accents are put together only where names are read.
+    return LOOSE.search(text) is not None or not STARTS.isdisjoint(WORD.findall(text.lower()))
 
 
 def _found(raw: np.ndarray, offsets: np.ndarray) -> dict[int, tuple[str, list]]:

@@ -300,6 +300,42 @@ def test_no_part_of_an_address_survives(local):
         assert all(a != b for a, b in zip(norm, made) if a in "ßæłőё²ªº")
 
 
+def shown_as(text):
+    out, upto = [], 0
+    for a, b, kind, norm in op06_pii.entities(text):
+        out += [text[upto:a], op06_pii.written(kind, text[a:b], op06_pii.surrogate(kind, norm, 0))]
+        upto = b
+    return "".join([*out, text[upto:]])
+
+
+@pytest.mark.parametrize("name", ["Hans Schmidt", "José García", "Linda Brown", "Paul Meyer", "MARY MILLER", "Mary J. Miller", "Jean-Pierre Dupont", "JÜRGEN MÜLLER", "Jose\u0301 Garci\u0301a", "hans Schmidt", "Mary O'Brien", "Ludwig van Beethoven", "Фёдор Иванов"])
+def test_persons_of_every_language_and_case(name):
+    text = f"Then {name} came."
+    [(a, b, kind, _)] = op06_pii.entities(text)
+    made = shown_as(text)
+    assert text[a:b] == name and kind == "person" and op06_pii.suspect(text)
+    assert not {w for w in name.lower().split() if w not in ("van", "j.")} & set(made.lower().split()) and made.isupper() == text.isupper()
+
+
+def test_bare_surnames_follow_their_person():
+    made = shown_as("Mary Miller and John Weber. MS MILLER met Mr. Weber; M. Miller's friend, mary miller, Miller-led.").replace(".", "").replace(",", "")
+    first, last = made.split()[:2]
+    other = made.split()[4]
+    assert made == f"{first} {last} and {made.split()[3]} {other} MS {last.upper()} met Mr {other}; {first[0]} {last}'s friend {first.lower()} {last.lower()} {last}-led"
+    couple = shown_as("Mary Miller, John Miller. Mrs Miller, Mr Miller").replace(".", "").replace(",", "").split()
+    assert couple[1] == couple[5] and couple[3] == couple[7] and couple[1] != couple[3]
+    alone = shown_as("Frau Dr. Weber, Dr. Weber").replace(",", "").split()
+    assert alone[2] == alone[4] != "Weber" and alone[0] == "Frau"
+    for text in ("Mary met JAMES.", "MARY HAD a lamb", "two marks and one Mark", "Mary went home", "Frau Doktor"):
+        assert shown_as(text) == text
+
+
+def test_given_names_are_in_one_list():
+    groups = list(op06_pii.GIVEN.values())
+    assert sum(map(len, groups)) == len({n for g in groups for n in g})
+    assert all(op06_pii.given_name(n) != n for g in groups for n in g)
+
+
 def test_archive_round_trip(spark):
     from milaan.sources.writers import scratch_path
 
