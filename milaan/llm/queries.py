@@ -15,6 +15,10 @@ from milaan.llm.op08_language import op8_language
 from milaan.llm.op09_quality import op9_quality
 from milaan.llm.op10_decontaminate import ORACLE as DECONTAMINATE_SQL
 from milaan.llm.op10_decontaminate import op10_decontaminate
+from milaan.llm.op11_spelling import ORACLE as SPELLING_SQL
+from milaan.llm.op11_spelling import op11_spelling
+from milaan.llm.op12_bottomk import op12_bottomk
+from milaan.llm.op13_whitening import op13_whitening
 
-QUERIES = {"op1_mix": op1_mix, "op2_permutation": op2_permutation, "op3_jaccard": op3_jaccard, "op4_suffixes": op4_suffixes, "op5_secrets": op5_secrets, "op6_pii": op6_pii, "op7_warc": op7_warc, "op8_language": op8_language, "op9_quality": op9_quality, "op10_decontaminate": op10_decontaminate}
-ORACLE_SQL = {"op1_mix": MIX_SQL, "op7_warc": WARC_SQL, "op10_decontaminate": DECONTAMINATE_SQL}
+QUERIES = {"op1_mix": op1_mix, "op2_permutation": op2_permutation, "op3_jaccard": op3_jaccard, "op4_suffixes": op4_suffixes, "op5_secrets": op5_secrets, "op6_pii": op6_pii, "op7_warc": op7_warc, "op8_language": op8_language, "op9_quality": op9_quality, "op10_decontaminate": op10_decontaminate, "op11_spelling": op11_spelling, "op12_bottomk": op12_bottomk, "op13_whitening": op13_whitening}
+ORACLE_SQL = {"op1_mix": MIX_SQL, "op7_warc": WARC_SQL, "op10_decontaminate": DECONTAMINATE_SQL, "op11_spelling": SPELLING_SQL}
