@@ -55,6 +55,39 @@ def merge_folded(cases: DataFrame, folded: DataFrame) -> DataFrame:
     return merged.select(*out)
 
 
+def with_places(known: DataFrame) -> DataFrame:
+    """Case rows as they are stored between batches: beside every patchable value the (ts, patch_id) it came from, null at first."""
+    columns = [c for c in PATCHABLE if c in known.columns]
+    place = F.lit(None).cast("struct<ts:timestamp,patch_id:bigint>")
+    return known.withColumns({**{f"{c}_from": place for c in columns}, "patched_at": F.lit(None).cast("timestamp")})
+
+
+def folded_places(patches: DataFrame) -> DataFrame:
+    """Per case and user the last non-null value of every column, with its place.  One map-side-combined aggregation."""
+    place = F.struct(F.col("ts").cast("timestamp").alias("ts"), F.col("patch_id").cast("bigint").alias("patch_id"))
+    columns = [c for c in PATCHABLE if c in patches.columns]
+    last = [F.max_by(F.struct(F.col(c).alias("v"), place.alias("at")), F.when(F.col(c).isNotNull(), place)).alias(c) for c in columns]
+    return patches.groupBy("case_id", "user_id").agg(*last, F.max(F.col("ts").cast("timestamp")).alias("patched_at"))
+
+
+def merge_places(held: DataFrame, folded: DataFrame) -> DataFrame:
+    """Stored rows after folded patches: a value gives way to one from a later place, so merging twice is merging once."""
+    columns = [c for c in folded.columns if c not in ("case_id", "user_id", "patched_at")]
+    met = held.alias("c").join(folded.alias("p"), ["case_id", "user_id"], "left")
+    out = {c: F.col(c) if c in ("case_id", "user_id") else F.col(f"c.{c}") for c in held.columns}
+    for c in columns:
+        later = F.col(f"p.{c}.at").isNotNull() & (F.col(f"c.{c}_from").isNull() | (F.col(f"p.{c}.at") > F.col(f"c.{c}_from")))
+        out[c] = F.when(later, F.col(f"p.{c}.v")).otherwise(F.col(f"c.{c}"))
+        out[f"{c}_from"] = F.when(later, F.col(f"p.{c}.at")).otherwise(F.col(f"c.{c}_from"))
+    out["patched_at"] = F.greatest("c.patched_at", "p.patched_at")
+    return met.select(*[out[c].alias(c) for c in held.columns])
+
+
+def without_places(stored: DataFrame, columns: list[str]) -> DataFrame:
+    """Case rows out of stored ones."""
+    return stored.withColumn("updated_at", F.coalesce("patched_at", "updated_at")).select(*columns)
+
+
 def recent_cases(cases: DataFrame, limit: int = 20) -> DataFrame:
     """The latest cases of each user .  Spark trims every partition to the limit before the shuffle."""
     latest = Window.partitionBy("user_id").orderBy(F.col("updated_at").desc(), F.col("case_id"))

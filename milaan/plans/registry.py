@@ -814,15 +814,33 @@ def yes_no_intent(spark, sf_dir):
     return rows.select("conv_id", "turn", spoken.yes_or_no(F.col("transcript")).alias("intent"))
 
 
+BATCHES = 3
+
+
+def in_batches(spark, sf_dir, table: str, part) -> DataFrame:
+    """A table as a stream of about ``BATCHES`` batches; ``part`` (0, 1, 2) says in which order its rows arrive."""
+    folder, rows = writers.scratch_path(spark, "arrivals"), bridge.read_table(spark, sf_dir, table)
+    for k in range(BATCHES):
+        rows.where(part == k).write.mode("append").parquet(f"{folder}/{table}.parquet")
+    files = len(spark.read.parquet(f"{folder}/{table}.parquet").inputFiles())
+    return jobs.read_stream(spark, folder, table, max(1, -(-files // BATCHES)))
+
+
+def third(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(BATCHES))
+
+
 @query
 def form_fill_stream(spark, sf_dir):
-    stream = jobs.read_stream(spark, sf_dir, "conversations")
-    return turn_columns(jobs.form_fill_stream(bridge.spoken_turns(stream), writers.scratch_path(spark, "form_fill")))
+    """Conversations return in later batches: their first turns arrive first."""
+    stream = in_batches(spark, sf_dir, "conversations", F.least(F.floor(F.col("turn") / 3), F.lit(BATCHES - 1)))
+    turns = bridge.spoken_turns(stream).withColumn("ts", F.timestamp_seconds(F.col("turn") * 60))
+    return turn_columns(jobs.form_fill_stream(turns, writers.scratch_path(spark, "form_fill")))
 
 
 @query
 def case_patch_stream(spark, sf_dir):
-    patches = bridge.patches(jobs.read_stream(spark, sf_dir, "events"))
+    patches = bridge.patches(in_batches(spark, sf_dir, "events", third("event_id")))
     rows = jobs.case_patch_stream(patches, writers.scratch_path(spark, "patches"), new_cases(spark, sf_dir))
     kept = ["case_id", "user_id", "service_id", "citizen_label", "step", "notes", "form_reviewed", "status"]
     return rows.select(*kept, F.unix_micros("updated_at").alias("updated_us"))
@@ -830,15 +848,15 @@ def case_patch_stream(spark, sf_dir):
 
 @query
 def dedupe_upload_stream(spark, sf_dir):
-    events = jobs.read_stream(spark, sf_dir, "events")
+    events = in_batches(spark, sf_dir, "events", third("event_id"))
     uploads = events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("case_id"), F.concat(F.lit("scan_"), F.col("event_type"), F.lit(".jpg")).alias("file_name"), F.expr("event_id % 3").alias("size"))
-    kept = jobs.dedupe_upload_stream(uploads)
-    return jobs.run_to_end(kept, writers.scratch_path(spark, "uploads")).select("case_id", "file_name", "size")
+    kept, late = jobs.split_uploads(uploads, writers.scratch_path(spark, "uploads"), hold="3650 days")
+    return kept.unionByName(late).select("case_id", "file_name", "size")
 
 
 @query
 def verify_stream(spark, sf_dir):
-    customers = jobs.read_stream(spark, sf_dir, "customer")
+    customers = in_batches(spark, sf_dir, "customer", third("c_custkey"))
     stream = bridge.case_requests(customers)
     rows = jobs.verify_stream(stream, writers.scratch_path(spark, "verify"), today())
     return verdict_columns(rows)
@@ -846,7 +864,7 @@ def verify_stream(spark, sf_dir):
 
 @query
 def quarantine_stream(spark, sf_dir):
-    customers = jobs.read_stream(spark, sf_dir, "customer")
+    customers = in_batches(spark, sf_dir, "customer", third("c_custkey"))
     scans = bridge.documents_of(customers).select(
         "case_id", "doc_ord", "doc_type", "source_file", F.expr(f"CASE WHEN case_id % 20 = 0 AND doc_ord = 2 THEN ' ' ELSE {bridge.OCR_TEXT} END").alias("ocr_text")
     )

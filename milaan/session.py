@@ -20,6 +20,8 @@ SETTINGS = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m",
     "spark.sql.session.timeZone": "UTC",
+    # Streams keep per-key state with timers.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # Model replies repeat keys; the last one counts.
     "spark.sql.variant.allowDuplicateKeys": "true",
 }

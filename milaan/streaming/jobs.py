@@ -17,6 +17,7 @@ from milaan.operators import cases, dialogue
 from milaan.plans.verify import Verification
 from milaan.sources.readers import with_outcome
 from milaan.sources.writers import materialized
+from milaan.streaming.processors import FilledFields, FirstUpload
 
 
 def read_stream(spark: SparkSession, folder: str, table: str, files_per_batch: int = 1) -> DataFrame:
@@ -60,22 +61,63 @@ def written(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
         return spark.createDataFrame([], known)
 
 
-def case_patch_stream(patches: DataFrame, path: str, known: DataFrame) -> DataFrame:
-    """Case updates folded as streaming state and merged into the known case rows.
+CASE_BUCKETS = 64
 
-    State is one row per case and user.  Late patches lose by their timestamp; patches of unknown cases or by others than the
-    owner change no row.
+
+def case_patch_stream(patches: DataFrame, path: str, known: DataFrame, buckets: int = CASE_BUCKETS) -> DataFrame:
+    """Case updates merged into a case table that is partitioned by key bucket; gives back the current case rows.
+
+    A batch folds its patches, reads the buckets they fall in, and rewrites those alone (dynamic partition overwrite); the rest of
+    the table is not touched.  Every value is stored with the place (time, patch id) it came from, so late patches lose to later
+    ones of any batch, and a replayed batch changes nothing.  Patches of unknown cases or by others than the owner change no row.
+    """
+    spark = patches.sparkSession
+    table = f"{path}/cases"
+    stored = cases.with_places(known).withColumn("bucket", F.pmod(F.xxhash64("case_id"), F.lit(buckets)).cast("int"))
+    try:
+        spark.read.schema(stored.schema).parquet(table)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        stored.repartition("bucket").write.partitionBy("bucket").parquet(table)
+
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        folded = materialized(cases.folded_places(batch).withColumn("bucket", F.pmod(F.xxhash64("case_id"), F.lit(buckets)).cast("int")), "patches")
+        touched = [r["bucket"] for r in folded.select("bucket").distinct().collect()]  # never more than ``buckets`` numbers
+        if not touched:
+            return
+        held = spark.read.schema(stored.schema).parquet(table).where(F.col("bucket").isin(touched))
+        merged = cases.merge_places(held, folded.drop("bucket"))
+        merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
+
+    run_to_end(patches, path, each=upsert)
+    return cases.without_places(spark.read.schema(stored.schema).parquet(table), known.columns)
+
+
+UPLOAD_KEY = ["case_id", "file_name", "size"]
+# How long an upload is remembered, in event time; older ones that still arrive are late.
+UPLOAD_HOLD = "30 days"
+
+
+def dedupe_upload_stream(uploads: DataFrame, hold: str = UPLOAD_HOLD) -> DataFrame:
+    """Uploads (ts and the key) with an ``outcome``: ``kept`` for the first of its key, ``late`` for those behind the watermark.
+
+    Repeats of a key that is remembered come out in neither.  A key is state until the watermark, which follows the newest upload at
+    the distance ``hold``, has passed its newest upload; then a timer removes it.  A late upload of no remembered key may be a
+    repeat or not, so it is given back as late instead of being dropped unseen or kept for ever.
     """
-    versions = run_to_end(cases.folded_patches(patches), path, mode="update")
-    keys = ["case_id", "user_id"]
-    columns = [c for c in versions.columns if c not in (*keys, "batch_id")]
-    newest = F.max_by(F.struct(*columns), "batch_id").alias("v")
-    return cases.merge_folded(known, versions.groupBy(*keys).agg(newest).select(*keys, "v.*"))
+    seen = uploads.withWatermark("ts", hold)
+    # The watermark column ends here: Spark would drop late rows of it before the processor sees them.
+    plain = seen.select(*UPLOAD_KEY, F.unix_micros("ts").alias("at"))
+    shape = T.StructType([*[f for f in plain.schema.fields if f.name != "at"], T.StructField("at", T.LongType()), T.StructField("outcome", T.StringType())])
+    marked = plain.groupBy(*UPLOAD_KEY).transformWithStateInPandas(FirstUpload(), shape, "append", "EventTime")
+    return marked.select(F.timestamp_micros("at").alias("ts"), *UPLOAD_KEY, "outcome")
 
 
-def dedupe_upload_stream(uploads: DataFrame) -> DataFrame:
-    """Repeated uploads dropped, however late.  State is one key per distinct upload; no watermark, which would drop late ones unseen."""
-    return uploads.dropDuplicates(["case_id", "file_name", "size"])
+def split_uploads(uploads: DataFrame, path: str, hold: str = UPLOAD_HOLD) -> tuple[DataFrame, DataFrame]:
+    """(kept, late): the two tables a stream of uploads is written to."""
+    out = run_to_end(dedupe_upload_stream(uploads, hold), path)
+    return tuple(out.where(F.col("outcome") == name).drop("outcome", "batch_id") for name in ("kept", "late"))
 
 
 def verify_stream(cases_stream: DataFrame, path: str, today: Column) -> DataFrame:
@@ -108,26 +150,21 @@ def quarantine_stream(scans: DataFrame, path: str) -> tuple[DataFrame, DataFrame
     return good, failed
 
 
-def form_fill_stream(turns: DataFrame, path: str) -> DataFrame:
+# How long a conversation may rest, in event time, before its state is dropped and it starts anew.
+IDLE = "30 days"
+
+
+def form_fill_stream(turns: DataFrame, path: str, idle: str = IDLE) -> DataFrame:
     """Form dialogue on a stream: every batch continues the conversations where the batches before left them.
 
-    The state per conversation is the count of filled fields.  A batch runs the same block-wise fold as the batch job
-    (so a conversation with most of the turns is still cut over many tasks) from the counts its predecessor left, and writes
-    all counts, its own changes among them, under its own number.  So a batch reads one folder of counts, not all earlier
-    ones, and a replayed batch reads the same folder again.
+    The state of a conversation is its number of filled fields, one value in Spark's state store; a batch reads and writes that of its
+    own conversations only.  Where turns have a time ``ts``, a timer drops the state of a conversation that has rested for ``idle``;
+    without one it stays.  No turn is dropped for being late.
     """
-    spark = turns.sparkSession
-    counts = "conv_id long, before int"
-
-    def fold(batch: DataFrame, batch_id: int) -> None:
-        moved = dialogue.with_moves(batch)
-        held = spark.read.schema(counts).parquet(f"{path}/counts/batch_id={batch_id - 1}") if batch_id > 0 else spark.createDataFrame([], counts)
-        entry = held.join(batch.select("conv_id").distinct(), "conv_id", "left_semi") if batch_id > 0 else None
-        run = materialized(dialogue.counts_before(moved, entry=entry), "turns")
-        dialogue.outcomes(run).write.mode("overwrite").parquet(f"{path}/out/batch_id={batch_id}")
-        last = run.groupBy("conv_id").agg(F.max_by(F.get("moves", F.col("before")), "turn").cast("int").alias("before"))
-        state = held.join(last, "conv_id", "left_anti").unionByName(last)
-        state.write.mode("overwrite").parquet(f"{path}/counts/batch_id={batch_id}")
-
-    shape = dialogue.outcomes(dialogue.counts_before(dialogue.with_moves(spark.createDataFrame([], turns.schema)))).schema
-    return run_to_end(turns, path, each=fold, schema=shape).drop("batch_id")
+    timed = "ts" in turns.columns
+    moved = dialogue.with_moves(turns.withWatermark("ts", idle) if timed else turns).drop("required")
+    # As with uploads, the watermark column ends before the processor.
+    plain = moved.withColumn("at", F.unix_micros("ts") if timed else F.lit(0).cast("long")).drop("ts")
+    shape = T.StructType([*plain.schema.fields, T.StructField("before", T.IntegerType())])
+    run = plain.groupBy("conv_id").transformWithStateInPandas(FilledFields(timed), shape, "append", "EventTime" if timed else "None")
+    return run_to_end(dialogue.outcomes(run.join(dialogue.required_fields(turns.sparkSession), "service_id")), path).drop("batch_id")
