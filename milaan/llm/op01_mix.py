@@ -9,9 +9,13 @@ taken in rank order up to the one that brings the words nearest to the target.
 The cut is found without sorting a source in one task: words are added up by rank bucket, then by sub-bucket of the bucket
 the cut falls in, and only that sub-bucket is ordered.  Everything is DataFrame functions.
 
+Rows that repeat id and text are one tie in the order.  The tie the cut falls in gives as many of its rows as the target asks for:
+they are numbered task by task, so no tie is sorted in one task either.
+
 Defined results: a null text has no words; a null source is a source of its own, last in order; a source without words has
-target 0; a document without words takes 0; rows that repeat id and text share one random number, and rows of one id are told
-apart by their text; an empty table gives an empty mix.  Columns of the mix replace input columns of the same name.
+target 0; a document without words takes 0; rows of one id are told apart by their text, rows without an id draw by their text,
+and which of several equal rows get a copy is left open, how many is not; an empty table gives an empty mix.  Columns of the mix
+replace input columns of the same name.
 """
 
 from __future__ import annotations
@@ -36,8 +40,9 @@ def words(text: Column) -> Column:
 
 
 def with_draws(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """Add the size in words and the random number of each document, a function of seed and id alone."""
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    """Add the size in words and the random number of each document, a function of seed and id alone (of the text, if there is no id)."""
+    named = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce("text", F.lit("")))))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), named))
     number = F.conv(F.substring(key, 1, 13), 16, 10).cast("double")
     return docs.withColumns(
         {"__size": words(F.col("text")), "__draw": (number + 0.5) / F.lit(float(1 << 52)), "__print": F.coalesce(F.xxhash64("text"), F.lit(0))}
@@ -112,28 +117,54 @@ def cuts(drawn: DataFrame, sources: DataFrame) -> DataFrame:
     inside = meet(ranked, crossed, "coarse")
     fine = inside.groupBy("source", "__cell", "__budget", "start").agg(F.sum("__size").alias("words"))
     at = small(materialized(_crossing(fine, "__cell", F.col("start")), "mix-fine"))
-    last = meet(ranked, at, "__cell")
-    run = Window.partitionBy("source").orderBy(*ORDER).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    total = F.col("start") + F.sum("__size").over(run)
-    taken = last.withColumn("end", total).filter(F.col("end") - F.col("__size") / 2 <= F.col("__budget"))
-    edge = taken.groupBy("source").agg(F.max(F.struct(*ORDER)).alias("__edge")).withColumnRenamed("source", "__s")
+    # Equal rows are one entry here; ``many`` rows of a tie are taken while each brings the sum nearer to the budget.
+    last = meet(ranked, at, "__cell").groupBy("source", *ORDER, "__budget", "start").agg(F.count(F.lit(1)).alias("rows"), F.max("__size").alias("__size"))
+    run = Window.partitionBy("source").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    lead = F.col("__budget") - F.col("start") - F.coalesce(F.sum(F.col("__size") * F.col("rows")).over(run), F.lit(0))
+    many = F.when(F.col("__size") == 0, F.when(lead >= 0, F.col("rows")).otherwise(0)).otherwise(F.floor(lead / F.col("__size") + 0.5))
+    taken = last.withColumn("many", F.least(many, F.col("rows"))).filter("many > 0")
+    edge = taken.groupBy("source").agg(F.max(F.struct(*ORDER, "many", "rows")).alias("__edge")).withColumnRenamed("source", "__s")
     ends = at.join(edge, F.col("source").eqNullSafe(F.col("__s")), "left").select(
         F.col("source").alias("__e"), F.col("hit").alias("__edge_cell"), "__edge"
     )
     return wanted.join(ends, F.col("source").eqNullSafe(F.col("__e")), "left").drop("__e")
 
 
+def _numbered(tied: DataFrame) -> DataFrame:
+    """Number the rows of each source from 1: by task, then inside it."""
+    parted = materialized(tied.withColumns({"__task": F.spark_partition_id(), "__row": F.monotonically_increasing_id()}), "mix-ties")
+    sums = parted.groupBy("source", "__task").agg(F.count(F.lit(1)).alias("__n"))
+    # One row per source and task that has rows of its tie.
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("source").orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sums.select(F.col("source").alias("__s"), F.col("__task").alias("__t"), before.alias("__offset"))
+    met = parted.join(small(materialized(offsets, "mix-offsets")), F.col("source").eqNullSafe(F.col("__s")) & (F.col("__task") == F.col("__t")))
+    inside = F.row_number().over(Window.partitionBy("source", "__task").orderBy("__row"))
+    return met.withColumn("__number", F.col("__offset") + inside).drop("__task", "__row", "__s", "__t", "__offset")
+
+
 def apply_cuts(drawn: DataFrame, cut: DataFrame) -> DataFrame:
-    """Add size, source_size, target, copies and taken to every document; one narrow pass when the sources are few."""
+    """Add size, source_size, target, copies and taken to every document; one narrow pass when the sources are few.
+
+    Only the rows of a tie that the cut splits are numbered, in a table of their own.
+    """
     ranked = _ranked(drawn, small(cut))
     here = F.struct(*ORDER)
+    edge = F.struct(*[F.col("__edge")[c].alias(c) for c in ORDER])
+    at_edge = F.coalesce((F.col("__cell") == F.col("__edge_cell")) & (here == edge), F.lit(False))
+    inside = F.coalesce((F.col("__cell") == F.col("__edge_cell")) & (here <= edge), F.lit(False))
     below = F.col("__edge_cell").isNull() | (F.col("__cell") < F.col("__edge_cell"))
-    at_edge = (F.col("__cell") == F.col("__edge_cell")) & F.coalesce(here <= F.col("__edge"), F.lit(False))
-    more = F.col("__rank").isNotNull() & (below | at_edge)
-    copies = F.col("__whole") + F.when(more, 1).otherwise(0)
-    made = ranked.withColumn("size", F.col("__size")).withColumn("copies", copies.cast("int"))
-    made = made.withColumn("taken", (F.col("copies") * F.col("__size")).cast("long"))
-    return made.drop(*[c for c in made.columns if c.startswith("__")])
+    split = at_edge & (F.col("__edge")["many"] < F.col("__edge")["rows"])
+
+    def made(rows: DataFrame, more) -> DataFrame:
+        copies = F.col("__whole") + F.when(F.col("__rank").isNotNull() & more, 1).otherwise(0)
+        out = rows.withColumn("size", F.col("__size")).withColumn("copies", copies.cast("int"))
+        out = out.withColumn("taken", (F.col("copies") * F.col("__size")).cast("long"))
+        return out.drop(*[c for c in out.columns if c.startswith("__")])
+
+    if not cut.filter("__edge.many < __edge.rows").take(1):
+        return made(ranked, below | inside)
+    tied = _numbered(ranked.filter(split))
+    return made(ranked.filter(~split), below | inside).unionByName(made(tied, F.col("__number") <= F.col("__edge")["many"]))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_COPIES, seed: str = SEED) -> DataFrame:
@@ -156,7 +187,7 @@ def op1_mix(spark, sf_dir: str) -> DataFrame:
 ORACLE = """
 WITH RECURSIVE d AS (
   SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '[^ \\t-\\r]+')), 0)::BIGINT AS size,
-    (('0x' || substr(md5('mix-1:' || COALESCE(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
+    (('0x' || substr(md5('mix-1:' || COALESCE(doc_id::VARCHAR, 'text:' || md5(COALESCE(text, '')))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
   FROM documents),
 s AS (SELECT source, sum(size)::DOUBLE AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS ord FROM d GROUP BY source),
 w AS (SELECT source, n, CASE ord % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS w, 3 * n AS cap FROM s),
