@@ -18,16 +18,18 @@ def _star(edges: DataFrame, keep, least_of_all: bool) -> DataFrame:
     return out.filter("u <> v").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(u, v) pairs of long numbers -> (id, root): every vertex of an edge but the roots, with the least id of its component."""
+def components(edges: DataFrame) -> DataFrame:
+    """(u, v) pairs of long numbers -> (id, root): every vertex of an edge but the roots, with the least id of its component.
+
+    Rounds go on until one changes nothing; every round but the last brings vertices nearer to their root, so they end.
+    """
     now = materialized(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "stars")
     state = None
-    for _ in range(rounds):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = materialized(_star(both, F.col("v") > F.col("u"), False), "stars")
         now = materialized(_star(large, F.lit(True), True), "stars")
         seen = now.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == state:
-            break
+            return now.select(F.col("u").alias("id"), F.col("v").alias("root"))
         state = seen
-    return now.select(F.col("u").alias("id"), F.col("v").alias("root"))
