@@ -106,16 +106,18 @@ RUNS = re.compile(r"[^\W\d_]+|\d+")
 DECIMAL = {i: unicodedata.decimal(chr(i)) for i in range(128, sys.maxunicode + 1) if chr(i).isdecimal()}
 PLAIN = {i: str(d) for i, d in DECIMAL.items()} | dict(zip(map(ord, "＋（）－．\u2010\u2011\u00a0\u2007\u202f\u3000"), "+()-.--    ", strict=True))
 
-EMAIL = re.compile(r"[\w.%+-]*[\w%+-]@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
+# Every pattern takes time in proportion to the text: quantifiers are bounded or possessive, and a run is entered at its start only.
+DOMAIN = re.compile(r"[A-Za-z0-9.-]*+")
+TOP_LABEL = re.compile(r"[A-Za-z]{2,}+")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
-CARD = re.compile(r"[0-9]+(?:[ -][0-9]+)+|[0-9]{13,19}")
+CARD = re.compile(r"(?<![0-9])(?:[0-9]++(?:[ -][0-9]++)++|[0-9]{13,19}+(?![0-9]))")
 GROUP = re.compile(r"[0-9]+")
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 PHONE = re.compile(r"(?<![\w.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\w-])")
 IP = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)")
 LETTER, GAP = r"[^\W\d_][\u0300-\u036f]*", r"[^\S\r\n]+"
 SURNAME = rf"(?:{LETTER}['’])?(?:{LETTER}){{2,}}(?:[-'’](?:{LETTER}){{2,}})*"
-NAME_WORD = re.compile(rf"(?<!\w)(?:{LETTER})+")
+NAME_WORD = re.compile(rf"(?<!\w)(?:{LETTER})++")
 # What follows a given name or a title: initials, particles, and the surname.
 AFTER = re.compile(
     rf"(?P<initials>(?:{GAP}(?:{LETTER}\.)+|{GAP}{LETTER}(?={GAP})|(?<=\.){LETTER}\.){{0,3}})"
@@ -151,6 +153,29 @@ def _digit_like(c: str, digit: str) -> str:
     return chr(ord(c) - unicodedata.decimal(c) + int(digit))
 
 
+def _emails(text: str) -> list[tuple[int, int, str]]:
+    """From each at sign to the left as far as local parts go, and to the right to the last label that begins with two letters."""
+    out, upto = [], 0
+    at = text.find("@")
+    while at >= 0:
+        first = at
+        while first > upto and (text[first - 1].isalnum() or text[first - 1] in "_.%+-"):
+            first -= 1
+        end, label = 0, at + 1
+        if first < at and text[at - 1] != ".":
+            for i, part in enumerate(DOMAIN.match(text, at + 1)[0].split(".")):
+                if not part:
+                    break
+                top = TOP_LABEL.match(part) if i else None
+                end = label + top.end() if top else end
+                label += len(part) + 1
+        if end:
+            out.append((first, end, text[first:end].lower()))
+        upto = max(end, at + 1)
+        at = text.find("@", upto)
+    return out
+
+
 def _ibans(plain: str) -> list[tuple[int, int, str]]:
     """Where the checksum holds: at the length that the country fixes, else at the longest end of a group."""
     out: list[tuple[int, int, str]] = []
@@ -189,9 +214,11 @@ def _cards(plain: str) -> list[tuple[int, int, str]]:
                     if size >= 13:
                         ends.append(j)
                 step = i + 1
-                for j in reversed(ends):
+                for j in reversed(ends) if plain[groups[i][0]] in ISSUERS else ():
+                    if usual != (tuple(e - s for s, e in groups[i:j]) in CARD_GROUPS):
+                        continue
                     own = _digits(plain[groups[i][0] : groups[j - 1][1]])
-                    if own[0] in ISSUERS and usual == (tuple(e - s for s, e in groups[i:j]) in CARD_GROUPS) and luhn(own) == 0:
+                    if luhn(own) == 0:
                         out.append((groups[i][0], groups[j - 1][1], own))
                         used[i:j] = [True] * (j - i)
                         step = j
@@ -262,13 +289,16 @@ def _persons(text: str) -> list[tuple[int, int, str]]:
     taken = np.zeros(len(text) + 1, bool)
     for a, b, _, _ in out:
         taken[a:b] = True
-    by_last: dict[str, list[tuple[int, str]]] = {}
+    # Persons by surname, also by gender and by initial, so that a mention is a search however many there are.
+    by_last: dict[tuple[str, str, str], list[tuple[int, str]]] = {}
     for a, _, norm, last in sorted(out):
-        by_last.setdefault(last, []).append((a, norm))
+        gender = NAME_OF[norm.split(" ")[0].split("-")[0]][0][1]
+        for key in ((last, "", ""), (last, gender, ""), (last, "", norm[0]), (last, gender, norm[0])):
+            by_last.setdefault(key, []).append((a, norm))
     title_at = {}
     for a, surname, b, last, gender in titled:
         title_at[surname] = gender
-        if last not in by_last and not taken[a:b].any():  # nobody of that name has a given name here
+        if (last, "", "") not in by_last and not taken[a:b].any():  # nobody of that name has a given name here
             out.append((a, b, last, last))
             taken[a:b] = True
     bare = {last for *_, last in out}
@@ -280,13 +310,14 @@ def _persons(text: str) -> list[tuple[int, int, str]]:
             if last not in bare or taken[a:b].any() or not text[a].isupper():
                 continue
             norm = last
-            if last in by_last:
-                same = [x for x in by_last[last] if NAME_OF[x[1].split(" ")[0].split("-")[0]][0][1] == title_at.get(a)] if title_at.get(a) else []
-                same = same or by_last[last]
+            if (last, "", "") in by_last:
+                gender = title_at.get(a) or ""
+                gender = gender if (last, gender, "") in by_last else ""
+                same = by_last[last, gender, ""]
                 norm = same[max(0, bisect_right(same, (a, "")) - 1)][1]
                 initial = LONE_INITIALS.search(text, max(0, a - 24), a)
                 if initial and initial[0][0].isupper() and not taken[initial.start() : a].any():
-                    own = [x for x in same if x[1][0] == initial[0][0].lower()]
+                    own = by_last.get((last, gender, initial[0][0].lower()))
                     if own:
                         a, norm = initial.start(), own[max(0, bisect_right(own, (a, "")) - 1)][1]
             out.append((a, b, norm, last))
@@ -297,7 +328,7 @@ def _persons(text: str) -> list[tuple[int, int, str]]:
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, normal form), none overlapping."""
     plain = _plain(text)
-    found = [(m.start(), m.end(), "email", m[0].lower()) for m in EMAIL.finditer(text)]
+    found = [(a, b, "email", n) for a, b, n in _emails(text)]
     ibans = _ibans(plain)
     rest = _blanked(plain, ibans)
     ssns = [(m.start(), m.end(), _digits(m[0])) for m in SSN.finditer(rest)]
@@ -485,22 +516,19 @@ def _found(raw: np.ndarray, offsets: np.ndarray) -> dict[int, tuple[str, list]]:
     return out
 
 
-def _with(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with entities, and the distinct entities of each."""
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows, with their distinct entities and where these stand: start, end, number of the entity, and so on."""
     for rows, raw, offsets, _ in text_slices(batches):
         found = _found(raw, offsets)
-        if found:
-            kept = rows.take(pa.array(sorted(found)))
-            cols = {f.name: kept.column(i) for i, f in enumerate(kept.schema) if f.name != "__ents"}
-            own = [sorted({f"{k}\0{n}" for _, _, k, n in found[r][1]}) for r in sorted(found)]
-            yield pa.RecordBatch.from_pydict(cols | {"__ents": pa.array(own, pa.list_(pa.string()))})
-
-
-def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, raw, offsets, _ in text_slices(batches):
-        keep = np.ones(rows.num_rows, bool)
-        keep[list(_found(raw, offsets))] = False
-        yield rows.filter(pa.array(keep))
+        ents, spans = [], []
+        for r in range(rows.num_rows):
+            own = found.get(r, ("", ()))[1]
+            names = sorted({f"{k}\0{n}" for _, _, k, n in own})
+            number = {e: i for i, e in enumerate(names)}
+            ents.append(names)
+            spans.append([x for start, end, k, n in own for x in (start, end, number[f"{k}\0{n}"])])
+        cols = {f.name: rows.column(i) for i, f in enumerate(rows.schema) if f.name not in ("__ents", "__spans")}
+        yield pa.RecordBatch.from_pydict(cols | {"__ents": pa.array(ents, pa.list_(pa.string())), "__spans": pa.array(spans, pa.list_(pa.int32()))})
 
 
 def _drawn(key: str):
@@ -534,37 +562,41 @@ def surrogates(ents: DataFrame, key: str = KEY) -> DataFrame:
 
 def _replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
+        own = {n: b.column(b.schema.get_field_index(n)).to_pylist() for n in ("text", "__ents", "__spans", "__map")}
         texts, counts = [], {f"n_{k}": [] for k in KINDS}
-        maps = b.column(b.schema.get_field_index("__map")).to_pylist()
-        for text, pairs in zip(b.column(b.schema.get_field_index("text")).to_pylist(), maps, strict=True):
+        for text, ents, spans, pairs in zip(*own.values(), strict=True):
             made = {p["ent"]: p["made"].split("\0", 1)[1] for p in pairs}
             out, upto, seen = [], 0, dict.fromkeys(KINDS, 0)
-            for start, end, kind, norm in entities(text):
-                out += [text[upto:start], written(kind, text[start:end], made[f"{kind}\0{norm}"])]
+            for start, end, i in zip(spans[::3], spans[1::3], spans[2::3], strict=True):
+                kind = ents[i].partition("\0")[0]
+                out += [text[upto:start], written(kind, text[start:end], made[ents[i]])]
                 upto = end
                 seen[kind] += 1
             texts.append("".join([*out, text[upto:]]))
             for k in KINDS:
                 counts[f"n_{k}"].append(seen[k])
-        cols = {f.name: b.column(i) for i, f in enumerate(b.schema) if f.name not in ("__map", "text", *counts)}
+        cols = {f.name: b.column(i) for i, f in enumerate(b.schema) if f.name not in ("text", "__ents", "__spans", "__map", *counts)}
         yield pa.RecordBatch.from_pydict(cols | {"text": pa.array(texts, pa.string())} | {k: pa.array(v, pa.int64()) for k, v in counts.items()})
 
 
 def pseudonymized(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """The documents with surrogates in their texts, and the number of entities of each kind."""
+    """The documents with surrogates in their texts, and the number of entities of each kind.
+
+    Entities are looked for once; the marked documents are a table, and both those with and those without entities are read from it.
+    """
     prepare(docs.sparkSession)
     counts = [f"n_{k}" for k in KINDS]
     docs = docs.drop(*[c for c in docs.columns if c in counts])
-    empty = docs.withColumn("__ents", F.array().cast("array<string>"))
-    marked = materialized(empty.mapInArrow(_with, empty.schema).withColumn("__rid", F.monotonically_increasing_id()), "entities")
-    each = marked.select("__rid", F.explode("__ents").alias("ent"))
+    bare = docs.withColumns({"__ents": F.array().cast("array<string>"), "__spans": F.array().cast("array<int>")})
+    marked = materialized(bare.mapInArrow(_marked, bare.schema).withColumn("__rid", F.monotonically_increasing_id()), "marked")
+    named = marked.filter(F.size("__ents") > 0)
+    each = named.select("__rid", F.explode("__ents").alias("ent"))
     made = surrogates(materialized(each.select("ent").distinct(), "distinct-entities"), key)
     maps = each.join(made, "ent").groupBy("__rid").agg(F.collect_list(F.struct("ent", "made")).alias("__map"))
-    plain = docs.withColumns({c: F.lit(0).cast("long") for c in counts})
-    with_maps = marked.drop("__ents").join(maps, "__rid").drop("__rid")
+    plain = marked.filter(F.size("__ents") == 0).select(*docs.columns).withColumns({c: F.lit(0).cast("long") for c in counts})
     names = [c for c in docs.columns if c != "text"] + ["text", *counts]
-    out = with_maps.select(*[c for c in docs.columns if c != "text"], "text", "__map").mapInArrow(_replace, plain.select(*names).schema)
-    return docs.mapInArrow(_without, docs.schema).withColumns({c: F.lit(0).cast("long") for c in counts}).select(*plain.columns).unionByName(out.select(*plain.columns))
+    whole = named.join(maps, "__rid").select(*[c for c in docs.columns if c != "text"], "text", "__ents", "__spans", "__map")
+    return plain.unionByName(whole.mapInArrow(_replace, plain.select(*names).schema))
 
 
 def op6_pii(spark, sf_dir: str) -> DataFrame:
