@@ -148,11 +148,13 @@ def _replies() -> str:
         FROM (SELECT case_id, doc_ord, {raw} AS raw FROM docs)"""
 
 
-_PREFILL = f"""SELECT case_id, service_id, form_key, value FROM (
-    SELECT r.case_id, r.service_id, r.form_key, l.value, row_number() OVER (PARTITION BY r.case_id, r.form_key ORDER BY
-        CASE WHEN l.doc_type = r.compare_doc THEN 0 ELSE 1 END, {_PRIORITY.format('l.doc_type')}, l.doc_ord) AS n
-    FROM form_rows r JOIN long_all l ON l.case_id = r.case_id AND l.field = r.compare_to WHERE upper(trim(l.value)) NOT IN ('', 'UNCERTAIN'))
-    WHERE n = 1"""
+# Offers in order of preference, then the given answer; the least of them is what stands in the form.
+_PREFILL = f"""SELECT case_id, service_id, form_key, arg_min(value, place) AS value FROM (
+    SELECT r.case_id, r.service_id, r.form_key, l.value, CASE WHEN l.doc_type = r.compare_doc THEN 0 ELSE 1000000 END
+        + {_PRIORITY.format('l.doc_type')} * 10000 + l.doc_ord AS place
+    FROM form_rows r JOIN long_all l ON l.case_id = r.case_id AND l.field = r.compare_to WHERE upper(trim(l.value)) NOT IN ('', 'UNCERTAIN')
+    UNION ALL SELECT a.case_id, a.service_id, a.form_key, a.value, 100000000 FROM answers a JOIN form_fields f USING (service_id, form_key))
+    GROUP BY ALL"""
 
 _LINES = f"""
     SELECT f.case_id, 1 AS section, '0' AS place, 'Critical blockers: ' || coalesce(s.blockers, 0) || ' | Uncertain (manual review): '
@@ -336,9 +338,7 @@ _SELECTS: dict[str, str] = {
     "check_detail": "SELECT case_id, form_key, detail FROM checks",
     "best_readable_value": f"""SELECT case_id, field, doc_type, trim(value) AS value FROM (SELECT *, row_number() OVER (PARTITION BY case_id, field ORDER BY
         CASE WHEN field = 'address' AND doc_type = 'Bank Passbook' THEN -1 ELSE {_PRIORITY.format('doc_type')} END, doc_ord) AS r FROM long_docs) WHERE r = 1""",
-    "prefill_form": f"""SELECT * FROM (WITH filled AS ({_PREFILL}) SELECT * FROM filled UNION ALL
-        SELECT a.case_id, a.service_id, a.form_key, a.value FROM answers a JOIN form_fields f USING (service_id, form_key)
-        ANTI JOIN filled x ON x.case_id = a.case_id AND x.form_key = a.form_key)""",
+    "prefill_form": _PREFILL,
     "reference_doc": "SELECT case_id, field, ref_ord, ref_doc, ref_value FROM refs",
     "next_empty_field": """SELECT case_id, service_id, arg_min(form_key, field_ord) FILTER (high_stakes AND form_value = '') AS next_field
         FROM form_rows GROUP BY ALL""",

@@ -24,10 +24,13 @@ def service_answers_only(forms: DataFrame) -> DataFrame:
     return answer_fields(forms).join(keys, ["service_id", "form_key"], "left_semi")
 
 
-def service_lookup(forms: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(forms of known services with the service columns, forms of unknown services)."""
-    services = dims.services(forms.sparkSession)
-    return forms.join(services, "service_id"), forms.join(services, "service_id", "left_anti")
+KEY = ["case_id", "service_id", "form_key"]
+
+
+def service_lookup(forms: DataFrame) -> DataFrame:
+    """The forms with the service columns and an ``outcome``: known, or rejected with those columns null.  One scan, one join."""
+    services = dims.services(forms.sparkSession).withColumn("outcome", F.lit("known"))
+    return forms.join(services, "service_id", "left").withColumn("outcome", F.coalesce("outcome", F.lit("rejected")))
 
 
 def form_rows(forms: DataFrame) -> DataFrame:
@@ -286,12 +289,13 @@ def prefill_form(forms: DataFrame, docs: DataFrame) -> DataFrame:
         F.min_by("value", F.when(F.col("offered") == F.col("compare_to"), 0).otherwise(1)).alias("value")
     )
     usable = by_doc.where(F.upper(text.strip(F.col("value"))) != text.UNCERTAIN)
-    best = F.min(F.struct(*_preference(), F.col("value"))).alias("b")
-    filled = usable.groupBy("case_id", "service_id", "form_key").agg(best).select(
-        "case_id", "service_id", "form_key", F.col("b.value").alias("value")
-    )
-    kept = service_answers_only(forms).join(filled.select("case_id", "service_id", "form_key"), ["case_id", "service_id", "form_key"], "left_anti")
-    return filled.unionByName(kept.select("case_id", "service_id", "form_key", "value"))
+    # Answers are the last tier of the same pick, so offers are made once and no answer is looked up again.
+    places = [p.alias(f"place{i}") for i, p in enumerate(_preference())]
+    offered = usable.select(*KEY, F.lit(0).alias("tier"), *places, "value")
+    spare = [F.lit(None).cast(f.dataType).alias(f.name) for f in offered.schema.fields if f.name.startswith("place")]
+    answered = service_answers_only(forms).select(*KEY, F.lit(1).alias("tier"), *spare, "value")
+    pick = F.min(F.struct("tier", *[f.name for f in offered.schema.fields if f.name.startswith("place")], "value")).alias("b")
+    return offered.unionByName(answered).groupBy(*KEY).agg(pick).select(*KEY, F.col("b.value").alias("value"))
 
 
 def filled_form_rows(forms: DataFrame) -> DataFrame:

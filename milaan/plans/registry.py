@@ -488,10 +488,7 @@ def remediation_route(spark, sf_dir):
 @query
 def service_lookup(spark, sf_dir):
     answers = bridge.forms(spark, sf_dir).select("case_id", F.expr("CASE WHEN case_id % 16 = 7 THEN 'no_such_service' ELSE service_id END").alias("service_id"))
-    known, rejected = forms.service_lookup(answers)
-    found = known.select("case_id", "service_id", "title", "portal_name", F.lit("known").alias("outcome"))
-    lost = rejected.select("case_id", "service_id", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("portal_name"), F.lit("rejected").alias("outcome"))
-    return found.unionByName(lost)
+    return forms.service_lookup(answers).select("case_id", "service_id", "title", "portal_name", "outcome")
 
 
 @query
