@@ -519,8 +519,12 @@ CTES: dict[str, str] = {
             AND (a.first_ord < b.first_ord OR (a.first_ord = b.first_ord AND a.doc_ord < b.doc_ord)))""",
     "desk_form": f"""SELECT r.case_id, r.service_id, r.form_key, r.field_ord, r.form_value, l.doc_type, l.value, l.doc_ord,
             CASE WHEN l.doc_type = r.compare_doc THEN 0 ELSE 1 END AS late, {desk_status('r.compare_to', 'r.form_value', 'l.value')} AS status
-        FROM form_rows r JOIN long_all l ON l.case_id = r.case_id AND l.field = r.compare_to 
-        WHERE NOT {desk_missing('l.value')} OR (SELECT count(*) FROM id_docs x WHERE x.case_id = r.case_id) = 1""",
+        FROM form_rows r JOIN long_all l ON l.case_id = r.case_id AND l.field = r.compare_to
+        JOIN (SELECT r.case_id, r.form_key, count(*) FILTER (x.doc_type = r.compare_doc) AS same_type, count(*) AS n,
+            max(x.doc_ord) FILTER (x.doc_type = r.compare_doc) AS last_one
+            FROM form_rows r JOIN id_docs x ON x.case_id = r.case_id GROUP BY ALL) v ON v.case_id = r.case_id AND v.form_key = r.form_key
+        WHERE (l.doc_type IS DISTINCT FROM r.compare_doc OR l.doc_ord = v.last_one)
+            AND (NOT {desk_missing('l.value')} OR v.n - greatest(v.same_type - 1, 0) = 1)""",
     "desk_best": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id, form_key ORDER BY
             CASE WHEN status IN ('MATCH', 'VARIANT') THEN 0 WHEN status = 'UNCERTAIN' THEN 1 ELSE 2 END, late, doc_ord) AS r FROM desk_form) WHERE r = 1""",
     "desk_checks": """SELECT r.case_id, r.service_id, r.form_key, r.form_value, b.doc_type, b.value AS doc_value, coalesce(b.status, 'UNCERTAIN') AS status

@@ -12,6 +12,7 @@ for it.  Every value gets one *standard form* string whose meaning depends on it
 
 from __future__ import annotations
 
+import unicodedata
 from functools import cache, reduce
 
 from pyspark.sql import Column
@@ -144,18 +145,70 @@ def view_aliases() -> dict[str, str]:
 
 
 def view_name(c: Column) -> Column:
-    """Names for the matrix: compatibility forms folded for full-width Latin text, honorifics out, aliases applied."""
+    """Names for the matrix and the desk: compatibility forms folded, honorifics out, aliases applied."""
     titles = r"(?i)\b(" + "|".join(facts.VIEW_HONORIFICS) + r")\b\.?"
-    bare = F.regexp_replace(F.regexp_replace(_fold_width(c), titles, " "), r"(?U)[^\p{L}\p{N}\s]", " ")
+    bare = F.regexp_replace(F.regexp_replace(compatible(c), titles, " "), r"(?U)[^\p{L}\p{N}\s]", " ")
     tokens = F.split(F.lower(squeeze(bare)), " ")
     return F.array_join(F.transform(tokens, lambda w: _lookup(view_aliases(), w)), " ")
 
 
-def _fold_width(c: Column) -> Column:
-    """The part of NFKC that matters for scanned Latin text: full-width ASCII and the ideographic space."""
-    wide = "".join(chr(0xFF01 + i) for i in range(94)) + "　 "
-    plain = "".join(chr(0x21 + i) for i in range(94)) + "  "
-    return F.translate(c, wide, plain)
+# Tables of compatibility forms, made from the Unicode data: one sign for one, several for one, and two that become one.
+@cache
+def _compatibility_tables() -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
+    single, several, pairs = {}, {}, {}
+    for code in [*range(0x80, 0xD800), *range(0xE000, 0x30000)]:
+        sign = chr(code)
+        folded = unicodedata.normalize("NFKC", sign)
+        if folded != sign:
+            (single if len(folded) == 1 else several)[sign] = folded
+        parts = unicodedata.decomposition(sign).split(" ")
+        if len(parts) == 2 and parts[0][0] != "<":
+            two = "".join(chr(int(x, 16)) for x in parts)
+            if unicodedata.normalize("NFC", two) == sign:
+                pairs[two] = sign
+    return single, several, pairs
+
+
+def _sign_class(signs) -> str:
+    """A character class; neighbouring code points become ranges."""
+    ranges: list[list[int]] = []
+    for code in sorted({ord(x) for x in signs}):
+        if ranges and ranges[-1][1] == code - 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
+def _packed_map(mapping: dict[str, str]) -> Column:
+    """A large constant map as one text, so that the plan holds one expression and not one for each entry."""
+    return F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in mapping.items())), F.lit("\x01"), F.lit("\x02"))
+
+
+def compatible(c: Column) -> Column:
+    """NFKC: full-width and half-width forms, ligatures, circled digits and the like become their plain signs, and letters with
+    a mark of their own become one sign.  ASCII text is passed on as it is.  Marks are taken in the order they are written in, and
+    Hangul written letter by letter stays so."""
+    single, several, pairs = _compatibility_tables()
+    plain = F.translate(c, "".join(single), "".join(single.values()))
+    long_forms, composed = _packed_map(several), _packed_map(pairs)
+
+    def spread(x: Column) -> Column:
+        signs = F.transform(F.split(x, ""), lambda sign: F.coalesce(F.try_element_at(long_forms, sign), sign))
+        return F.when(F.rlike(x, F.lit(_sign_class(several))), F.array_join(signs, "")).otherwise(x)
+
+    def joined(state: Column, sign: Column) -> Column:
+        one = F.try_element_at(composed, F.concat(state["last"], sign))
+        return F.struct(
+            F.when(one.isNull(), F.concat(state["done"], state["last"])).otherwise(state["done"]).alias("done"),
+            F.coalesce(one, sign).alias("last"),
+        )
+
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("last"))
+    wide = spread(plain)
+    put_together = F.aggregate(F.split(wide, ""), start, joined, lambda state: F.concat(state["done"], state["last"]))
+    marked = F.when(F.rlike(wide, F.lit(_sign_class(x[1] for x in pairs))), put_together).otherwise(wide)
+    return F.when(F.rlike(c, F.lit(r"[^\x00-\x7F]")), marked).otherwise(c)
 
 
 def view_dob_key(c: Column) -> Column:

@@ -43,17 +43,25 @@ def blocker_counts_desk(pairs: DataFrame) -> DataFrame:
 def form_checks_desk(forms: DataFrame, docs: DataFrame) -> DataFrame:
     """Per compared form field the best document verdict in visiting order (preferred document first).
 
-    The visit stops at the first agreement; without one the best rank seen first wins.  Unreadable values are passed over
-    unless they belong to the only document.
+    Of several documents of the preferred type only the last one is visited.  The visit stops at the first agreement; without
+    one the best rank seen first wins.  Unreadable values are passed over unless they belong to the only document visited.
     """
     rank = {"MATCH": 4, "VARIANT": 3, "UNCERTAIN": 2, "CRITICAL": 1}
     compared = form_rows(forms).where("compare_to IS NOT NULL")
-    groups = value_groups(unpivot_fields(docs, absent="")).withColumnRenamed("field", "compare_to")
+    long_docs = unpivot_fields(docs, absent="").withColumnRenamed("field", "compare_to")
+    groups = long_docs.groupBy("case_id", "compare_to", "doc_type", "value").agg(
+        F.min("doc_ord").alias("first_ord"), F.max("doc_ord").alias("last_ord")
+    )
     count = docs.groupBy("case_id").agg(F.count(F.lit(1)).alias("case_docs"))
-    met = compared.join(groups, ["case_id", "compare_to"]).join(count, "case_id")
+    same_type = docs.groupBy("case_id", F.col("doc_type").alias("compare_doc")).agg(
+        F.count(F.lit(1)).alias("preferred_docs"), F.max("doc_ord").alias("preferred_last")
+    )
+    met = compared.join(same_type, ["case_id", "compare_doc"], "left").join(groups, ["case_id", "compare_to"]).join(count, "case_id")
     status = compare.desk_view_status(F.col("compare_to"), F.col("form_value"), F.col("value"))
-    considered = ~compare.desk_view_missing(F.col("value")) | (F.col("case_docs") == 1)
+    visited = F.col("case_docs") - F.coalesce(F.col("preferred_docs") - 1, F.lit(0))
+    considered = ~compare.desk_view_missing(F.col("value")) | (visited == 1)
     preferred = F.coalesce(F.col("compare_doc") == F.col("doc_type"), F.lit(False))
+    met = met.where(~preferred | (F.col("last_ord") == F.col("preferred_last")))
     visit = F.struct(F.when(preferred, 0).otherwise(1).alias("late"), F.col("first_ord").alias("ord"))
     agrees = F.col("status").isin("MATCH", "VARIANT")
     score = F.lit(0)

@@ -242,3 +242,37 @@ def test_side_by_side_keeps_every_type(spark):
     got = documents.side_by_side(docs, ["PAN Card"]).where("field = 'full_name'").first()
     assert (got["PAN Card"], got["Other"]) == ("A", "C; Electricity Bill: B")
     assert documents.side_by_side_rows(docs).where("field = 'full_name'").count() == 3
+
+
+def test_desk_check_visits_the_last_preferred_document(spark):
+    """Of two Aadhaar cards only the later one is asked, first of all; alone it is asked even when unreadable."""
+    from milaan.operators import views
+
+    forms = spark.createDataFrame([(c, "passport_apply", {"full_name": "Sanika Chavan"}) for c in range(1, 6)], "case_id long, service_id string, answers map<string,string>")
+    ddl = "case_id long, doc_ord long, doc_type string, source_file string, fields map<string,string>"
+    rows = [
+        (1, 0, "Aadhaar Card", "a", {"full_name": "Sanika Chavan"}), (1, 1, "Aadhaar Card", "b", {"full_name": "Ravi Kumar"}),
+        (2, 0, "Aadhaar Card", "a", {"full_name": "Ravi Kumar"}), (2, 1, "PAN Card", "p", {"full_name": "Sanika Chavan"}), (2, 2, "Aadhaar Card", "b", {"full_name": "Sanika Chavan"}),
+        (3, 0, "Aadhaar Card", "a", {"full_name": "Sanika Chavan"}), (3, 1, "Aadhaar Card", "b", {"full_name": "UNCERTAIN"}),
+        (4, 0, "Aadhaar Card", "a", {"full_name": "Sanika Chavan"}), (4, 1, "Aadhaar Card", "b", {}), (4, 2, "PAN Card", "p", {"full_name": "Ravi Kumar"}),
+        (5, 0, "PAN Card", "p", {"full_name": "Ravi Kumar"}), (5, 1, "PAN Card", "q", {"full_name": "Sanika Chavan"}),
+    ]
+    checks = views.form_checks_desk(forms, spark.createDataFrame(rows, ddl)).where("form_key = 'full_name'")
+    got = {r["case_id"]: (r["doc_type"], r["doc_value"], r["status"]) for r in checks.collect()}
+    assert got == {
+        1: ("Aadhaar Card", "Ravi Kumar", "CRITICAL"), 2: ("Aadhaar Card", "Sanika Chavan", "MATCH"), 3: ("Aadhaar Card", "UNCERTAIN", "UNCERTAIN"),
+        4: ("PAN Card", "Ravi Kumar", "CRITICAL"), 5: ("PAN Card", "Sanika Chavan", "MATCH"),
+    }
+
+
+def test_compatibility_forms_of_names(spark):
+    """Every single sign, and words with marks, fold as the Unicode data say; ASCII and nulls stay."""
+    import unicodedata
+
+    signs = [chr(c) for c in [*range(1, 0xD800), *range(0xE000, 0x30000)] if unicodedata.category(chr(c)) != "Cn"]
+    words = ["ﬁlomena", "①②", "ｶﾞﾊﾟ", "José Nũez", "Ｒａｖｉ　Ｋｕｍａｒ", "ậ", "क़मर", "ऩ", "½", "", "Dr. Ravi", "㎏ℌ𝔸"]
+    rows = spark.createDataFrame([(x,) for x in signs + words], "x string").select("x", text.compatible(F.col("x")).alias("y"))
+    assert [(r["x"], r["y"]) for r in rows.collect() if r["y"] != unicodedata.normalize("NFKC", r["x"])] == []
+    assert spark.createDataFrame([(None,)], "x string").select(text.compatible(F.col("x"))).first()[0] is None
+    names = spark.createDataFrame([("Ｄｒ．ﬁlomena", "FILOMENA"), ("José", "josé")], "a string, b string")
+    assert all(a == b for a, b in names.select(text.view_name(F.col("a")), text.view_name(F.col("b"))).collect())
