@@ -4,8 +4,9 @@ A conversation fills the required fields of its form in order, and "wrong" clear
 dialogue is *how many* required fields are filled.  A turn is therefore a small function on that count, written as an
 array (``moves[k]`` is the count after the turn when it was ``k`` before), and running a conversation is composing such
 arrays.  Composition is associative: turns are composed per block of ``BLOCK`` turn numbers, the blocks are run in
-order, then every block replays its own turns from its entry count.  A conversation with a huge number of turns is so
-cut over many tasks, and no group holds more than one block.
+order, then every block replays its own turns from its entry count.  Blocks are composed to blocks of blocks in the same way,
+as many levels as the largest turn number needs, so a conversation with a huge number of turns is cut over many tasks and no
+list holds more than two blocks (one on either side of turn 0), whether turns are counted or are time stamps.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ from milaan.catalogue import dims
 from milaan.functions import spoken, text, validators
 
 BLOCK = 1024
-LEVELS = 2
 
 
 def required_fields(spark) -> DataFrame:
@@ -54,12 +54,22 @@ def _moves() -> Column:
     return F.transform(F.sequence(F.lit(0), count), after)
 
 
-def counts_before(turns: DataFrame, order: str = "turn", levels: int = LEVELS, entry: DataFrame | None = None) -> DataFrame:
+def levels_for(turns: DataFrame, order: str = "turn") -> int:
+    """How often turn numbers must be divided by ``BLOCK`` until all of them are in one block; one aggregate over one column."""
+    ends = turns.agg(F.min(order).alias("low"), F.max(order).alias("high")).first()
+    left, levels = max(abs(ends["low"] or 0), abs(ends["high"] or 0)), 1
+    while left >= BLOCK:
+        left, levels = left // BLOCK, levels + 1
+    return levels
+
+
+def counts_before(turns: DataFrame, order: str = "turn", levels: int | None = None, entry: DataFrame | None = None) -> DataFrame:
     """Add ``before``: the number of filled fields when each turn starts.
 
     ``turns`` needs conv_id, the integer ``order`` column (unique per conversation) and ``moves``; ``entry`` optionally
-    gives (conv_id, before) to start from instead of 0.
+    gives (conv_id, before) to start from instead of 0.  ``levels`` comes from the turn numbers unless given.
     """
+    levels = levels or levels_for(turns, order)
     payload = F.struct(order, *[c for c in turns.columns if c not in ("conv_id", order)])
     block = F.expr(f"{order} div {BLOCK}") if levels > 1 else F.lit(0).cast("long")
     blocks = (

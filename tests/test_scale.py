@@ -176,3 +176,27 @@ def test_late_uploads_are_not_lost(spark, tmp_path):
     stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     kept = jobs.run_to_end(jobs.dedupe_upload_stream(stream), f"{tmp_path}/job")
     assert sorted(r["case_id"] for r in kept.collect()) == [0, 1, 2, 9]
+
+
+def test_sparse_turn_numbers_need_no_long_list(spark, monkeypatch):
+    """Time stamps as turn numbers: as many levels as they need, and no list longer than two blocks."""
+    monkeypatch.setattr(dialogue, "BLOCK", 16)
+    rng = random.Random(11)
+    stamps = sorted(rng.sample(range(-50, 10**6), 600))
+    said = ["Sanika Chavan", "wrong", "14/06/1992", "done", "Flat 12, CIDCO, Aurangabad"]
+    rows = [(7, "rto_dl_update", t, rng.choice(said)) for t in stamps]
+    turns = spark.createDataFrame(rows, "conv_id long, service_id string, turn long, transcript string")
+    levels = dialogue.levels_for(turns)
+    assert levels == 5
+    at, longest = stamps, 0
+    for level in range(levels):
+        div = (lambda t: int(t / 16)) if level < levels - 1 else (lambda t: 0)
+        longest = max(longest, *[sum(div(t) == b for t in at) for b in {div(t) for t in at}])
+        at = sorted({div(t) for t in at})
+    assert longest <= 2 * 16
+    moved = dialogue.with_moves(turns)
+    got = {r["turn"]: r["before"] for r in dialogue.counts_before(moved).collect()}
+    now, want = 0, {}
+    for r in sorted(moved.collect(), key=lambda r: r["turn"]):
+        want[r["turn"]], now = now, r["moves"][now]
+    assert got == want
