@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from milaan.llm.common import prepare, slices, small, table, text_slices
 from milaan.llm.textvec import WORD_BYTE, Words, shingles, whole, words
@@ -38,7 +39,6 @@ SLOT_BITS = 20
 PROBE_BITS = 26
 BROADCAST_WINDOWS = 100_000
 BROADCAST_BYTES = 32 << 20
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _GAPS = re.compile(b"\0+")
 
 
@@ -181,6 +181,11 @@ def _verdicts(hits: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows, raw, offsets, _ in text_slices(batches):
+        yield rows.append_column("n_words", pa.array(np.diff(words(raw, offsets).first), pa.int64()))
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """The documents with n_words, n_hit, n_items, items_sha256 and contaminated."""
     prepare(docs.sparkSession)
@@ -192,9 +197,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, broadcast_windows: int = BR
     prefixes = materialized(_prefixes(found, docs, lengths), "prefixes")
     hits = materialized(_hits(docs, prefixes, lengths, broadcast_windows), "hits")
     verdicts = materialized(_verdicts(hits, found), "verdicts")
-    out = docs.join(small(verdicts), "__key", "left").drop("__key")
+    counted = docs.mapInArrow(_word_counts, T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType())]))
+    out = counted.join(small(verdicts), "__key", "left").drop("__key")
     none = {"n_hit": F.lit(0), "n_items": F.lit(0), "items_sha256": F.sha2(F.lit(""), 256)}
-    out = out.withColumn("n_words", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
     out = out.withColumns({c: F.coalesce(c, none[c]) for c in none})
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 

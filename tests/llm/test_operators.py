@@ -399,3 +399,17 @@ def test_decontamination_by_blocks(spark, docs, items, empty, block):
     assert len(got) == docs.count() and {r["score"] for r in got} == {"own"}
     assert op10_decontaminate.decontaminate(empty, items, block).count() == 0
     assert not any(r["contaminated"] for r in op10_decontaminate.decontaminate(docs, items.limit(0)).collect())
+
+
+@pytest.mark.parametrize("limit", [1000, 0])
+def test_decontamination_with_crowded_prefixes_and_long_words(spark, limit):
+    """Many windows on one prefix, one word many times, items of few words, words of 100,000 letters, clashing names."""
+    shared = "one two three four five"
+    items = [(f"i{n}", f"{shared} a{n} b{n} c{n} d{n} e{n} f{n} g{n} h{n}") for n in range(200)]
+    items += [("rep", " ".join(["again"] * 13)), ("yes", "Yes!"), ("long", "x" * 100_000 + " end"), (None, "two words")]
+    texts = [f"before {shared} a7 b7 c7 d7 e7 f7 g7 h7 after", f"{shared} a7 b7", "again " * 5000, "well -- " + "-" * 5000 + "YES", "x" * 100_000 + "\u00a0end",
+             "x" * 100_000 + "...END", "two\nWords two words", "", None, f"{shared} a3 b3 c3 d3 e3 f3 g3 h3 {shared} a3 b3 c3 d3 e3 f3 g3 h3"]
+    docs = spark.createDataFrame([(i, t, -1, "k") for i, t in enumerate(texts)], "doc_id long, text string, n_hit int, window string")
+    frame = spark.createDataFrame(items, "item_id string, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in op10_decontaminate.decontaminate(docs, frame, limit).collect()}
+    assert got == {0: (15, 13, 1), 1: (7, 0, 0), 2: (5000, 5000, 1), 3: (2, 1, 1), 4: (1, 0, 0), 5: (2, 2, 1), 6: (4, 4, 1), 7: (0, 0, 0), 8: (0, 0, 0), 9: (26, 26, 1)}
