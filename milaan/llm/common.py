@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from milaan.sources.writers import scratch_path
+
 # A table of one row per source, language, item and so on is sent to every executor up to this many rows.
 SMALL_ROWS = 100_000
 # Texts are worked on in slices of about this many bytes, so memory does not follow the Arrow batch.
@@ -38,6 +40,39 @@ def small(frame: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(frame) if frame.count() <= limit else frame
 
 
+class Scratch:
+    """The tables a job writes to the shared folder on its way, each dropped by name once no later step reads it.
+
+    A written table cuts lineage and outlives lost executors.  The shuffle files of its plan go when it is written, not when the
+    driver happens to collect garbage; what is returned unwritten keeps its shuffle files.
+    """
+
+    CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.held = spark, {}
+
+    def written(self, frame: DataFrame, name: str) -> DataFrame:
+        path, before = scratch_path(self.spark, name), self.spark.conf.get(self.CLEANUP, "false")
+        self.spark.conf.set(self.CLEANUP, "true")
+        try:
+            frame.write.parquet(path)
+        finally:
+            self.spark.conf.set(self.CLEANUP, before)
+        out = self.spark.read.schema(frame.schema).parquet(path)
+        self.held[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.held.pop(id(t))[1])
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def only(self, *tables: DataFrame) -> None:
+        """Drop every table but these."""
+        self.drop(*[t for t, _ in self.held.values() if not any(t is kept for kept in tables)])
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column, the row offsets, and which rows are null (they get no bytes)."""
     if isinstance(column, pa.ChunkedArray):

@@ -27,10 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from milaan.llm.common import prepare, table, text_slices
+from milaan.llm.common import Scratch, prepare, table, text_slices
 from milaan.llm.components import components
 from milaan.llm.textvec import Words, mixed, shingles, words
-from milaan.sources.writers import materialized
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -242,13 +241,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict(kept | {"shingles": pa.array([s.tobytes() for s in shingle_sets(raw, offsets)], pa.binary())})
 
 
-def _leaves(classes: DataFrame, threshold: float, runs: int) -> DataFrame:
+def _leaves(classes: DataFrame, threshold: float, runs: int, scratch: Scratch) -> DataFrame:
     """(node, n_node, rid): the sets of every leaf with two sets or more."""
     side = classes.select("rid", "lanes")
     rows = side.withColumn("node", F.lit(0).cast("long")).mapInArrow(_split(threshold, runs), "node long, rid long")
     leaves = None
     for depth in range(1, DEPTH + 1):
-        rows = materialized(rows, "paths")
+        rows = scratch.written(rows, "paths")
         sizes = rows.groupBy("node").agg(F.count("rid").alias("n_node")).filter("n_node > 1")
         sized = rows.join(sizes, "node")
         ends = sized if depth == DEPTH else sized.filter(F.col("n_node") <= SMALL_NODE)
@@ -268,46 +267,54 @@ def _tiles(rows: DataFrame, group: str, blocks) -> DataFrame:
     return dealt.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j")
 
 
-def described(docs: DataFrame) -> DataFrame:
+def described(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, print, set, n, lanes) of every row, written once."""
     prepare(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("print"), "text")
-    return materialized(slim.mapInArrow(_describe, "doc_id long, print string, set binary, n long, lanes binary"), "described")
+    return scratch.written(slim.mapInArrow(_describe, "doc_id long, print string, set binary, n long, lanes binary"), "described")
 
 
-def join(docs: DataFrame, rows: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+def join(docs: DataFrame, rows: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row per class of equal sets: set, rid, copies, first (least id and its print), links, root."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "print"))
     classes = rows.filter("set IS NOT NULL").groupBy("set").agg(
         F.first("n").alias("n"), F.first("lanes").alias("lanes"), F.count("n").alias("copies"), first.alias("first")
     )
-    classes = materialized(classes.withColumn("rid", F.monotonically_increasing_id()), "classes")
-    leaves = _leaves(classes, threshold, runs_needed(recall))
+    classes = scratch.written(classes.withColumn("rid", F.monotonically_increasing_id()), "classes")
+    leaves = _leaves(classes, threshold, runs_needed(recall), scratch)
     met = leaves.join(classes.select("rid", "n", "lanes"), "rid")
     near = _tiles(met, "node", F.ceil(F.col("n_node") / BLOCK)).select("node", "i", "j", "block", "rid", "n", "lanes").mapInArrow(_near_tokens(threshold), "u long, v long")
-    found = components(near)
-    found = materialized(found.unionByName(found.select(F.col("root").alias("id"), "root").distinct()), "candidates")
+    found = components(near, scratch)
+    found = scratch.written(found.unionByName(found.select(F.col("root").alias("id"), "root").distinct()), "candidates")
+    scratch.only(rows, classes, found)
     known = classes.select("rid", "n", "copies", F.col("first.doc_id").alias("doc_id"), F.col("first.print").alias("print"))
     known = known.join(found.withColumnRenamed("id", "rid"), "rid")
     texts = docs.select(F.col("doc_id").cast("long").alias("__id"), "text")
     asked = texts.join(known, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.md5("text") == F.col("print"))).drop("__id", "doc_id", "print")
     sets = asked.mapInArrow(_sets, "rid long, n long, copies long, root long, shingles binary")
-    sets = materialized(sets.groupBy("rid", "n", "copies", "root").agg(F.first("shingles").alias("shingles")), "sets")
+    sets = scratch.written(sets.groupBy("rid", "n", "copies", "root").agg(F.first("shingles").alias("shingles")), "sets")
     sizes = sets.groupBy("root").agg(F.count("rid").alias("sets"), F.sum("n").alias("total"))
     blocks = F.ceil(F.greatest(F.col("sets") / BLOCK, F.col("total") / BLOCK_SHINGLES))
     tiles = _tiles(sets.join(sizes, "root"), "root", blocks)
     linked = tiles.select("root", "i", "j", "rid", "n", "copies", "block", "shingles").mapInArrow(_exact(threshold), "u long, v long, links long")
-    linked = materialized(linked, "links")
+    linked = scratch.written(linked, "links")
+    scratch.only(rows, classes, linked)
     links = linked.groupBy(F.col("u").alias("rid")).agg(F.sum("links").alias("links"))
-    roots = components(linked.select("u", "v")).withColumnRenamed("id", "rid")
+    roots = components(linked.select("u", "v"), scratch).withColumnRenamed("id", "rid")
     out = classes.drop("lanes", "n").join(links, "rid", "left").join(roots, "rid", "left")
-    return out.withColumns({"links": F.coalesce("links", F.lit(0)), "root": F.coalesce("root", "rid")})
+    out = scratch.written(out.withColumns({"links": F.coalesce("links", F.lit(0)), "root": F.coalesce("root", "rid")}), "joined")
+    scratch.only(rows, out)
+    return out
 
 
 def classed(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(doc_id, print, class_id, first_print, n_links, n_words_sets): one row per document."""
-    rows = described(docs)
-    sets = materialized(join(docs, rows, threshold, recall), "joined")
+    """(doc_id, print, class_id, first_print, n_links, n_shingles): one row per document.
+
+    It reads two tables in the shared folder (the described documents and the joined sets); all others are dropped on the way.
+    """
+    scratch = Scratch(docs.sparkSession)
+    rows = described(docs, scratch)
+    sets = join(docs, rows, scratch, threshold, recall)
     least = sets.groupBy("root").agg(F.min("first").alias("least"))
     sets = sets.join(least, "root").select("set", "copies", "links", "least")
     known = rows.select("doc_id", "print", "set", "n").join(sets, "set", "left")
