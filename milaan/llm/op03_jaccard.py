@@ -152,31 +152,37 @@ def _tile_rows(group: pa.Table, names: tuple[str, ...]) -> list[np.ndarray]:
     return [group.column(n).to_numpy() for n in names]
 
 
+def _same(lanes: np.ndarray) -> np.ndarray:
+    """How many tokens each two sets share, some million comparisons at a time."""
+    rows = max(1, (1 << 22) // lanes.size)
+    strips = [(lanes[a : a + rows, None] == lanes[None]).sum(2, dtype=np.int16) for a in range(0, len(lanes), rows)]
+    return strips[0] if len(strips) == 1 else np.concatenate(strips)
+
+
 def _near_tokens(threshold: float):
     least = (threshold - SLACK) * LANES
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u, v = [], []
+        u, v, held = [], [], 0
         for group in groups(batches, ("node", "i", "j")):
             if group.num_rows > 1:
                 rid, n = _tile_rows(group, ("rid", "n"))
                 order = np.argsort(rid)
                 rid, n = rid[order], n[order]
                 lanes = np.frombuffer(b"".join(group.column("lanes").to_pylist()), np.uint32).reshape(-1, LANES)[order]
-                same = np.zeros((len(rid), len(rid)), np.int16)
-                for k in range(LANES):
-                    same += lanes[:, k][:, None] == lanes[:, k][None, :]
-                alike = (same >= least) & (np.minimum(n[:, None], n[None, :]) >= threshold * np.maximum(n[:, None], n[None, :]) - 1e-9)
+                alike = (_same(lanes) >= least) & (np.minimum(n[:, None], n[None, :]) >= threshold * np.maximum(n[:, None], n[None, :]) - 1e-9)
                 root = _roots(alike)
                 joined = root != np.arange(len(rid))
                 block, i, j = (x[order] for x in _tile_rows(group, ("block", "i", "j")))
                 if i[0] != j[0]:  # what a block joins by itself, its own tile says; here only what the two blocks join
                     joined &= _roots(alike & (block[:, None] == block[None, :])) == np.arange(len(rid))
-                u.append(rid[joined])
-                v.append(rid[root[joined]])
-            if sum(map(len, u)) > 50_000:
+                if joined.any():
+                    u.append(rid[joined])
+                    v.append(rid[root[joined]])
+                    held += len(u[-1])
+            if held > 50_000:
                 yield pa.RecordBatch.from_pydict({"u": np.concatenate(u), "v": np.concatenate(v)})
-                u, v = [], []
+                u, v, held = [], [], 0
         if u:
             yield pa.RecordBatch.from_pydict({"u": np.concatenate(u), "v": np.concatenate(v)})
 
@@ -207,6 +213,7 @@ def _exact(threshold: float):
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
+        held = 0
         for group in groups(batches, ("root", "i", "j")):
             rid, n, copies, block, i, j = _tile_rows(group, ("rid", "n", "copies", "block", "i", "j"))
             order = np.argsort(rid)
@@ -221,10 +228,12 @@ def _exact(threshold: float):
             root = _roots(alike)
             links = alike.astype(np.int64) @ copies
             some = links > 0
-            out.append((rid[some], rid[root[some]], links[some]))
-            if sum(len(x[0]) for x in out) > 50_000:
+            if some.any():
+                out.append((rid[some], rid[root[some]], links[some]))
+                held += len(out[-1][0])
+            if held > 50_000:
                 yield _linked(out)
-                out = []
+                out, held = [], 0
         if out:
             yield _linked(out)
 

@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,3 +48,13 @@ def test_the_join_leaves_two_tables(spark):
     rows = op03_jaccard.described(docs, scratch)
     out = op03_jaccard.join(docs, rows, scratch)
     assert out.count() == 3 and len(scratch.held) == 2
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 64, 700])
+def test_shared_tokens_are_counted_lane_by_lane(n):
+    rng = np.random.default_rng(n)
+    lanes = rng.integers(0, 3, (n, op03_jaccard.LANES)).astype(np.uint32)
+    got = op03_jaccard._same(lanes)
+    assert got.shape == (n, n)
+    for i, j in rng.integers(0, n, (200, 2)):
+        assert got[i, j] == sum(int(a == b) for a, b in zip(lanes[i], lanes[j], strict=True))
