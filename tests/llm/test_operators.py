@@ -109,6 +109,40 @@ def test_nearest_neighbours_find_nine_of_ten(spark):
     assert hits / total >= 0.9
 
 
+def test_nearest_neighbours_are_sent_once_to_a_neighbourhood(spark, tmp_path, monkeypatch):
+    """A query visits 48 lists here; it and the vectors go to the 8 neighbourhoods of 16 pivots at most, and floats stay floats."""
+    real = op02_permutation._tile
+
+    def counted(*args):
+        inner, folder = real(*args), str(tmp_path)
+
+        def tile(batches):
+            def seen():
+                for b in batches:
+                    with open(f"{folder}/{random.SystemRandom().random()}", "w") as f:
+                        f.write(f"{b.num_rows} {b.nbytes}")
+                    yield b
+
+            yield from inner(seen())
+
+        return tile
+
+    monkeypatch.setattr(op02_permutation, "_tile", counted)
+    rows = spark.createDataFrame(list(enumerate(vectors_of(1500))), "vec_id long, embedding array<float>")
+    assert op02_permutation.search(rows).count() == 75 * 20
+    sent = [tuple(map(int, f.read_text().split())) for f in tmp_path.iterdir()]
+    assert 0 < sum(n for n, _ in sent) <= 1500 * op02_permutation.POSTS + 75 * 8
+    assert sum(b for _, b in sent) <= 400 * sum(n for n, _ in sent)
+
+
+def test_neighbourhoods_of_pivots_are_small_and_cover(spark):
+    import numpy as np
+
+    for pivots in (np.array(vectors_of(128)), np.ones((50, 3)), np.ones((1, 1)), np.zeros((0, 1))):
+        sizes = np.bincount(op02_permutation.neighbourhoods(pivots)) if len(pivots) else np.zeros(0, int)
+        assert sizes.sum() == len(pivots) and all(0 < sizes) and all(sizes <= op02_permutation.NEIGHBOURS)
+
+
 def test_nearest_neighbours_awkward(spark):
     same, bad = [1.0, 0.0], [[None, 1.0], [0.0, 0.0], [float("nan"), 1.0], [float("inf"), 1.0], None, [1.0]]
     rows = [(i, same) for i in range(60)] + [(100 + 20 * i, b) for i, b in enumerate(bad)] + [(999, [0.5, 0.5]), (None, same), (7, same)]
