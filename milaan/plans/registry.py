@@ -854,7 +854,7 @@ def dedupe_upload_stream(spark, sf_dir):
 @query
 def verify_stream(spark, sf_dir):
     customers = in_batches(spark, sf_dir, "customer", third("c_custkey"))
-    stream = bridge.case_requests(customers)
+    stream = bridge.case_requests(bridge.spread(customers, -(-bridge.read_table(spark, sf_dir, "customer").count() // BATCHES)))
     rows = jobs.verify_stream(stream, writers.scratch_path(spark, "verify"), today())
     return verdict_columns(rows)
 
@@ -862,6 +862,7 @@ def verify_stream(spark, sf_dir):
 @query
 def quarantine_stream(spark, sf_dir):
     customers = in_batches(spark, sf_dir, "customer", third("c_custkey"))
+    customers = bridge.spread(customers, -(-bridge.read_table(spark, sf_dir, "customer").count() // BATCHES))
     scans = bridge.documents_of(customers).select(
         "case_id", "doc_ord", "doc_type", "source_file", F.expr(f"CASE WHEN case_id % 20 = 0 AND doc_ord = 2 THEN ' ' ELSE {bridge.OCR_TEXT} END").alias("ocr_text")
     )

@@ -155,8 +155,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Cases one task works on.  A customer row has few bytes and stands for a form and up to six documents, so file sizes say nothing of
+# the work: a whole table may lie in one row group, which is one task.
+CASES_PER_TASK = 4096
+
+
+def spread(rows: DataFrame, total: int | None = None) -> DataFrame:
+    """The rows dealt evenly over as many tasks as ``total`` (by default their number) needs, whatever their keys and files."""
+    tasks = -(-(rows.count() if total is None else total) // CASES_PER_TASK)
+    return rows.repartition(tasks) if tasks > 1 else rows
+
+
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    return spread(read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"))
 
 
 def documents_wide(spark: SparkSession, sf_dir: str, keep_nation: bool = False) -> DataFrame:

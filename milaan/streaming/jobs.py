@@ -124,8 +124,10 @@ def verify_stream(cases_stream: DataFrame, path: str, today: Column) -> DataFram
     """Verify each arriving batch of complete cases (case_id, service_id, answers, documents array)."""
 
     def verify(batch: DataFrame, batch_id: int) -> None:
-        docs = batch.select("case_id", F.posexplode("documents").alias("doc_ord", "d")).select("case_id", "doc_ord", "d.*")
-        forms = batch.select("case_id", "service_id", "answers")
+        # Forms and documents are read many times below: the arrivals are worked out once.
+        held = materialized(batch, "arrivals")
+        docs = held.select("case_id", F.posexplode("documents").alias("doc_ord", "d")).select("case_id", "doc_ord", "d.*")
+        forms = held.select("case_id", "service_id", "answers")
         # Pair verdicts, checks and scores are written once per batch; counts and votes both read them.
         Verification(forms, docs, today, keep=True).verdicts.write.mode("overwrite").parquet(f"{path}/out/batch_id={batch_id}")
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from milaan.operators import cases, dialogue
+from milaan.sources import bridge
 from milaan.streaming import jobs
 
 SAID = ["Sanika Chavan", "Santosh Chavan", "wrong", "Ravi Chavan", "15/08/2001", "Flat 12, CIDCO, Aurangabad", "done", "", "again", "nonsense 1"]
@@ -136,3 +137,21 @@ def test_streams_without_rows(spark, known, tmp_path):
     assert jobs.case_patch_stream(stream_of(spark, f"{tmp_path}/in", PATCHES), f"{tmp_path}/job", known).count() == 200
     arrive(spark.createDataFrame([], UPLOADS), f"{tmp_path}/up")
     assert [x.count() for x in jobs.split_uploads(stream_of(spark, f"{tmp_path}/up", UPLOADS), f"{tmp_path}/job2")] == [0, 0]
+
+
+def test_arriving_cases_are_worked_out_once_a_batch_and_over_tasks(spark, tmp_path, monkeypatch):
+    """Forms and documents of a batch are read from a written table of several files, however many tables are made of them."""
+    n, files = 2 * bridge.CASES_PER_TASK, []
+    arrive(spark.range(n).selectExpr("id AS c_custkey", "CAST(id % 25 AS INT) AS c_nationkey"), f"{tmp_path}/in")
+
+    class Seen:
+        def __init__(self, answers, docs, today, keep=False):
+            if keep:
+                files.append((set(answers.inputFiles()), set(docs.inputFiles()), answers.count()))
+            self.verdicts = answers.select("case_id")
+
+    monkeypatch.setattr(jobs, "Verification", Seen)
+    stream = bridge.case_requests(bridge.spread(stream_of(spark, f"{tmp_path}/in", "c_custkey long, c_nationkey int"), n))
+    assert jobs.verify_stream(stream, f"{tmp_path}/job", F.current_date()).count() == n
+    (answers, docs, count), = files
+    assert answers == docs and len(docs) == 2 and not any(f"{tmp_path}/in" in f for f in docs) and count == n
