@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from milaan.operators import dialogue, pairs, views
+from milaan.sources import bridge
 
 DDL = "case_id long, doc_ord int, doc_type string, source_file string, fields map<string,string>"
 
@@ -200,3 +201,15 @@ def test_sparse_turn_numbers_need_no_long_list(spark, monkeypatch):
     for r in sorted(moved.collect(), key=lambda r: r["turn"]):
         want[r["turn"]], now = now, r["moves"][now]
     assert got == want
+
+
+def test_cases_of_one_row_group_are_dealt_over_tasks(spark, tmp_path):
+    """A customer table is one small file; the forms and documents made of it must not be the work of one task, keys repeated or null."""
+    n = 3 * bridge.CASES_PER_TASK
+    rows = spark.range(n).selectExpr("IF(id % 2 = 0, 7, IF(id % 3 = 0, NULL, id)) AS c_custkey", "CAST(id % 25 AS INT) AS c_nationkey")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    for made in (bridge.customers(spark, str(tmp_path)), bridge.forms(spark, str(tmp_path)).select("case_id")):
+        sizes = [r["n"] for r in made.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert sum(sizes) == n and len(sizes) == 3 and max(sizes) <= 1.1 * bridge.CASES_PER_TASK
+    few = spark.range(5).selectExpr("id AS c_custkey", "1 AS c_nationkey")
+    assert bridge.spread(few).rdd.getNumPartitions() == few.rdd.getNumPartitions()
