@@ -93,37 +93,39 @@ DOC_FIELDS = ["full_name", "father_name", "dob", "address", "id_number", "gender
 # --- answers: one form per customer ------------------------------------------------------------------------------------
 SERVICE_OF_CASE = sql_case(K, SERVICE_IDS)
 ANSWER_KEYS = sorted({row[1] for row in dims.form_field_rows()}) + ["email_alt", "blood_group"]
-ANSWER_VALUE = f"""CASE k
-    WHEN 'full_name' THEN CASE WHEN {K} % 17 = 0 THEN '' WHEN {K} % 10 = 3 THEN 'Ramesh Gupta'
-        ELSE concat('Mohammed ', {FAMILY}) END
-    WHEN 'name_on_card' THEN concat('Md. ', {FAMILY})
-    WHEN 'child_name' THEN concat(substring({GIVEN}, 1, 1), ' M ', {FAMILY})
-    WHEN 'father_name' THEN CASE WHEN {K} % 14 = 0 THEN NULL ELSE concat('Abdul ', {GIVEN}, ' Shaikh') END
-    WHEN 'dob' THEN CASE WHEN {K} % 12 = 0 THEN concat('15/06/', {YEAR}) WHEN {K} % 12 = 1 THEN 'not known'
-        WHEN {K} % 12 = 2 THEN '14/06/2031' ELSE concat(' 14/06/', {YEAR}) END
-    WHEN 'aadhaar_number' THEN CASE WHEN {K} % 8 = 0 THEN '1821 6634 9012' WHEN {K} % 8 = 1 THEN '4821 6634'
-        ELSE concat('4821 6634 ', CAST(1000 + {K} % 9000 AS STRING)) END
-    WHEN 'pan_number' THEN CASE WHEN {K} % 9 = 0 THEN 'BXQPS12' ELSE concat('bxqps', CAST(1000 + {K} % 9000 AS STRING), 'k') END
-    WHEN 'dl_number' THEN CASE WHEN {K} % 6 = 0 THEN '' WHEN {K} % 6 = 1 THEN '02 MH 2011-1234567'
-        WHEN {K} % 6 = 2 THEN 'MH02' ELSE concat('MH02 2011', CAST(1000000 + {K} AS STRING)) END
-    WHEN 'epic_number' THEN {sql_case(K, ["ABC1234567", "AB-123456", "12345678", "abc 1234567"])}
-    WHEN 'old_passport_number' THEN {sql_case(K, ["", "A1234567", "AB123456", "bad"])}
-    WHEN 'mobile' THEN CASE WHEN {K} % 7 = 0 THEN '12345' WHEN {K} % 7 = 1 THEN '+91 98765 43210'
-        WHEN {K} % 7 = 2 THEN '5876543210' ELSE '98765 43210' END
-    WHEN 'email' THEN {sql_case(K, ["a.b@example.com", "bad mail@example.com", "nobody", " x@y.in "])}
-    WHEN 'address' THEN CASE WHEN {K} % 5 = 1 THEN 'Mumbai' ELSE
-        concat('House 42, Gandhi Nagar, Kurla West, Mumbai ', CAST(400000 + c_nationkey AS STRING)) END
-    WHEN 'new_address' THEN concat('House 42, Gandhi Nagar, Kurla West, Mumbai ', CAST(400000 + c_nationkey AS STRING))
-    WHEN 'old_address' THEN CASE WHEN {K} % 4 = 0 THEN 'Pune' ELSE
-        concat('Flat 12, CIDCO N-4, Aurangabad ', CAST(431000 + c_nationkey AS STRING)) END
-    WHEN 'account_number' THEN CASE WHEN {K} % 4 = 0 THEN '12345' ELSE CAST(12345600000 + {K} AS STRING) END
-    WHEN 'ifsc' THEN {sql_case(K, ["SBIN0001234", "sbin 0001234", "SBIN1001234"])}
-    WHEN 'scheme_name' THEN {sql_case(f"({K} // 15)", ["e-Shram registration", "pm-kisan", "", "My own scheme", "the Ayushman Bharat (PM-JAY) card"])}
-    WHEN 'category' THEN {sql_case(f"({K} // 15)", ["OBC", "General", "SC", ""], 4)}
-    WHEN 'annual_income' THEN {sql_case(f"({K} // 15)", ["180000", "about two lakh", "2.5 lakh"])}
-    WHEN 'gender' THEN {sql_case(K, ["Male", "F", ""])}
-    WHEN 'update_fields' THEN {sql_case(f"({K} // 15)", ["mobile", ""])}
-    ELSE CASE WHEN {K} % 19 = 0 THEN 'x' ELSE concat('Given ', k) END END"""
+ANSWER_VALUES = {
+    "full_name": f"""CASE WHEN {K} % 17 = 0 THEN '' WHEN {K} % 10 = 3 THEN 'Ramesh Gupta'
+        ELSE concat('Mohammed ', {FAMILY}) END""",
+    "name_on_card": f"concat('Md. ', {FAMILY})",
+    "child_name": f"concat(substring({GIVEN}, 1, 1), ' M ', {FAMILY})",
+    "father_name": f"CASE WHEN {K} % 14 = 0 THEN NULL ELSE concat('Abdul ', {GIVEN}, ' Shaikh') END",
+    "dob": f"""CASE WHEN {K} % 12 = 0 THEN concat('15/06/', {YEAR}) WHEN {K} % 12 = 1 THEN 'not known'
+        WHEN {K} % 12 = 2 THEN '14/06/2031' ELSE concat(' 14/06/', {YEAR}) END""",
+    "aadhaar_number": f"""CASE WHEN {K} % 8 = 0 THEN '1821 6634 9012' WHEN {K} % 8 = 1 THEN '4821 6634'
+        ELSE concat('4821 6634 ', CAST(1000 + {K} % 9000 AS STRING)) END""",
+    "pan_number": f"CASE WHEN {K} % 9 = 0 THEN 'BXQPS12' ELSE concat('bxqps', CAST(1000 + {K} % 9000 AS STRING), 'k') END",
+    "dl_number": f"""CASE WHEN {K} % 6 = 0 THEN '' WHEN {K} % 6 = 1 THEN '02 MH 2011-1234567'
+        WHEN {K} % 6 = 2 THEN 'MH02' ELSE concat('MH02 2011', CAST(1000000 + {K} AS STRING)) END""",
+    "epic_number": sql_case(K, ["ABC1234567", "AB-123456", "12345678", "abc 1234567"]),
+    "old_passport_number": sql_case(K, ["", "A1234567", "AB123456", "bad"]),
+    "mobile": f"""CASE WHEN {K} % 7 = 0 THEN '12345' WHEN {K} % 7 = 1 THEN '+91 98765 43210'
+        WHEN {K} % 7 = 2 THEN '5876543210' ELSE '98765 43210' END""",
+    "email": sql_case(K, ["a.b@example.com", "bad mail@example.com", "nobody", " x@y.in "]),
+    "address": f"""CASE WHEN {K} % 5 = 1 THEN 'Mumbai' ELSE
+        concat('House 42, Gandhi Nagar, Kurla West, Mumbai ', CAST(400000 + c_nationkey AS STRING)) END""",
+    "new_address": f"concat('House 42, Gandhi Nagar, Kurla West, Mumbai ', CAST(400000 + c_nationkey AS STRING))",
+    "old_address": f"""CASE WHEN {K} % 4 = 0 THEN 'Pune' ELSE
+        concat('Flat 12, CIDCO N-4, Aurangabad ', CAST(431000 + c_nationkey AS STRING)) END""",
+    "account_number": f"CASE WHEN {K} % 4 = 0 THEN '12345' ELSE CAST(12345600000 + {K} AS STRING) END",
+    "ifsc": sql_case(K, ["SBIN0001234", "sbin 0001234", "SBIN1001234"]),
+    "scheme_name": sql_case(f"({K} // 15)", ["e-Shram registration", "pm-kisan", "", "My own scheme", "the Ayushman Bharat (PM-JAY) card"]),
+    "category": sql_case(f"({K} // 15)", ["OBC", "General", "SC", ""], 4),
+    "annual_income": sql_case(f"({K} // 15)", ["180000", "about two lakh", "2.5 lakh"]),
+    "gender": sql_case(K, ["Male", "F", ""]),
+    "update_fields": sql_case(f"({K} // 15)", ["mobile", ""]),
+}
+OTHER_ANSWER = f"CASE WHEN {K} % 19 = 0 THEN 'x' ELSE concat('Given ', k) END"
+ANSWER_VALUE = "\n    ".join(["CASE k", *[f"WHEN '{k}' THEN {sql}" for k, sql in ANSWER_VALUES.items()], f"ELSE {OTHER_ANSWER} END"])
 
 
 # ``//`` is integer division in one SQL dialect and ``div`` in the other.
@@ -203,9 +205,10 @@ def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _form_columns():
-    keys = "array(" + ", ".join(f"'{k}'" for k in ANSWER_KEYS) + ")"
-    entries = f"map_from_entries(transform({keys}, k -> struct(k, {for_spark(ANSWER_VALUE)})))"
-    answers = F.map_filter(F.expr(entries), lambda _, v: v.isNotNull())
+    # One expression a key: a lambda over the keys would try all arms of ``ANSWER_VALUE`` for each of them, outside generated code.
+    values = [F.expr(for_spark(ANSWER_VALUES.get(k, re.sub(r"\bk\b", f"'{k}'", OTHER_ANSWER)))) for k in ANSWER_KEYS]
+    entries = F.map_from_arrays(F.array(*[F.lit(k) for k in ANSWER_KEYS]), F.array(*values))
+    answers = F.map_filter(entries, lambda _, v: v.isNotNull())
     return F.col("c_custkey").alias("case_id"), F.expr(SERVICE_OF_CASE).alias("service_id"), answers.alias("answers")
 
 

@@ -213,3 +213,18 @@ def test_cases_of_one_row_group_are_dealt_over_tasks(spark, tmp_path):
         assert sum(sizes) == n and len(sizes) == 3 and max(sizes) <= 1.1 * bridge.CASES_PER_TASK
     few = spark.range(5).selectExpr("id AS c_custkey", "1 AS c_nationkey")
     assert bridge.spread(few).rdd.getNumPartitions() == few.rdd.getNumPartitions()
+
+
+def test_answers_are_written_key_by_key(spark, tmp_path):
+    """No lambda that tries every arm for every key; the answers are those of the SQL text, keys repeated or null."""
+    spark.sql("SELECT IF(id % 50 = 0, NULL, id % 400) AS c_custkey, IF(id % 7 = 0, NULL, CAST(id % 25 AS INT)) AS c_nationkey FROM range(500)").write.parquet(
+        f"{tmp_path}/customer.parquet"
+    )
+    made = bridge.forms(spark, str(tmp_path))
+    assert "transform(" not in made._jdf.queryExecution().optimizedPlan().toString()
+    got = made.select("case_id", "service_id", F.explode("answers").alias("k", "v"))
+    keys = F.explode(F.array(*[F.lit(k) for k in bridge.ANSWER_KEYS])).alias("k")
+    want = spark.read.parquet(f"{tmp_path}/customer.parquet").select("*", keys).select(
+        F.col("c_custkey").alias("case_id"), F.expr(bridge.SERVICE_OF_CASE).alias("service_id"), "k", F.expr(bridge.for_spark(bridge.ANSWER_VALUE)).alias("v")
+    ).where("v IS NOT NULL")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
