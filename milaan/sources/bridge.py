@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from milaan.catalogue import dims
+from milaan.session import grow_shuffles
 
 SERVICE_IDS = [row[0] for row in dims.service_rows()]
 
@@ -160,11 +161,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # Cases one task works on.  A customer row has few bytes and stands for a form and up to six documents, so file sizes say nothing of
 # the work: a whole table may lie in one row group, which is one task.
 CASES_PER_TASK = 4096
+# Bytes a case stands for behind the shuffles, where its form fields and document values meet (some 700 of them are written to disk).
+CASE_BYTES = 8192
 
 
 def spread(rows: DataFrame, total: int | None = None) -> DataFrame:
-    """The rows dealt evenly over as many tasks as ``total`` (by default their number) needs, whatever their keys and files."""
-    tasks = -(-(rows.count() if total is None else total) // CASES_PER_TASK)
+    """The rows dealt evenly over as many tasks as ``total`` (by default their number) needs, whatever their keys and files.
+
+    Later shuffles get partitions for as many cases, so that their tasks do not grow with the table either.
+    """
+    total = rows.count() if total is None else total
+    grow_shuffles(rows.sparkSession, total * CASE_BYTES)
+    tasks = -(-total // CASES_PER_TASK)
     return rows.repartition(tasks) if tasks > 1 else rows
 
 

@@ -215,6 +215,24 @@ def test_cases_of_one_row_group_are_dealt_over_tasks(spark, tmp_path):
     assert bridge.spread(few).rdd.getNumPartitions() == few.rdd.getNumPartitions()
 
 
+def test_shuffles_get_partitions_for_the_cases_read(spark, tmp_path):
+    """A small customer file can stand for far more rows than the session was started for; smaller tables take nothing away."""
+    from milaan import session
+
+    spark.range(200).selectExpr("id AS c_custkey", "1 AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    before = spark.conf.get(session.INITIAL, None)
+    try:
+        bridge.customers(spark, str(tmp_path))
+        assert spark.conf.get(session.INITIAL, None) == before
+        rows, cases = spark.range(5).selectExpr("id AS c_custkey", "1 AS c_nationkey"), 900_000 * 6
+        bridge.spread(rows, cases)
+        assert int(spark.conf.get(session.INITIAL)) == -(-cases * bridge.CASE_BYTES // session.BYTES_PER_TASK) > 600
+        bridge.customers(spark, str(tmp_path))
+        assert int(spark.conf.get(session.INITIAL)) > 600
+    finally:
+        spark.conf.unset(session.INITIAL) if before is None else spark.conf.set(session.INITIAL, before)
+
+
 def test_answers_are_written_key_by_key(spark, tmp_path):
     """No lambda that tries every arm for every key; the answers are those of the SQL text, keys repeated or null."""
     spark.sql("SELECT IF(id % 50 = 0, NULL, id % 400) AS c_custkey, IF(id % 7 = 0, NULL, CAST(id % 25 AS INT)) AS c_nationkey FROM range(500)").write.parquet(
