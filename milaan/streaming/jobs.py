@@ -17,7 +17,7 @@ from milaan.operators import cases, dialogue
 from milaan.plans.verify import Verification
 from milaan.sources.readers import with_outcome
 from milaan.sources.writers import materialized
-from milaan.streaming.processors import FilledFields, FirstUpload
+from milaan.streaming.processors import FilledFields, FirstUpload, packed_uploads
 
 
 def read_stream(spark: SparkSession, folder: str, table: str, files_per_batch: int = 1) -> DataFrame:
@@ -97,6 +97,10 @@ def case_patch_stream(patches: DataFrame, path: str, known: DataFrame, buckets:
 UPLOAD_KEY = ["case_id", "file_name", "size"]
 # How long an upload is remembered, in event time; older ones that still arrive are late.
 UPLOAD_HOLD = "30 days"
+# Groups of keys that are one value of the state store each.  It is part of a checkpoint: a running stream keeps its number.
+UPLOAD_PAGES = 1 << 14
+# Stands for no time while a number must; no timestamp is as early.
+NEVER = -(1 << 63)
 
 
 def dedupe_upload_stream(uploads: DataFrame, hold: str = UPLOAD_HOLD) -> DataFrame:
@@ -105,13 +109,21 @@ def dedupe_upload_stream(uploads: DataFrame, hold: str = UPLOAD_HOLD) -> DataFra
     Repeats of a key that is remembered come out in neither.  A key is state until the watermark, which follows the newest upload at
     the distance ``hold``, has passed its newest upload; then a timer removes it.  A late upload of no remembered key may be a
     repeat or not, so it is given back as late instead of being dropped unseen or kept for ever.
+
+    A batch reads and writes the pages of its own keys only, each once, however many keys it has of a page.
     """
     seen = uploads.withWatermark("ts", hold)
+    key = seen.select(*UPLOAD_KEY).schema
     # The watermark column ends here: Spark would drop late rows of it before the processor sees them.
-    plain = seen.select(*UPLOAD_KEY, F.unix_micros("ts").alias("at"))
-    shape = T.StructType([*[f for f in plain.schema.fields if f.name != "at"], T.StructField("at", T.LongType()), T.StructField("outcome", T.StringType())])
-    marked = plain.groupBy(*UPLOAD_KEY).transformWithStateInPandas(FirstUpload(), shape, "append", "EventTime")
-    return marked.select(F.timestamp_micros("at").alias("ts"), *UPLOAD_KEY, "outcome")
+    plain = seen.select(
+        F.pmod(F.xxhash64(*UPLOAD_KEY), F.lit(UPLOAD_PAGES)).cast("int").alias("page"),
+        F.to_json(F.struct(*UPLOAD_KEY)).alias("upload"),
+        F.coalesce(F.unix_micros("ts"), F.lit(NEVER)).alias("at"),
+    )
+    rows = plain.mapInArrow(packed_uploads, "page int, uploads string, times binary")
+    marked = rows.groupBy("page").transformWithStateInPandas(FirstUpload(), "upload string, at bigint, outcome string", "append", "EventTime")
+    told = marked.select(F.timestamp_micros(F.nullif("at", F.lit(NEVER))).alias("ts"), F.from_json("upload", key).alias("key"), "outcome")
+    return told.select("ts", "key.*", "outcome")
 
 
 def split_uploads(uploads: DataFrame, path: str, hold: str = UPLOAD_HOLD) -> tuple[DataFrame, DataFrame]:

@@ -1,14 +1,16 @@
 """Streams: state per key only, expiry, late rows, restart and replay."""
 
 import os
+import random
 import shutil
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from milaan.operators import cases, dialogue
 from milaan.sources import bridge
-from milaan.streaming import jobs
+from milaan.streaming import jobs, processors
 
 SAID = ["Sanika Chavan", "Santosh Chavan", "wrong", "Ravi Chavan", "15/08/2001", "Flat 12, CIDCO, Aurangabad", "done", "", "again", "nonsense 1"]
 TURNS = "conv_id long, service_id string, turn long, transcript string"
@@ -93,6 +95,54 @@ def test_upload_state_levels_off_and_late_rows_come_out(spark, tmp_path):
     assert sorted(r["case_id"] for r in kept.collect()) == [*range(120), 600]
 
 
+def told(batches, hold):
+    """Upload by upload what should come out, times in microseconds and ``hold`` in milliseconds."""
+    newest, top, out = {}, 0, []
+    for rows in batches:
+        mark, on_time = max(0, top - hold), {}
+        for at, key in rows:
+            if at is not None and at >= mark * 1000:
+                on_time.setdefault(key, []).append(at)
+        out += [(min(times), *key, "kept") for key, times in on_time.items() if key not in newest]
+        out += [(at, *key, "late") for at, key in rows if key not in newest and key not in on_time]
+        newest |= {key: max(*times, newest.get(key, times[0])) for key, times in on_time.items()}
+        newest = {key: at for key, at in newest.items() if at // 1000 + 1 > mark}
+        top = max([top, *[at // 1000 for at, _ in rows if at is not None]])
+    return sorted(map(str, out))
+
+
+def test_uploads_of_a_page_are_one_value_of_the_state_store(spark, tmp_path, monkeypatch):
+    """However many keys come, the store is called per page; keys, first times, expiry and late rows are those of single keys."""
+    monkeypatch.setattr(jobs, "UPLOAD_PAGES", 4, raising=False)
+    rng, source, job, batches = random.Random(5), f"{tmp_path}/in", f"{tmp_path}/job", []
+    names = ["a.jpg", "", None, 'b\nc"\\', "{\"x\":1}", "é漢\u2028\t", "a.jpg "]
+    ids = [None, 2**60 + 1, 2**60 + 2, *range(-3, 20)]
+    for n in range(6):  # twenty seconds are held, a batch is six seconds further and reaches back by thirty
+        rows = []
+        for _ in range(300):
+            at = 1_700_000_000_000_000 + n * 6_000_000 + rng.randrange(-30_000, 10_000) * 1000 + rng.choice([0, 1, 999])
+            rows.append((None if rng.random() < 0.02 else at, (rng.choice(ids), rng.choice(names), rng.choice([1, 2, None]))))
+        batches.append([*rows, *rows[:20]])
+        frame = spark.createDataFrame([(at, *key) for at, key in batches[-1]], "at long, case_id long, file_name string, size long")
+        arrive(frame.select(F.timestamp_micros("at").alias("ts"), "case_id", "file_name", "size"), source)
+    out = jobs.run_to_end(jobs.dedupe_upload_stream(stream_of(spark, source, UPLOADS), "20 seconds"), job)
+    got = sorted(str(tuple(r)) for r in out.select(F.unix_micros("ts"), *jobs.UPLOAD_KEY, "outcome").collect())
+    assert got == told(batches, 20_000) and any("'late'" in r for r in got) and any("'kept'" in r for r in got)
+    assert state_rows(job, spark) <= 4
+
+
+def test_uploads_are_packed_page_by_page(monkeypatch):
+    monkeypatch.setattr(processors, "PACK_ROWS", 50)
+    rng = random.Random(3)
+    rows = [(rng.choice([0, 0, 0, 1, 2, 3]), f'{{"n":{i}}}', i - 100) for i in range(230)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("page", "upload", "at"), r, strict=True)) for r in rows[i : i + 20]]) for i in range(0, 230, 20)]
+    out = [r for b in processors.packed_uploads(iter([*batches, batches[0].slice(0, 0)])) for r in b.to_pylist()]
+    each = [[(r["page"], *one) for one in processors.unpacked(r["uploads"], r["times"])] for r in out]
+    assert sorted(x for some in each for x in some) == sorted(rows)
+    assert max(map(len, each)) == processors.PACKED and len(out) < len(rows) / 5
+    assert [*processors.packed_uploads(iter([]))] == []
+
+
 PATCHES = "patch_id long, case_id long, user_id string, ts timestamp, step int, notes string"
 
 
